@@ -6,9 +6,11 @@ With 4 rows in each of 32 bands a pair of Jaccard 0.75 shares no band with chanc
 (1 - 0.75**4)**32 = 5e-6.
 
 Equal sets are one class with its smallest id; only classes are banded. In a bucket each class is
-compared with one pivot, not with all others; buckets whose classes are not yet in one component
-get a second pivot, and what then remains apart is compared across components, so no pair that
-shares a bucket goes unexamined unless it is already connected.
+compared with one pivot, not with all others. Of a bucket whose classes are then in several
+components, pairs across components are compared too: all of them in buckets of at most SMALL
+classes; in larger ones those that the bound of :func:`_probes` leaves, which drops classes with too
+many shingles of their own to reach the threshold with anything. So a pair that shares a bucket is
+examined, or already connected, or ruled out by that bound.
 
 Cases: rows without id are left out; null or blank texts have no shingles and link with nothing;
 texts under five words are one shingle; repeated rows give repeated rows; an empty table gives an
@@ -18,6 +20,7 @@ empty table; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, materialize
+from .storage import discard, materialize, semi_join
 from .text import Words, mix64, windows
 
 WORDS, ROWS, BANDS = 5, 4, 32
+#: Buckets of so many classes are compared in full: at most SMALL / 2 pairs for each of their rows.
+SMALL = 16
 
 
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -100,22 +105,67 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets computed anew from the texts."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    out = materialize(
-        pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("total")).filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"),
-        "links",
-    )
-    discard(sets)
-    return out
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("total"))
+    return materialize(both.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "links")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _tagged(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of those buckets that hold more than one component, with each row's component."""
+    label = connected_components(links)
+    rows = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "c", "component")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return materialize(rows.join(mixed, "key"), "tagged")
+
+
+def _own(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, u): how many shingles of each of ``ids`` no other of them has."""
+    single = sets.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+    single = single.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("id")).filter("k = 1")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def _probes(large: DataFrame, percent: int) -> DataFrame:
+    """(key, class, id, component, u, target): the rows of large buckets, and the size classes of their bucket in
+    which a partner from another component is possible.
+
+    A partner of x has n shingles, lacks the u ones that x alone has, and so meets at most n_x - u of x's in a
+    union of at least n + u: 100 * (n_x - u) >= percent * (n + u) is needed. The least n of a class decides.
+    """
+    step = 1.05
+    rows = large.withColumn("class", F.floor(F.log("n") / math.log(step)).cast("int"))
+    stats = rows.groupBy("key", F.col("class").alias("target")).agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    able = (F.col("n") - F.col("u")) * 100 >= (F.col("least") + F.col("u")) * percent
+    return rows.join(stats, "key").filter(able & ((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component")))).select("key", "class", "id", "component", "n", "u", "target")
+
+
+def _close_pairs(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of probes of one bucket, from two components, that can reach the threshold.
+
+    Against the bucket's most central class p: x and y share all of p but what one of them misses, and besides
+    at most what the lesser of them has outside of p and not alone.
+    """
+    central = probes.groupBy("key").agg(F.min(F.struct("u", "id")).alias("p")).select("key", F.col("p.id").alias("p"))
+    rows = materialize(probes.join(central, "key"), "probes")
+    each = rows.select("id", "p").distinct()
+    each = each.join(sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("sx")), "id").join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp")), "p")
+    each = materialize(each.select("id", "p", F.array_except("sp", "sx").alias("missing"), F.size("sp").alias("np")), "missing")
+    x = rows.join(each, ["id", "p"]).withColumn("others", F.greatest(F.lit(0), F.col("n") - F.col("np") + F.size("missing") - F.col("u")))
+    y = x.select("key", F.col("class").alias("target"), F.col("target").alias("class"), F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("missing").alias("my"), F.col("others").alias("oy"))
+    most = F.col("np") - F.size(F.array_union("missing", "my")) + F.least("others", "oy")
+    able = (F.col("component") < F.col("other")) & (most * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    return x.withColumnRenamed("id", "a").join(y, ["key", "class", "target"]).filter(able).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rows: int = ROWS, bands: int = BANDS, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` that has an id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     signed = materialize(docs.mapInArrow(_sign(rows, bands), "doc_id long, n_shingles long, fp binary, bands array<long>"), "signed")
@@ -124,30 +174,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = full.select("doc_id", "fp", "bands").join(classes.select(F.col("rep").alias("doc_id"), "fp", "n"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
     keys = materialize(reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), "keys")
     live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 1")
-    buckets = materialize(keys.join(live.select("key", "pivot"), "key"), "buckets")
+    buckets = materialize(keys.join(live, "key"), "buckets")
     discard(keys)
-
-    near = lambda m, n: (F.col(m) * 100 >= F.col(n) * percent) & (F.col(n) * 100 >= F.col(m) * percent)  # noqa: E731  no other sizes can reach the threshold
-    first = buckets.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = [_verified(first, docs, percent)]
-    for last in (False, True):
-        linked = links[0] if len(links) == 1 else links[0].union(links[1])
-        label = connected_components(linked)
-        tagged = materialize(
-            buckets.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "tagged"
-        )
-        mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by(F.struct("id", "n", "component"), F.xxhash64("id", "key")).alias("p")).filter("lo <> hi")
-        if not last:
-            pairs = tagged.join(mixed.select("key", "p"), "key").filter("component <> p.component").select(F.col("id").alias("a"), F.col("p.id").alias("b"), "n", F.col("p.n").alias("m"))
-        else:
-            x = tagged.join(mixed.select("key"), "key")
-            y = x.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = x.withColumnRenamed("id", "a").join(y, "key").filter("component < other")
-        pairs = pairs.filter(near("n", "m")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        links.append(_verified(materialize(pairs, "pairs"), docs, percent))
-        discard(tagged)
-    component = connected_components(links[0].union(links[1]).union(links[2]))
+    sets = materialize(semi_join(docs, buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+
+    # Every class with the pivot of each of its buckets.
+    links = _verified(_ordered(buckets.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), sets, percent)
+    # Large buckets with several components: each class with the pivot of each size class that it may reach,
+    # the one with the fewest shingles of its own.
+    tagged = _tagged(buckets, links)
+    own = materialize(_own(sets, tagged.filter(F.col("c") > small).select("id").distinct()), "own")
+    able = _probes(tagged.filter(F.col("c") > small).join(own, "id", "left").fillna(0, ["u"]), percent)
+    central = able.groupBy("key", "class").agg(F.min(F.struct("u", "id", "component")).alias("p"))
+    second = able.join(central.select("key", F.col("class").alias("target"), "p"), ["key", "target"]).filter("component <> p.component").select(F.col("id").alias("a"), F.col("p.id").alias("b"))
+    links = links.union(_verified(_ordered(second), sets, percent))
+    # What is still apart, across components: all of small buckets, what is able in large ones.
+    tagged = _tagged(buckets, links)
+    x = tagged.filter(F.col("c") <= small).select("key", F.col("id").alias("a"), "n", "component")
+    y = x.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    near = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
+    third = x.join(y, "key").filter((F.col("component") < F.col("other")) & near).select("a", "b")
+    fourth = _close_pairs(_probes(tagged.filter(F.col("c") > small).join(own, "id", "left").fillna(0, ["u"]), percent), sets, percent)
+    links = links.union(_verified(_ordered(third.union(fourth)), sets, percent))
+
+    component = connected_components(links)
     member = classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    discard(sets, buckets)
     return (
         signed.select("doc_id", "n_shingles", "fp").join(member, "fp", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

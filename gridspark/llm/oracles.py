@@ -1,5 +1,7 @@
 """DuckDB SQL for those numbered queries that SQL can express."""
 
+from .licenses import TEMPLATES, WORDS, template_words
+
 OP1 = """
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w
@@ -21,4 +23,109 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN comp USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1}
+
+_PRINT = """(SELECT t, sha256(array_to_string(list_transform(string_split(rtrim(array_to_string(list_transform(ps, lambda p: p.d || p.m), ''), ';,'), ';'), lambda s: sha256(rtrim(s, ','))), ','))
+    || '|' || rtrim(array_to_string(list_transform(ps, lambda p: p.d[1:8] || '.' || p.l || p.m), ''), ';,') AS f
+  FROM (SELECT t, list_transform(string_split(t, chr(10)), lambda p: {
+      'd': sha256(array_to_string(list_transform(regexp_extract_all(p, '[^.]{1,160}\\.?|\\.'), lambda x: sha256(x)), '')),
+      'm': CASE WHEN sha256(array_to_string(list_transform(regexp_extract_all(p, '[^.]{1,160}\\.?|\\.'), lambda x: sha256(x)), ''))[1:1] IN ('0', '1') THEN ';' ELSE ',' END,
+      'l': array_to_string(list_transform(regexp_extract_all(p, '[^.]{1,160}\\.?|\\.'), lambda x: sha256(x)[1:8]), '')}) AS ps
+    FROM (SELECT DISTINCT t FROM %s)))"""
+
+_LEAVES = "list_distinct(flatten(list_transform(string_split_regex(%s[66:], '[,;]'), lambda p: regexp_extract_all(p[10:], '[0-9a-f]{8}'))))"
+
+
+def _likeness(a: str, b: str) -> str:
+    x, y = _LEAVES % a, _LEAVES % b
+    return f"CASE WHEN {a}[1:64] = {b}[1:64] THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 1.0 ELSE round(len(list_intersect({x}, {y})) / (len({x}) + len({y}) - len(list_intersect({x}, {y}))), 6) END"
+
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), n AS (
+  SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC, t), first_value(t) OVER (ORDER BY doc_id DESC, t)) AS nt FROM d
+), e AS (SELECT doc_id, t, nt, t[:length(t) - length(t) // 2] || CASE WHEN length(t) < 2 THEN '' ELSE nt[:length(t) // 2] END AS et FROM n
+), alltexts AS (SELECT t FROM e UNION SELECT et FROM e
+), prints AS {_PRINT % 'alltexts'}
+SELECT doc_id, length(e.t)::BIGINT AS n_chars, sha256(e.et) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+  {_likeness('a.f', 'b.f')} AS near_edited, {_likeness('a.f', 'c.f')} AS near_next
+FROM e JOIN prints a ON a.t = e.t JOIN prints b ON b.t = e.et JOIN prints c ON c.t = e.nt
+"""
+
+OP7 = """
+WITH u AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+), v AS (
+  SELECT doc_id, i, raw, trim(regexp_replace(lower(raw), '\\s+', ' ', 'g')) AS body,
+    sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) - 1 AS pos FROM u
+), w AS (
+  SELECT *, body <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS gone FROM v
+)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_units,
+  count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_starts,
+  coalesce(string_agg((pos + length(raw))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_ends
+FROM w GROUP BY doc_id
+"""
+
+OP4 = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t FROM documents
+), g AS (SELECT t, sum(size) AS size, min(doc_id) AS first FROM r GROUP BY t
+), l AS (SELECT list(size ORDER BY first) AS sizes, sum(size) AS total, max(size) AS most FROM g
+), fill AS (
+  SELECT greatest((total + 7) // 8, most)::BIGINT - 1 AS low, total::BIGINT AS high FROM l
+  UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END FROM (
+    SELECT low, high, mid, list_reduce(list_prepend({'n': 1::BIGINT, 'f': 0::BIGINT}, list_transform(sizes, lambda s: {'n': 0::BIGINT, 'f': s::BIGINT})),
+      lambda a, b: CASE WHEN a.f + b.f > mid THEN {'n': a.n + 1, 'f': b.f} ELSE {'n': a.n, 'f': a.f + b.f} END).n <= 8 AS ok
+    FROM (SELECT low, high, (low + high) // 2 AS mid FROM fill WHERE high - low > 1), l)
+), cap AS (SELECT min(high) AS c FROM fill
+), ends AS (SELECT t, sum(size) OVER (ORDER BY first)::BIGINT AS e FROM g
+), cuts AS (
+  SELECT 0 AS k, 0::BIGINT AS pos UNION ALL
+  SELECT k + 1, (SELECT max(e) FROM ends WHERE e <= pos + (SELECT c FROM cap)) FROM cuts WHERE k < 7
+), tab AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::BIGINT, [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END)) AS tab
+), bytes AS (
+  SELECT t, list_transform(range(0, strlen(t)), lambda i: ('0x' || hex(t)[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM (SELECT DISTINCT t FROM r)
+), crcs AS (
+  SELECT t, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295::BIGINT) AS text_crc32 FROM bytes, tab
+), placed AS (
+  SELECT doc_id, r.size, r.t, text_crc32, (SELECT count(DISTINCT pos) FROM cuts WHERE k > 0 AND pos < e AND pos < (SELECT total FROM l)) AS shard
+  FROM r JOIN ends ON ends.t = r.t JOIN crcs ON crcs.t = r.t
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM placed
+"""
+
+_T = {k: template_words(t) for k, t in TEMPLATES.items() if len(template_words(t)) >= WORDS}
+_ROWS = ", ".join("('" + k + "', '" + " ".join(w) + "')" for k, w in _T.items())
+OP10 = f"""
+WITH t AS (SELECT license, string_split(ws, ' ') AS w FROM (VALUES {_ROWS}) v(license, ws)
+), ts AS (
+  SELECT license, len(w) AS m, greatest(1, len(w) // 4) AS step, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM t
+), d AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), sh AS (
+  SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM d WHERE len(w) >= 5
+), hit AS (
+  SELECT DISTINCT sh.doc_id, sh.n, sh.p, sh.g, ts.license, ts.m, ts.step, len(ts.s) AS k FROM sh JOIN (SELECT *, unnest(s) AS g FROM ts) ts ON sh.g = ts.g
+), win AS (
+  SELECT doc_id, license, k, g, unnest(range(greatest(0, ((p - (m + step - 6) + step - 1) // step)) * step, p + 1, step)) AS start, p, m, step FROM hit
+), best AS (
+  SELECT doc_id, license, start, count(DISTINCT g) / max(k) AS c FROM win WHERE p >= start AND p <= start + m + step - 6 GROUP BY ALL
+)
+SELECT doc_id, license, round(max(c), 6) AS containment, count(*) AS n_windows, min(start)::BIGINT AS first_word
+FROM best WHERE c >= 0.75 GROUP BY doc_id, license
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1,
+    "op2_merkle_fingerprints": OP2,
+    "op4_minimax_shards": OP4,
+    "op7_line_dedup": OP7,
+    "op10_license_scan": OP10,
+}

@@ -1,0 +1,42 @@
+"""Order over a whole table without one task that holds it: quantile buckets, then windows inside them."""
+
+from __future__ import annotations
+
+from bisect import bisect_left
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Most buckets of a table: what is known of buckets stays this small at any input size.
+MOST_BUCKETS = 16_384
+FANOUT = 128
+
+
+def bounds(df: DataFrame, key: str, rows_each: int) -> list[int]:
+    """Ascending distinct values of the integer column ``key`` that cut it into buckets of about ``rows_each`` rows."""
+    n = df.count()
+    buckets = min(MOST_BUCKETS, n // rows_each + 1)
+    if buckets < 2:
+        return []
+    at = [i / buckets for i in range(1, buckets)]
+    found = df.select(F.percentile_approx(key, at, max(10_000, 8 * buckets))).first()[0]
+    return sorted(set(found or []))
+
+
+def bucket(key: str, cuts: list[int]) -> Column:
+    """How many of ``cuts`` are at or under ``key`` (null: 0), found in two steps over literal arrays."""
+    x = F.coalesce(F.col(key), F.lit(-(2**63)))
+    if not cuts:
+        return F.lit(0)
+    fine = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
+    if len(cuts) <= FANOUT:
+        return F.size(F.filter(fine, lambda c: c <= x))
+    coarse = F.array(*[F.lit(int(c)).cast("long") for c in cuts[::FANOUT]])
+    block = F.size(F.filter(coarse, lambda c: c <= x))
+    inside = F.filter(F.slice(fine, (block - 1) * FANOUT + 1, FANOUT), lambda c: c <= x)
+    return F.when(block == 0, 0).otherwise((block - 1) * FANOUT + F.size(inside))
+
+
+def bucket_of(key: int, cuts: list[int]) -> int:
+    """The same for one value, in the driver."""
+    return bisect_left(cuts, key + 1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import flac, langid, licenses, lines, merkle, minhash, mixing, packing, shards, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,54 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_fingerprints(_documents(spark, sf_dir))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_documents(spark, sf_dir))
+
+
+def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_by_bytes(_documents(spark, sf_dir), shards=8)
+
+
+def op5_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(_documents(spark, sf_dir), labels)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate(_documents(spark, sf_dir))
+    starts, ends = F.array_join(F.col("removed.start"), ","), F.array_join(F.col("removed.end"), ",")
+    return out.select("doc_id", "text", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), starts.alias("removed_starts"), ends.alias("removed_ends"))
+
+
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(flac.encode_text(_documents(spark, sf_dir)))
+
+
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_merkle_fingerprints": op2_merkle_fingerprints,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_minimax_shards": op4_minimax_shards,
+    "op5_domain_mixing": op5_domain_mixing,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_flac_media": op8_flac_media,
+    "op9_crf_language": op9_crf_language,
+    "op10_license_scan": op10_license_scan,
 }

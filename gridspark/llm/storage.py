@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,15 @@ def discard(*tables: DataFrame) -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Most keys that are sent to every executor; with more, both sides are shuffled.
+BROADCAST_KEYS = 2_000_000
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``keys`` (distinct longs); a wide ``df`` stays where it is if the keys,
+    counted first, are few."""
+    keys = materialize(keys, "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")

@@ -29,10 +29,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Words:
     """Tokenises batches; keeps the powers of the base between them."""
 
-    def __init__(self) -> None:
-        code = np.arange(256, dtype=np.uint8)
+    def __init__(self, letters_only: bool = False) -> None:
+        code = np.arange(256)
         self.lower = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint8)
         self.space = (code == 32) | ((code >= 9) & (code <= 13))
+        if letters_only:  # every ASCII byte but A-Z and a-z ends a word
+            self.lower[(code < 128) & ~((self.lower >= 97) & (self.lower <= 122))] = 32
+            self.space = self.lower == 32
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -52,10 +55,13 @@ class Words:
     def hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words of ``data``."""
         raw, start, end = self.spans(data)
+        return start, end, self.hash_spans(raw, start, end)
+
+    def hash_spans(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         self._powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], out=total[1:])
-        return start, end, mix64((total[end] - total[start]) * self.inverse[start])
+        return mix64((total[end] - total[start]) * self.inverse[start])
 
     def batches(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, first, starts, ends, hashes) for texts[i:j]: text i+t has words first[t]:first[t+1];
