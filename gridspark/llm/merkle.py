@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import bounds, bucket
+from gridspark.operators.order import bounds, bucket
 
 LEAF = 160
 LEAVES = r"[^.]{1,%d}\.?|\." % LEAF

@@ -23,7 +23,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import bounds, bucket
+from gridspark.operators.order import bounds, bucket
 from .storage import discard, materialize
 
 BLOCKS, FINER, ROWS_EACH = 4096, 256, 2000

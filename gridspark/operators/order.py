@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most buckets of a table: what is known of buckets stays this small at any input size.
@@ -40,3 +40,23 @@ def bucket(key: str, cuts: list[int]) -> Column:
 def bucket_of(key: int, cuts: list[int]) -> int:
     """The same for one value, in the driver."""
     return bisect_left(cuts, key + 1)
+
+
+def ranked(df: DataFrame, key: str, ties: list[str], rows_each: int = 2000, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``rank``: the row number from 1 in the order of (key, ties), within each group of columns ``by``.
+
+    ``key`` is an integer column, or a double whose order :func:`sortable` keeps. Buckets are sorted apart; what
+    comes before each bucket of a group is one row of a small table.
+    """
+    by = by or []
+    cuts = bounds(df, key, rows_each)
+    rows = df.withColumn("_b", bucket(key, cuts))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.col(key).asc_nulls_first(), *ties))
+    count = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = count.withColumn("_o", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).select(*by, "_b", "_o")
+    return rows.withColumn("rank", inside).join(before, [*by, "_b"]).withColumn("rank", F.col("rank") + F.col("_o")).drop("_b", "_o")
+
+
+def sortable(x: Column) -> Column:
+    """A long whose order is that of the double ``x`` to a part in 2**40 of its range around zero."""
+    return F.floor(x * float(1 << 40)).cast("long")
