@@ -44,8 +44,8 @@ def gemm_tiled(spark, sf):
     return got.select("i", "j", F.round("v", 4).alias("v"))
 
 
-@query("gemm_sampled_check", f"""WITH a AS ({MATRIX}), at AS (SELECT t, 97 * t % {DIM} AS i, 53 * t % {DIM} AS j FROM (SELECT unnest(range(0, 8)) AS t))
-SELECT t, round(sum(p.v * q.v), 4) AS v FROM at JOIN a p ON p.j = at.i JOIN a q ON q.j = at.j AND q.i = p.i GROUP BY t""")
+@query("gemm_sampled_check", f"""WITH a AS ({MATRIX}), spots AS (SELECT t, 97 * t % {DIM} AS i, 53 * t % {DIM} AS j FROM (SELECT unnest(range(0, 8)) AS t))
+SELECT t, round(sum(p.v * q.v), 4) AS v FROM spots s JOIN a p ON p.j = s.i JOIN a q ON q.j = s.j AND q.i = p.i GROUP BY t""")
 def gemm_sampled_check(spark, sf):
     a = fx.matrix(spark, sf)
     at = spark.range(8).select(F.col("id").alias("t"), (F.col("id") * 97 % DIM).alias("i"), (F.col("id") * 53 % DIM).cast("int").alias("j"))

@@ -49,7 +49,7 @@ def matrix(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFra
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated samples: task, model, framework, sample_id, passed, elapsed_sec."""
-    frameworks = F.array(F.lit("dagger"), F.lit("iris"), F.lit("legate"))
+    frameworks = F.array(F.lit("arrays"), F.lit("kernels"), F.lit("tasks"))
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("task"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"),
         F.get(frameworks, (F.col("event_id") % 3).cast("int")).alias("framework"), F.col("event_id").alias("sample_id"),
@@ -58,14 +58,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def native(samples_: DataFrame) -> DataFrame:
-    """Reference runs by (task, framework); the pair (click, dagger) has none."""
-    pairs = samples_.select("task", "framework").distinct().filter("not (task = 'click' and framework = 'dagger')")
-    return pairs.select("task", "framework", (F.col("framework") != "legate").alias("reference_passed"), F.length("task").cast("double").alias("reference_elapsed_sec"))
+    """Reference runs by (task, framework); the pair (click, arrays) has none."""
+    pairs = samples_.select("task", "framework").distinct().filter("not (task = 'click' and framework = 'arrays')")
+    return pairs.select("task", "framework", (F.col("framework") != "tasks").alias("reference_passed"), F.length("task").cast("double").alias("reference_elapsed_sec"))
 
 
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("variant"), F.shiftleft(F.lit(1).cast("long"), F.col("l_linenumber") - 1).alias("threads"), F.col("l_quantity").alias("time_sec")
+        F.col("l_returnflag").alias("variant"), F.expr("shiftleft(1L, l_linenumber - 1)").alias("threads"), F.col("l_quantity").alias("time_sec")
     )
 
 
@@ -88,9 +88,9 @@ SQL = {
     "image": f"SELECT (p_partkey // {IMAGE_WIDTH})::INT AS y, (p_partkey % {IMAGE_WIDTH})::INT AS x, p_size::BIGINT AS v FROM part",
     "particles": "SELECT vec_id AS id, embedding[1]::DOUBLE + 0.5 AS x, embedding[2]::DOUBLE + 0.5 AS y, embedding[3]::DOUBLE + 0.5 AS z, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz, (1.0 + label)::DOUBLE AS mass FROM embeddings",
     "matrix": "SELECT vec_id AS i, (generate_subscripts(embedding, 1) - 1)::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings",
-    "samples": "SELECT event_type AS task, 'm' || (user_id % 3) AS model, (['dagger', 'iris', 'legate'])[(event_id % 3) + 1] AS framework, event_id AS sample_id, value < 20 AS passed, value AS elapsed_sec FROM events",
+    "samples": "SELECT event_type AS task, 'm' || (user_id % 3) AS model, (['arrays', 'kernels', 'tasks'])[(event_id % 3) + 1] AS framework, event_id AS sample_id, value < 20 AS passed, value AS elapsed_sec FROM events",
     "timings": "SELECT l_returnflag AS variant, (1::BIGINT << (l_linenumber - 1)) AS threads, l_quantity AS time_sec FROM lineitem",
     "log": "SELECT event_id AS seq, 1 + (event_id // 7) % 4 AS nthreads, value AS total_s FROM events",
     "responses": "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN '```julia' || chr(10) || text || chr(10) || '```' ELSE text END AS response FROM conversations",
 }
-SQL["native"] = f"SELECT DISTINCT task, framework, framework <> 'legate' AS reference_passed, length(task)::DOUBLE AS reference_elapsed_sec FROM ({SQL['samples']}) WHERE NOT (task = 'click' AND framework = 'dagger')"
+SQL["native"] = f"SELECT DISTINCT task, framework, framework <> 'tasks' AS reference_passed, length(task)::DOUBLE AS reference_elapsed_sec FROM ({SQL['samples']}) WHERE NOT (task = 'click' AND framework = 'arrays')"
