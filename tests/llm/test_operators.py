@@ -272,7 +272,7 @@ def test_flac_blocks_and_damage(spark):
     got = flac.decode_blocks(df, "doc_id", "media").collect()
     whole = sorted((x.sample_offset, x.samples) for x in got if x[0] == 1)
     assert sum(n for _, n in whole) == 5000 and all(a + n == b for (a, n), (b, _) in zip(whole, whole[1:], strict=False))
-    assert all(any(x.error for x in got if x.doc_id == i) for i in (2, 3, 4)) and not any(x.error for x in got if x[0] == 1)
+    assert all(any(x.error for x in got if x[0] == i) for i in (2, 3, 4)) and not any(x.error for x in got if x[0] == 1)
 
 
 # --- 9 ----------------------------------------------------------------------------------------------------
