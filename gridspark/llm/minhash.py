@@ -140,7 +140,7 @@ def _probes(large: DataFrame, percent: int) -> DataFrame:
     A partner of x has n shingles, lacks the u ones that x alone has, and so meets at most n_x - u of x's in a
     union of at least n + u: 100 * (n_x - u) >= percent * (n + u) is needed. The least n of a class decides.
     """
-    step = 1.05
+    step = 1.2
     rows = large.withColumn("class", F.floor(F.log("n") / math.log(step)).cast("int"))
     stats = rows.groupBy("key", F.col("class").alias("target")).agg(F.min("n").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     able = (F.col("n") - F.col("u")) * 100 >= (F.col("least") + F.col("u")) * percent
