@@ -1,18 +1,17 @@
-"""Passages that repeat across documents: sparse suffix arrays over minimiser positions.
+"""Passages that repeat across documents: grouped windows of ``min_words`` words.
 
-A suffix is retained where its GRAM-word hash is the least of WINDOW consecutive ones, so two texts
-that share GRAM + WINDOW - 1 words (47) retain a suffix at the same place of the shared passage.
-Suffixes whose GRAM words occur once are dropped; the others are sorted by what follows, then by
-what precedes them. Neighbours are compared and extended right (up to RIGHT words) and left (up to
-LEFT); where the match reaches ``min_words``, the earliest occurrence (least doc_id, then position)
-keeps its words and the other loses them. Matches of neighbouring suffixes join into whole passages.
+Every window of ``min_words`` words is owned by the leftmost least hash of its GRAM-word grams (a
+minimiser), so equal windows have owners with equal grams. Owners whose gram occurs once are dropped;
+the others are sorted by gram, document and position, each with the hashes of its windows. The earliest
+occurrence of a window (least doc_id, then position) keeps its words and all others lose them, whatever
+else shares their gram. Windows that overlap join into whole passages.
 
 Texts with equal words are one class: only the one with the least id is indexed, and a copy of at
 least ``min_words`` words is a repeat from end to end.
 
-The sort key ends in doc_id and position, so that range partitioning splits a passage that a third
-of all rows hold. Runs are compared in bounded pieces, each handing its keepers to the next; the
-first and last keepers of every partition meet in a further round until none is left to compare.
+The sort key ends in doc_id and position, so that range partitioning splits a gram that a third of all
+rows hold. The first and last gram of every partition may go on in another one: the windows that are new
+there meet in a further round, sorted by their own hash, and the last round has one partition.
 
 Cases: rows without id are left out; null and blank texts have no words; repeated rows with one id
 count as one document; texts under ``min_words`` words never lose any; an empty table gives an empty
@@ -30,16 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
-from .text import Words, windows
+from .text import BASE, Words, mix64, windows
 
-MIN_WORDS, GRAM, WINDOW = 50, 16, 32
-LEFT, RIGHT = WINDOW - 1, MIN_WORDS
-#: Rows that are compared at once, and neighbours before a row that it is compared with.
-PIECE, NEAR = 8192, 4
+MIN_WORDS, GRAM = 50, 16
+#: Rows that are compared at once, and windows of one gram that a partition holds before it hands them over.
+PIECE, HELD = 8192, 1 << 20
 
 
-def minimisers(grams: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
-    """Indices into ``grams`` that are the leftmost least of some ``window`` consecutive ones of one text."""
+def minimisers(grams: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``window`` consecutive ``grams`` of one text start, and the indices of the leftmost least ones of them."""
     n, text = len(grams), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     best, at, span = grams.copy(), np.arange(n), 1
     while span < window:  # the least of so many values doubles up to that of a window
@@ -49,212 +47,168 @@ def minimisers(grams: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
         take = other < best
         best, at = np.where(take, other, best), np.where(take, where, at)
         span += step
-    return np.unique(at[np.arange(n) + window <= begin[1:][text]])
+    start = np.flatnonzero(np.arange(n) + window <= begin[1:][text])
+    return start, at[start]
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for i, j, first, _, _, hashes in words.batches(texts):
-            grams, begin = windows(hashes, first, GRAM)
-            kept = minimisers(grams, begin, WINDOW)
-            text = np.searchsorted(begin, kept, side="right") - 1
-            at = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
-            anchors = pa.StructArray.from_arrays([pa.array(grams[kept].view(np.int64)), pa.array((kept - begin[text]).astype(np.int32))], ["h", "pos"])
-            prints = [hashlib.blake2b(hashes[first[t] : first[t + 1]].tobytes(), digest_size=16).digest() for t in range(j - i)]
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(prints, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(at), anchors)], ["doc_id", "fp", "n_words", "anchors"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, pos, right, left): word hashes after and (reversed) before each retained position, four bytes each."""
-    words = Words()
-    for batch in batches:
-        ids, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for i, j, first, _, _, hashes in words.batches(texts):
-            small = np.maximum(hashes >> np.uint64(32), 1).astype(np.uint32)  # 0 stands for no word
-            doc = np.repeat(np.arange(i, j), [len(places[t]) for t in range(i, j)])
-            pos = np.array([p for t in range(i, j) for p in places[t]], np.int64)
-            if not len(pos):
-                continue
-            lo, hi = first[:-1][doc - i], first[1:][doc - i]
-            after = (lo + pos)[:, None] + np.arange(RIGHT)
-            right = np.where(after < hi[:, None], small[np.minimum(after, len(small) - 1)], 0)
-            before = (lo + pos)[:, None] - 1 - np.arange(LEFT)
-            left = np.where(before >= lo[:, None], small[np.maximum(before, 0)], 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[t] for t in doc], pa.int64()), pa.array(pos.astype(np.int32)), _binary(right), _binary(left)],
-                ["doc_id", "pos", "right", "left"],
-            )
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(rows.astype(">u4"))
-    width = data.shape[1] * 4
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * width), pa.py_buffer(data.tobytes())])
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, width).astype(np.uint32)
-
-
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Leading words that rows of ``a`` and ``b`` share; 0 is no word."""
-    other = (a != b) | (a == 0)
-    return np.where(other.any(axis=1), other.argmax(axis=1), a.shape[1])
-
-
-class _Run:
-    """Rows of one run of suffixes, each linked to a neighbour."""
-
-    def __init__(self, doc: np.ndarray, pos: np.ndarray, right: np.ndarray, left: np.ndarray) -> None:
-        self.doc, self.pos, self.right, self.left = doc, pos, right, left
-
-    def take(self, rows) -> _Run:
-        return _Run(self.doc[rows], self.pos[rows], self.right[rows], self.left[rows])
-
-    def join(self, other: _Run) -> _Run:
-        return _Run(*(np.concatenate([a, b]) for a, b in zip(self.all(), other.all(), strict=True)))
-
-    def all(self) -> tuple:
-        return self.doc, self.pos, self.right, self.left
-
-    def __len__(self) -> int:
-        return len(self.doc)
-
-    def settle(self, min_words: int) -> tuple[_Run, list[tuple]]:
-        """The keepers, and (doc, from, to) arrays of what the others lose: the earliest row keeps its words,
-        all that match it lose theirs, and so on with those that are left."""
-        keepers, lost, rest = [], [], np.lexsort((self.pos, self.doc))
-        while len(rest):
-            keep, rest = rest[0], rest[1:]
-            keepers.append(keep)
-            if not len(rest):
-                break
-            r, l = common(self.right[rest], self.right[[keep]]), common(self.left[rest], self.left[[keep]])  # noqa: E741
-            hit = r + l >= min_words
-            gone = rest[hit]
-            lost.append((self.doc[gone], self.pos[gone] - l[hit], self.pos[gone] + r[hit]))
-            rest = rest[~hit]
-        return self.take(np.array(keepers, np.int64)), lost
+def _index(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for i, j, first, _, _, hashes in words.batches(texts):
+                grams, begin = windows(hashes, first, GRAM)
+                kept = np.unique(minimisers(grams, begin, min_words - GRAM + 1)[1])
+                text = np.searchsorted(begin, kept, side="right") - 1
+                at = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+                anchors = pa.StructArray.from_arrays([pa.array(grams[kept].view(np.int64)), pa.array((kept - begin[text]).astype(np.int32))], ["h", "pos"])
+                prints = [hashlib.blake2b(hashes[first[t] : first[t + 1]].tobytes(), digest_size=16).digest() for t in range(j - i)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(prints, pa.binary()), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(at), anchors)], ["doc_id", "fp", "n_words", "anchors"])
+
+    return run
+
+
+def _windows(min_words: int):
+    """(h, doc_id, pos, keys): the gram of each retained anchor, where its first window starts, and the hashes of its
+    windows, one for each word from there on."""
+    parts = [*range(0, min_words - GRAM, GRAM), min_words - GRAM]  # grams that cover a window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            ids, texts, places = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, j, first, _, _, hashes in words.batches(texts):
+                grams, begin = windows(hashes, first, GRAM)
+                start, owner = minimisers(grams, begin, min_words - GRAM + 1)
+                wanted = np.zeros(len(grams), bool)
+                for t in range(i, j):
+                    wanted[begin[t - i] + np.array(places[t], np.int64)] = True
+                start, owner = start[wanted[owner]], owner[wanted[owner]]
+                if not len(start):
+                    continue
+                key = np.zeros(len(start), np.uint64)
+                for o in parts:
+                    key = key * np.uint64(BASE) + grams[start + o]
+                row = np.flatnonzero(np.diff(owner, prepend=-1))
+                text = np.searchsorted(begin, owner[row], side="right") - 1
+                yield _rows(["h", "doc_id", "pos", "keys"], grams[owner[row]].view(np.int64), ids[i + text], start[row] - begin[text], mix64(key), np.append(row, len(key)))
+
+    return run
+
+
+def _rows(names: list[str], h: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, bounds: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    """Row i has key[bounds[i]:bounds[i + 1]], eight bytes each."""
+    keys = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(key).tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32)), keys, *more], names)
 
 
 class _Sweep:
-    """One pass over sorted suffixes. A row is linked to those of the NEAR rows before it with which it shares
-    ``min_words`` words; linked rows with no gap between them are a run, and a run is settled as a whole."""
-
-    def __init__(self, min_words: int) -> None:
-        self.min_words, self.lost = min_words, []
-        self.rows: _Run | None = None  # not settled yet
-        self.kept: _Run | None = None  # keepers of the settled pieces of the first run in rows
-        self.outer: list[_Run] = []  # keepers of runs that may go on in another partition
-        self.begun = False
-
-    def add(self, now: _Run, last: bool = False) -> None:
-        rows = now if self.rows is None else self.rows.join(now)
-        n = len(rows)
-        linked, crossed = np.zeros(n, bool), np.zeros(n + 1, np.int64)
-        for lag in range(1, min(NEAR, n - 1) + 1):
-            r, l = common(rows.right[lag:], rows.right[:-lag]), common(rows.left[lag:], rows.left[:-lag])  # noqa: E741
-            hit = np.flatnonzero(r + l >= self.min_words)
-            linked[hit] = linked[hit + lag] = True
-            np.add.at(crossed, hit + 1, 1)
-            np.add.at(crossed, hit + lag + 1, -1)
-        starts = np.flatnonzero(np.cumsum(crossed[:n]) == 0)  # rows with no link over the gap before them
-        if self.kept is not None:
-            linked[:NEAR] = True
-        if not last:
-            starts = starts[: np.searchsorted(starts, max(0, n - NEAR), side="right")]
-        bounds = [*starts.tolist(), n] if last else starts.tolist()
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            edge = not self.begun and a < NEAR or last and b > n - NEAR
-            if self.kept is not None or edge or b - a > 1:
-                self._settle(rows.take(slice(a, b)), linked[a:b], edge)
-        self.begun = self.begun or len(bounds) > 1 and bounds[-1] >= NEAR
-        open_from = n if last else bounds[-1]
-        self.rows = rows.take(slice(open_from, None))
-        if len(self.rows) > PIECE:
-            most = len(self.rows) - NEAR
-            piece = self.rows.take(slice(0, most)).take(linked[open_from : open_from + most])
-            self.kept, gone = (piece if self.kept is None else self.kept.join(piece)).settle(self.min_words)
-            self.lost.extend(gone)
-            self.rows = self.rows.take(slice(most, None))
-            if len(self.kept) > PIECE // 2:  # the following round compares them with what comes later
-                self.outer.append(self.kept)
-                self.kept = None
-
-    def _settle(self, run: _Run, linked: np.ndarray, edge: bool) -> None:
-        mine = run.take(linked)
-        if self.kept is not None:
-            mine, self.kept = self.kept.join(mine), None
-            edge = edge or not self.begun
-        if len(mine):
-            mine, gone = mine.settle(self.min_words)
-            self.lost.extend(gone)
-        if edge:
-            self.outer.append(mine.join(run.take(~linked)))
-
-
-def _compare(min_words: int):
-    """Sorted suffixes to (doc_id, a, b) of lost words, and (a null) to what another partition may match."""
+    """One pass over windows (h, doc, pos, key), sorted by h, doc and pos, equal keys having equal h. ``lost`` has (doc,
+    from, to) of those that occurred before; ``outer`` the first (key, doc, pos) in groups of h that may go on elsewhere."""
+
+    def __init__(self, min_words: int, held: int = HELD) -> None:
+        self.min_words, self.most, self.lost, self.outer = min_words, held, [], []
+        self.h, self.edge, self.held = None, True, _NONE  # the open group, and its first occurrences by key
+
+    def add(self, row: np.ndarray, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> None:
+        """Windows of whole rows; ``row`` tells them apart."""
+        new = np.zeros(len(key), bool)
+        new[np.unique(key, return_index=True)[1]] = True
+        if len(self.held[0]):
+            new &= self.held[0][np.minimum(np.searchsorted(self.held[0], key), len(self.held[0]) - 1)] != key
+        gone = np.flatnonzero(~new)
+        if len(gone):  # consecutive windows of a row are one span
+            cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(row[gone]) != 0)) + 1
+            a, b = gone[np.append(0, cut)], gone[np.append(cut, len(gone)) - 1]
+            self.lost.append((doc[a], pos[a], pos[b] + self.min_words))
+        if self.h is None:
+            self.h = h[0]
+        if self.h != h[-1]:
+            self._hold(new & (h == self.h), key, doc, pos)
+            if self.edge:
+                self.outer.append(self.held)
+            self.h, self.edge, self.held = h[-1], False, _NONE
+        self._hold(new & (h == self.h), key, doc, pos)
+        if len(self.held[0]) > self.most:  # the rest of the group goes to the next round too, which compares all of it
+            self.outer.append(self.held)
+            self.edge, self.held = True, _NONE
+
+    def end(self) -> None:
+        self.outer.append(self.held)
+
+    def _hold(self, rows: np.ndarray, *columns: np.ndarray) -> None:
+        if rows.any():
+            held = [np.concatenate([x, y[rows]]) for x, y in zip(self.held, columns, strict=True)]
+            order = np.argsort(held[0], kind="stable")
+            self.held = tuple(x[order] for x in held)
+
+
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _compare(min_words: int, held: int = HELD):
+    """Sorted windows to (doc_id, a, b) of lost words, and (a null) to what another partition may match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = _Sweep(min_words)
+        sweep = _Sweep(min_words, held)
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
                 part = batch.slice(at, PIECE)
-                sweep.add(_Run(part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int64), _matrix(part.column(2), RIGHT), _matrix(part.column(3), LEFT)))
-            if sweep.lost:
-                yield _lost(sweep.lost)
-                sweep.lost = []
-        if sweep.rows is not None:
-            sweep.add(sweep.rows.take(slice(0, 0)), last=True)
-        if sweep.lost:
-            yield _lost(sweep.lost)
-        for rows in sweep.outer:
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rows.doc), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(rows.pos.astype(np.int32)), _binary(rows.right), _binary(rows.left)], NAMES)
+                keys = part.column(3).to_pylist()
+                size = np.array([len(k) // 8 for k in keys])
+                row = np.repeat(np.arange(len(size)), size)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                h, doc, pos = (part.column(c).to_numpy().astype(np.int64)[row] for c in range(3))
+                sweep.add(row, h, doc, pos + nth, np.frombuffer(b"".join(keys), np.uint64))
+            yield from _found(sweep)
+        sweep.end()
+        yield from _found(sweep)
 
     return run
 
 
-NAMES = ["doc_id", "a", "b", "pos", "right", "left"]
+NAMES = ["h", "doc_id", "pos", "keys", "a", "b"]
 
 
-def _lost(parts: list[tuple]) -> pa.RecordBatch:
-    doc, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], NAMES)
+def _found(sweep: _Sweep) -> Iterator[pa.RecordBatch]:
+    """What the sweep has ready, and takes it from there."""
+    if sweep.lost:
+        doc, a, b = (np.concatenate(x) for x in zip(*sweep.lost, strict=True))
+        n = len(doc)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], NAMES)
+    for key, doc, pos in sweep.outer:
+        n = len(key)
+        yield _rows(NAMES, key.view(np.int64), doc, pos, key, np.arange(n + 1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()))
+    sweep.lost, sweep.outer = [], []
 
 
-def _compared(suffixes: DataFrame, partitions: int, min_words: int, name: str) -> DataFrame:
-    keys = ["right", "left", "doc_id", "pos"]
-    ordered = suffixes.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
-    return materialize(ordered.mapInArrow(_compare(min_words), "doc_id long, a int, b int, pos int, right binary, left binary"), name)
+def _compared(rows: DataFrame, partitions: int, min_words: int, name: str) -> DataFrame:
+    keys = ["h", "doc_id", "pos"]
+    ordered = rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    return materialize(ordered.mapInArrow(_compare(min_words), "h long, doc_id long, pos int, keys binary, a int, b int"), name)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_words, spans array<struct<a, b>>): words a..b-1 repeat words that an earlier place keeps; spans are apart and in order."""
+    if min_words < GRAM:
+        raise ValueError(f"min_words is at least {GRAM}")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    index = materialize(docs.mapInArrow(_index, "doc_id long, fp binary, n_words long, anchors array<struct<h: long, pos: int>>"), "index")
+    index = materialize(docs.mapInArrow(_index(min_words), "doc_id long, fp binary, n_words long, anchors array<struct<h: long, pos: int>>"), "index")
     heads = index.select("doc_id", "fp", "n_words")
     rep = heads.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     heads = materialize(heads.join(rep, "fp").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_words").alias("n_words")), "heads")
     anchors = index.join(heads.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.inline("anchors")).dropDuplicates(["doc_id", "pos"])
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     places = anchors.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    suffixes = docs.dropDuplicates(["doc_id"]).join(places, "doc_id").mapInArrow(_contexts, "doc_id long, pos int, right binary, left binary")
+    owned = docs.dropDuplicates(["doc_id"]).join(places, "doc_id").mapInArrow(_windows(min_words), "h long, doc_id long, pos int, keys binary")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = [_compared(suffixes, partitions, min_words, "compared")]
-    edges = found[0].filter("a is null").select("doc_id", "pos", "right", "left")
-    n = edges.count()
-    while n > 1:
-        found.append(_compared(edges, max(1, n // (4 * PIECE)), min_words, "edges"))
-        if n <= 4 * PIECE or found[-1].filter("a is not null").isEmpty():
-            break
-        edges = found[-1].filter("a is null").select("doc_id", "pos", "right", "left")
-        n = edges.count()
+    found = [_compared(owned, partitions, min_words, "compared")]
+    parts = 0
+    while parts != 1:  # a round of several partitions leaves at most two rows of each, so the last has one
+        edges = found[-1].filter("a is null").select("h", "doc_id", "pos", "keys")
+        parts = max(1, edges.count() // (64 * PIECE))
+        found.append(_compared(edges, parts, min_words, "edges"))
     marks = found[0].filter("a is not null").select("doc_id", "a", "b")
     for more in found[1:]:
         marks = marks.union(more.filter("a is not null").select("doc_id", "a", "b"))

@@ -134,6 +134,35 @@ def test_suffixes_of_a_hot_passage(spark):
     assert kept == [0] and all(bool(got[k].removed) == (k % 3 == 0 and k > 0) for k in range(600))
 
 
+def repeated_words(rows, n=suffixes.MIN_WORDS):
+    """Words in a window of n words that an earlier place holds, by document; rows are in order of id."""
+    seen, out = set(), {}
+    for i, t in rows:
+        ws = t.split()
+        out[i] = set()
+        for p in range(len(ws) - n + 1):
+            window = tuple(ws[p : p + n])
+            if window in seen:
+                out[i].update(range(p, p + n))
+            seen.add(window)
+    return out
+
+
+def test_suffixes_of_a_passage_that_ends_in_boilerplate(spark):
+    """The last words of each passage stand in 200 other documents, which sort between its two copies."""
+    tails = {n: words(n, 500 + n) for n in (19, 25, 33, 41, 49)}
+    passages = [words(55 - n, 600 + n) + tail for n, tail in tails.items()]
+    texts = [words(20, 50_000 + 40 * k + n) + tail + words(20, 70_000 + 40 * k + n) for k in range(200) for n, tail in tails.items()]
+    texts += [words(30, 20_000 + 2 * k + c) + p + words(30, 30_000 + 2 * k + c) for k, p in enumerate(passages) for c in range(2)]
+    random.Random(8).shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = repeated_words(rows)
+    assert sum(len(w) for w in want.values()) >= 5 * 55  # and tails with a word more that happens to be equal
+    text = dict(rows)
+    got = {r.doc_id: sum((text[r.doc_id][s.start : s.end].split() for s in r.removed), []) for r in suffixes.deduplicate(table(spark, rows)).collect()}
+    assert got == {i: [text[i].split()[p] for p in sorted(want[i])] for i in text}
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------
 
 
