@@ -6,7 +6,9 @@ probability of each domain. Document rates r >= 0 then minimise
     sum over domains d of  (sum_i r_i t_i p_id - w_d B)**2 / N_d
 
 (t white-space tokens, p posteriors, w weights, B the token budget, N the totals at rate 1) by projected gradient
-from r = 1, each document's step divided by its tokens. An iteration is one aggregation over all
+from r = 1, each document's step divided by its tokens. The budget is the largest for which no wanted domain, one
+with at least an even share of the weights, must repeat tokens; a scarcer one of the others gives what it has and
+falls short, which is logged. An iteration is one aggregation over all
 documents; what passes the driver is one number a domain.
 
 Everything is Spark SQL; the model is literals of ``buckets`` x domains numbers. Training takes at most
@@ -20,6 +22,7 @@ occur; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -102,17 +105,37 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 WEIGHTS = {"good": 0.92, "plain": 0.07, "toxic": 0.01}
 
 
-def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False, tolerance: float = 1e-4, max_steps: int = 60) -> DataFrame:
-    """``members`` (tokens, p array<double>, ...) with a column ``rate``. The budget is the largest that no domain
-    must repeat tokens for; with ``upsample`` it is all tokens."""
+def targets(n: list[float], weights: list[float], upsample: bool = False) -> list[float]:
+    """Tokens wanted of each domain, of which there are ``n``. Without ``upsample`` none is asked for more than it has,
+    and only wanted domains, those with at least an even share of the weights, bound the budget."""
     k, share = len(weights), [w / sum(weights) for w in weights]
+    if upsample:
+        return [x * sum(n) for x in share]
+    bound = [d for d in range(k) if n[d] > 0 and share[d] > 0]
+    wanted = [d for d in bound if share[d] * k >= 1 - 1e-9] or bound
+    budget = min((n[d] / share[d] for d in wanted), default=sum(n))
+    return [min(share[d] * budget, n[d]) for d in range(k)]
+
+
+def unmet(n: list[float], weights: list[float]) -> dict[int, tuple[float, float]]:
+    """Domain -> (share of the tokens that it gets, share that its weight asks for), where it gets less."""
+    target = targets(n, weights)
+    got = [t / (sum(target) or 1.0) for t in target]
+    return {d: (got[d], w / sum(weights)) for d, w in enumerate(weights) if got[d] < 0.999 * w / sum(weights)}
+
+
+def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False, tolerance: float = 1e-4, max_steps: int = 60) -> DataFrame:
+    """``members`` (tokens, p array<double>, ...) with a column ``rate``. The budget is the largest that no wanted domain
+    must repeat tokens for, see :func:`targets`; with ``upsample`` it is all tokens."""
+    k = len(weights)
     total = members.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(d))).alias(f"n{d}") for d in range(k)]).first()
     n = [x or 0.0 for x in total]
     usable = [d for d in range(k) if n[d] > 0]
     if not usable:
         return members.withColumn("rate", F.lit(1.0))
-    budget = sum(n) if upsample else min(sum(n), *[n[d] / share[d] for d in usable if share[d] > 0], sum(n))
-    target = [share[d] * budget for d in range(k)]
+    target = targets(n, weights, upsample)
+    for d, (got, asked) in ({} if upsample else unmet(n, weights)).items():
+        logging.getLogger(__name__).warning("domain %d of %d has too few tokens: %.4f of the mix instead of %.4f", d + 1, k, got, asked)
 
     def stepped(rate: Column, steps: list[list[float]]) -> Column:
         for g in steps:

@@ -222,6 +222,25 @@ def test_mixing(spark):
     assert all(abs(x.p_good - 0.5) < 1e-6 for x in unlabelled)
 
 
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_mixing_keeps_a_clean_corpus(spark, toxic):
+    """0.1 % toxic documents, or none, where the weights ask for 1 %."""
+    sets, r = {"good": words(40, 23), "plain": words(40, 24), "toxic": words(40, 25)}, random.Random(6)
+    kind = {k: "toxic" if k < toxic else "plain" if k % 10 == 9 else "good" for k in range(1000)}
+    docs = table(spark, [(k, " ".join(r.choices(sets[d], k=50))) for k, d in kind.items()])
+    got = mixing.mix(docs, spark.createDataFrame(list(kind.items()), "doc_id long, domain string")).collect()
+    n = {d: sum(v == d for v in kind.values()) for d in sets}
+    copies = {d: sum(x.copies for x in got if kind[x.doc_id] == d) for d in sets}
+    assert copies["good"] >= 0.98 * n["good"] and max(x.copies for x in got) <= 1
+    assert copies["plain"] < 0.85 * n["plain"]  # 7 : 92 of the good ones
+
+
+def test_mixing_targets():
+    assert mixing.targets([930.0, 69.0, 1.0], [0.92, 0.07, 0.01]) == [930.0, 69.0, 1.0]
+    assert set(mixing.unmet([930.0, 69.0, 1.0], [0.92, 0.07, 0.01])) == {1, 2}
+    assert mixing.targets([10.0, 90.0], [0.5, 0.5]) == [10.0, 10.0] and mixing.unmet([10.0, 90.0], [0.5, 0.5]) == {}
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------
 
 
