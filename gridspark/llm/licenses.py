@@ -1,10 +1,12 @@
 """License notices in whole texts: MinHash bands over overlapping windows, then exact containment.
 
 Words are runs of a-z and 0-9 after lower-casing; shingles are five words. For a template of m words the
-windows have m + s - 1 words, one every s = m // 4 (at least 1), so one of them holds any whole occurrence.
+windows have m + 2 s - 1 words, one every s = m // 4 (at least 1), so one of them holds any whole occurrence
+of up to m + s words: inserted words, such as comment marks, may break a quarter of the shingles.
 A window and a template are compared where one of BANDS one-row MinHash bands agrees: at a containment
-of 0.75 their Jaccard is at least 0.4, and all bands differ with chance 0.6**32 < 1e-7. The window is a
-match if it holds at least ``threshold`` of the template's shingles.
+of 0.75 their Jaccard is at least 0.375, and all bands differ with chance 0.625**32 < 1e-6. The window is a
+match if it holds at least ``threshold`` of the template's shingles. Where the first m + s - 1 words of
+some window do alone, only these windows are counted and placed: so they are for unbroken notices.
 
 No shingle of a template is without one of :func:`telling` words, so texts without any of them hold no
 match, nor do windows; this exact test saves hashing most of the corpus. All is Spark SQL; templates are
@@ -95,14 +97,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     def windows(m: int) -> Column:
         step = max(1, m // 4)
         starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(step))
-        near = F.filter(starts, lambda i: F.exists(F.slice(F.col("told"), i + 1, m + step - 1), lambda t: t) & (i < F.size("s")))
-        return F.transform(near, lambda i: F.struct(F.lit(m).alias("m"), i.alias("start"), F.slice(F.col("s"), i + 1, m + step - WORDS).alias("s")))
+        near = F.filter(starts, lambda i: F.exists(F.slice(F.col("told"), i + 1, m + 2 * step - 1), lambda t: t) & (i < F.size("s")))
+        return F.transform(near, lambda i: F.struct(F.lit(m).alias("m"), i.alias("start"), F.slice(F.col("s"), i + 1, m + 2 * step - WORDS).alias("s")))
 
     each = rows.select("doc_id", F.explode(F.concat(*[windows(m) for m in sizes])).alias("x")).select("doc_id", "x.m", "x.start", "x.s")
     each = each.select("doc_id", "m", "start", "s", _bands(F.col("s")).alias("bands"))
     met = F.filter(literal, lambda t: (t["m"] == F.col("m")) & F.arrays_overlap(t["bands"], "bands"))
-    held = lambda t: F.size(F.array_intersect(t["s"], "s")) / F.size(t["s"])
-    found = each.select("doc_id", "start", F.explode(F.transform(met, lambda t: F.struct(t["license"].alias("license"), held(t).alias("c")))).alias("t")).filter(F.col("t.c") >= threshold)
+    held = lambda t, s: F.size(F.array_intersect(t["s"], s)) / F.size(t["s"])
+    short = F.slice("s", 1, F.col("m") + F.greatest(F.lit(1), F.floor(F.col("m") / 4).cast("int")) - WORDS)
+    found = each.select("doc_id", "start", F.explode(F.transform(met, lambda t: F.struct(t["license"].alias("license"), held(t, F.col("s")).alias("c"), held(t, short).alias("short")))).alias("t")).filter(F.col("t.c") >= threshold)
+    whole = F.when(F.col("t.short") >= threshold, F.col("start"))
     return found.groupBy("doc_id", F.col("t.license").alias("license")).agg(
-        F.round(F.max("t.c"), 6).alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("start").cast("long").alias("first_word")
+        F.round(F.max("t.c"), 6).alias("containment"), F.coalesce(F.nullif(F.count(whole), F.lit(0)), F.count(F.lit(1))).alias("n_windows"),
+        F.coalesce(F.min(whole), F.min("start")).cast("long").alias("first_word"),
     )

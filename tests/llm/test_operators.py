@@ -353,3 +353,16 @@ def test_licenses(spark):
     want = {(i, k) for i, x in rows for k, t in licenses.TEMPLATES.items() if held(x, t) >= 0.75}
     assert set(got) == want and (1, "mit-grant") in want and (5, "mit-grant") in want
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_licenses_with_an_inserted_word(spark):
+    """In the middle of the notice, at every alignment to the windows."""
+    names = ["apache-2.0-header", "bsd", "gpl-header", "mit-grant"]
+    rows, want = [], {}
+    for k, name in enumerate(names):
+        w = licenses.template_words(licenses.TEMPLATES[name])
+        for at in range(40):
+            rows.append((100 * k + at, " ".join(words(at, 900 + at) + w[: len(w) // 2] + ["rem"] + w[len(w) // 2 :] + words(60, 950 + at))))
+            want[100 * k + at, name] = round((len(w) - 8) / (len(w) - 4), 6)
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(table(spark, rows)).collect()}
+    assert got == want
