@@ -163,6 +163,29 @@ def test_suffixes_of_a_passage_that_ends_in_boilerplate(spark):
     assert got == {i: [text[i].split()[p] for p in sorted(want[i])] for i in text}
 
 
+def test_windows_of_one_gram_over_partitions():
+    """A gram with more windows than a partition holds at once: what is handed over is compared with all that follows."""
+    import numpy as np
+
+    r = random.Random(12)
+    keys = [r.randrange(1, 40) for _ in range(400)]
+    found, outer = set(), []
+    for part in range(4):
+        sweep = suffixes._Sweep(50, held=5)
+        for at in range(100 * part, 100 * part + 100, 10):
+            doc = np.arange(at, at + 10)
+            sweep.add(np.arange(10), np.zeros(10, np.int64), doc, np.zeros(10, np.int64), np.array(keys[at : at + 10], np.uint64))
+        sweep.end()
+        found |= {int(d) for x in sweep.lost for d in x[0]}
+        outer += [(int(k), int(d)) for x in sweep.outer for k, d in zip(x[0], x[1], strict=True)]
+    outer.sort()
+    last = suffixes._Sweep(50, held=5)
+    key, doc = np.array([k for k, _ in outer], np.uint64), np.array([d for _, d in outer])
+    last.add(np.arange(len(doc)), key.view(np.int64), doc, np.zeros(len(doc), np.int64), key)
+    found |= {int(d) for x in last.lost for d in x[0]}
+    assert found == {i for i, k in enumerate(keys) if k in keys[:i]}
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------
 
 
