@@ -1,65 +1,112 @@
-"""Repeated lines or paragraphs: each unit's first occurrence stays, all later ones go.
+"""Repeated lines, paragraphs or wrapped lines: each unit's first occurrence stays, later ones go.
 
-Units are the lines of a text, or its paragraphs (runs of lines up to a blank one). A unit is normalised
-(lower case, runs of white space to one space, ends trimmed) and stands as a 128-bit digest; digests
-are grouped over all documents, and the occurrence with the least (doc_id, place) stays. Units with
-fewer than ``min_chars`` normalised characters, at least one, are never removed.
+Units are the lines of a text (``line``), its paragraphs (``paragraph``: runs of lines up to a blank
+one), or its lines wrapped at sentence ends (``sentence``), which also meet where two texts break the
+same passage into other lines. A unit is normalised (lower case, runs of white space to one space, ends
+trimmed) and stands as a 128-bit digest; digests are grouped over all documents, and the occurrence with
+the least (doc_id, text hash, place) stays. Of the others, those go that stand in a run of at least
+``min_words`` words of such repeated units: a short line that many texts hold by chance is no passage.
+With ``min_words`` 1 every repeated unit goes. Blank units are none, and break no run.
 
 The first occurrence of each digest comes from partial minima, so a line that a third of all rows
 hold costs one row a task; the join back is one that adaptive execution can split.
 
-Cases: rows without id are left out; a null text has no units and stays null; repeated rows with one
-id share their places and so keep the same units; an empty table gives an empty table; other input
-columns are not read.
+Cases: rows without id are left out; a null text has no units and stays null; rows that share an id and
+differ in text are documents of their own; rows equal in id and text are one document, and each keeps
+what that keeps; a very long text is one row throughout; an empty table gives an empty table; other
+input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
 
-#: What parts the units; the same pattern in Java and in Python.
-PARTS = {"line": r"\n", "paragraph": r"\n(?=[ \t\r]*\n)"}
+#: Lines are wrapped at a space after one of these.
+STOPS = (". ", "! ", "? ")
+UNITS = ("line", "paragraph", "sentence")
+MIN_WORDS = 30
+#: A line break before a blank line; the same pattern in Java and in Python.
+BLANK = r"\n(?=[ \t\r]*\n)"
 
 
-def repeated_units(docs: DataFrame, unit: str, min_chars: int) -> DataFrame:
-    """(doc_id, nth): the units to remove, of rows with columns doc_id and text."""
-    body = F.trim(F.regexp_replace(F.lower("body"), r"\s+", " "))
-    flat = docs.filter("text is not null").select("doc_id", F.posexplode(F.split("text", PARTS[unit], -1)).alias("nth", "body")).withColumn("body", body)
-    flat = materialize(flat.filter(F.length("body") >= max(1, min_chars)).select("doc_id", "nth", F.unhex(F.md5("body")).alias("digest")), "units")
+def _split(text: Column, unit: str) -> Column:
+    """The units of a text, which one character parts from each other."""
+    if unit == "sentence":
+        for stop in STOPS:
+            text = F.replace(text, F.lit(stop), F.lit(stop[0] + "\n"))
+    return F.split(text, BLANK if unit == "paragraph" else "\n", -1)
+
+
+def _splitter(unit: str) -> Callable[[str], list[str]]:
+    """The same in Python."""
+    if unit == "paragraph":
+        return re.compile(BLANK).split
+
+    def split(text: str) -> list[str]:
+        if unit == "sentence":
+            for stop in STOPS:
+                text = text.replace(stop, stop[0] + "\n")
+        return text.split("\n")
+
+    return split
+
+
+def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
+    """(doc_id, rid, nth, at, words): units that occurred before, of rows with columns doc_id, rid and text. ``nth``
+    numbers a text's units that are not blank, ``at`` all of them."""
+    body = lambda u: F.trim(F.regexp_replace(F.lower(u), r"\s+", " "))
+    each = F.transform(_split(F.col("text"), unit), lambda u, i: F.struct(i.alias("at"), body(u).alias("body")))
+    flat = docs.filter("text is not null").select("doc_id", "rid", F.posexplode(F.filter(each, lambda u: u["body"] != "")).alias("nth", "u"))
+    flat = flat.select("doc_id", "rid", "nth", "u.at", F.size(F.split("u.body", " ")).alias("words"), F.unhex(F.md5("u.body")).alias("digest"))
+    flat = materialize(flat, "units")
     first = flat.groupBy("digest").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "d")
     again = flat.join(first, "digest")
     # Of the first document's own occurrences the first one stays.
-    stays = again.filter("doc_id = d").groupBy("digest").agg(F.min("nth").alias("p"))
-    gone = again.join(stays, "digest").filter("doc_id <> d or nth <> p").select("doc_id", "nth").distinct()
+    stays = again.filter("doc_id = d").groupBy("digest").agg(F.min(F.struct("rid", "nth")).alias("p"))
+    gone = again.join(stays, "digest").filter("doc_id <> d or rid <> p.rid or nth <> p.nth").select("doc_id", "rid", "nth", "at", "words").distinct()
     out = materialize(gone, "gone")
     discard(flat)
     return out
 
 
-def _cut(unit: str):
-    pattern = re.compile(PARTS[unit])
+def _drop(units: list[dict], min_words: int) -> set[int]:
+    """Which of the repeated units stand in runs of enough words."""
+    units = sorted((u["nth"], u["at"], u["words"]) for u in units)
+    out, i = set(), 0
+    while i < len(units):
+        j = i + 1
+        while j < len(units) and units[j][0] == units[j - 1][0] + 1:
+            j += 1
+        if sum(u[2] for u in units[i:j]) >= min_words:
+            out.update(u[1] for u in units[i:j])
+        i = j
+    return out
+
+
+def _cut(unit: str, min_words: int):
+    split = _splitter(unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             clean, count, spans = [], [], []
-            for text, nth in zip(texts, gone, strict=True):
-                parts = pattern.split(text) if text is not None else []
-                drop, at, removed, kept = set(nth or ()), 0, [], []
+            for text, units in zip(texts, gone, strict=True):
+                parts = split(text) if text is not None else []
+                drop, at, removed, kept = _drop(units or [], min_words), 0, [], []
                 for i, part in enumerate(parts):
                     if i in drop:
                         removed.append({"start": at, "end": at + len(part)})
-                    else:
-                        kept.append(part)
+                    else:  # with the character that parts it from what is before
+                        kept.append(text[max(at - 1, 0) : at + len(part)] if kept else part)
                     at += len(part) + 1
-                clean.append("\n".join(kept) if text is not None else None)
+                clean.append("".join(kept) if text is not None else None)
                 count.append(len(parts))
                 spans.append(removed)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -71,10 +118,12 @@ def _cut(unit: str):
     return run
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_chars: int = 1) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
     """(doc_id, text, n_units, n_removed, removed array<struct<start, end>>) for every row with an id: the text
     without its repeated units, and where these were in the original, in characters."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    gone = repeated_units(rows, unit, min_chars).groupBy("doc_id").agg(F.collect_list("nth").alias("gone"))
-    joined = rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_cut(unit), "doc_id long, text string, n_units int, n_removed int, removed array<struct<start: long, end: long>>")
+    if unit not in UNITS:
+        raise ValueError(f"unit is one of {', '.join(UNITS)}")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    gone = repeated_units(rows, unit).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("nth", "at", "words")).alias("gone"))
+    joined = rows.join(gone, ["doc_id", "rid"], "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(_cut(unit, min_words), "doc_id long, text string, n_units int, n_removed int, removed array<struct<start: long, end: long>>")

@@ -54,18 +54,25 @@ FROM e JOIN prints a ON a.t = e.t JOIN prints b ON b.t = e.et JOIN prints c ON c
 
 OP7 = """
 WITH u AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, text, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS i
+  FROM (SELECT doc_id, text, replace(replace(replace(text, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)) AS t FROM documents WHERE text IS NOT NULL)
 ), v AS (
-  SELECT doc_id, i, raw, trim(regexp_replace(lower(raw), '\\s+', ' ', 'g')) AS body,
+  SELECT doc_id, i, raw, text, trim(regexp_replace(lower(raw), '\\s+', ' ', 'g')) AS body,
     sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) - 1 AS pos FROM u
 ), w AS (
-  SELECT *, body <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS gone FROM v
+  SELECT doc_id, i, raw, body, pos, CASE WHEN i = 1 THEN ' ' ELSE text[pos:pos] END AS sep, len(string_split(body, ' ')) AS words,
+    body <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS again FROM v
+), r AS (
+  SELECT *, sum((body <> '')::INT) OVER (PARTITION BY doc_id ORDER BY i) - sum(again::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w
+), g AS (
+  SELECT *, again AND sum(words) FILTER (again) OVER (PARTITION BY doc_id, run) >= 30 AS gone FROM r
 )
-SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_units,
+SELECT doc_id, coalesce(string_agg(sep || raw, '' ORDER BY i) FILTER (NOT gone), ' ')[2:] AS text, count(*) AS n_units,
   count(*) FILTER (gone) AS n_removed,
   coalesce(string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_starts,
   coalesce(string_agg((pos + length(raw))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_ends
-FROM w GROUP BY doc_id
+FROM g GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0, '', '' FROM documents WHERE text IS NULL AND doc_id IS NOT NULL
 """
 
 OP4 = """

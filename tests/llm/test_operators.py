@@ -297,28 +297,61 @@ def test_packing_takes_the_tightest_bin():
 # --- 7 ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_lines(spark, unit):
-    rows = [(1, "A b\nx\n\nA  B\nz"), (2, "a b\nq"), (3, None), (4, ""), (5, "x\n\nx\n\nq"), (6, "\n\n"), (7, "long " * 30_000)]
-    got = {r.doc_id: r for r in lines.deduplicate(table(spark, rows), unit=unit).collect()}
+def deduplicated_lines(rows, unit, min_words):
+    """id, text -> (clean text, spans), in order of (id, text hash given by the caller)."""
     import re
 
-    seen, want = set(), {}
-    for i, t in rows:
-        kept, spans, at = [], [], 0
-        for part in re.split(lines.PARTS[unit], t) if t is not None else []:
+    def split(text):
+        if unit == "sentence":
+            text = re.sub(r"([.!?]) ", r"\1\n", text)
+        return re.split(r"\n(?=[ \t\r]*\n)" if unit == "paragraph" else r"\n", text)
+
+    seen, out = set(), []
+    for i, text in rows:
+        if text is None:
+            out.append((i, None, []))
+            continue
+        spans, at = [], 0
+        for part in split(text):
             body = " ".join(part.lower().split())
-            if body and body in seen:
-                spans.append((at, at + len(part)))
-            else:
-                kept.append(part)
+            spans.append((at, at + len(part), body, bool(body) and body in seen))
             seen.add(body)
             at += len(part) + 1
-        want[i] = ("\n".join(kept) if t is not None else None, spans)
-    assert {i: (r.text, [(s.start, s.end) for s in r.removed]) for i, r in got.items()} == want
+        real = [s for s in spans if s[2]]
+        gone = set()
+        for k in range(len(real)):  # the run around each repeated unit
+            lo = hi = k
+            while lo >= 0 and real[lo][3]:
+                lo -= 1
+            while hi < len(real) and real[hi][3]:
+                hi += 1
+            if real[k][3] and sum(len(s[2].split()) for s in real[lo + 1 : hi]) >= min_words:
+                gone.add(real[k][:2])
+        kept = [s for s in spans if s[:2] not in gone]
+        clean = "".join((text[s[0] - 1] if n else "") + text[s[0] : s[1]] for n, s in enumerate(kept))
+        out.append((i, clean, sorted(gone)))
+    return out
+
+
+LINES = [
+    (1, "A b\nx\n\nA  B\nz"), (2, "a b\nq"), (3, None), (4, ""), (5, "x\n\nx\n\nq"), (6, "\n\n"), (7, "long " * 30_000),
+    (8, "One two three. Four five six! Seven eight nine? Ten\neleven."), (9, "zero. Four five six! Seven eight nine? More. One two three."), (10, "Four five six!\n\nSEVEN eight  nine?"),
+]
+
+
+@pytest.mark.parametrize("unit,min_words", [("line", 1), ("paragraph", 1), ("sentence", 1), ("sentence", 5), ("line", 3)])
+def test_lines(spark, unit, min_words):
+    got = sorted((r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in lines.deduplicate(table(spark, LINES), unit=unit, min_words=min_words).collect())
+    assert got == deduplicated_lines(LINES, unit, min_words)
     assert lines.deduplicate(table(spark, [])).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b\nc d"), (2, "x y\nc d"), (2, "p q\nr s"), (2, "p q\nr s"), (None, "a b")]
+    got = sorted((r.doc_id, r.text) for r in lines.deduplicate(table(spark, rows)).collect())
+    assert got == [(1, "a b\nc d"), (2, "p q\nr s"), (2, "p q\nr s"), (2, "x y")]
+
+
 # --- 8 ----------------------------------------------------------------------------------------------------
 
 
