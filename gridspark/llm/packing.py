@@ -1,14 +1,18 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
-Documents are dealt by the hash of their id into groups of about GROUP; a group is packed in one task
-from its ids and token counts alone. A document longer than the longest sequence is cut into whole
-ones and a rest. Pieces go, longest first, into the open bin that they leave the least room in. Where
-none has room a bin is opened, of the length with the least cost for each token it can be expected to
-hold: cost(length) / min(length, piece + what is still to be placed). At the end each bin shrinks to
-the shortest permitted length that holds its contents.
-
-Cases: rows without id are left out; documents without tokens are a piece of length 0; repeated rows
-are packed as often as they occur; an empty table gives an empty table; other columns are not read.
+Documents are dealt by hash into groups of about GROUP; a group is packed in one task from its ids and
+token counts alone. A document longer than the longest sequence is cut into whole ones and a rest.
+Pieces go, longest first, into the open bin that they leave the least room in. Where none has room a bin
+is opened: for each permitted length that takes the piece a trial fills it with the largest pieces that
+are still to be placed, and the length of the least cost for each token that it would hold is opened, the
+shortest of equals. So a longer bin is opened where pieces leave shorter ones half empty. Later pieces may
+go to other bins than the trial had in mind; at the end each bin shrinks to the shortest permitted length
+that holds its contents.
+
+Cases: rows without id are left out; documents without tokens (null or blank texts) are a piece of length
+0, all of a group in one bin if they are alone; repeated rows are packed as often as they occur, 64 of one
+kind at most going to one group; a very long text is as many pieces as it needs; of equal sizes the lesser
+id goes first; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .mixing import words
 
-LENGTHS, GROUP = (512, 1024, 2048, 4096), 4096
+LENGTHS, GROUP, ALIKE = (512, 1024, 2048, 4096), 4096, 64
 
 
 def sequence_cost(length: int) -> float:
@@ -30,6 +34,31 @@ def sequence_cost(length: int) -> float:
     return length + length * length / 16_384 + 16
 
 
+class _Left:
+    """How many pieces of each size are still to be placed; bit s of ``mask`` is set if there are any of size s > 0."""
+
+    def __init__(self, sizes: Sequence[int]) -> None:
+        self.count: dict[int, int] = {}
+        for s in sizes:
+            self.count[s] = self.count.get(s, 0) + 1
+        self.mask = sum(1 << s for s in self.count if s)
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if size and not self.count[size]:
+            self.mask ^= 1 << size
+
+    def fill(self, room: int) -> int:
+        """Tokens that the largest pieces, one after the other as they fit, put into ``room``."""
+        mask, start = self.mask, room
+        while room and (fits := mask & ((2 << room) - 1)):
+            size = fits.bit_length() - 1
+            n = min(self.count[size], room // size)
+            room -= n * size
+            mask &= (1 << size) - 1
+        return start - room
+
+
 def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = sequence_cost) -> list[tuple[int, int, int, int, int, int]]:
     """(item, piece, start, size, bin, capacity) for every piece of every item, in the order of bins and of placing."""
     lengths = sorted(lengths)
@@ -40,25 +69,34 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, cost: Callable[
         pieces += [(longest, item, p) for p in range(whole)]
         pieces.append((size - whole * longest, item, whole))
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    left = sum(p[0] for p in pieces)
+    left = _Left([p[0] for p in pieces])
+    shortest = lambda held: lengths[bisect_left(lengths, held)]
+
+    def opened(size: int) -> int:
+        best = None
+        for n in lengths[bisect_left(lengths, size) :]:
+            held = size + left.fill(n - size)
+            price = cost(shortest(held)) / max(1, held)
+            if best is None or price < best[0]:
+                best = (price, n)
+        return best[1]
+
     open_bins: list[tuple[int, int]] = []  # (room, bin), ascending
     held: list[int] = []
     placed = []
     for size, item, piece in pieces:
+        left.take(size)
         at = bisect_left(open_bins, (size, -1))
         if at < len(open_bins):
             room, where = open_bins.pop(at)
         else:
-            fits = [n for n in lengths if n >= size]
-            room, where = min(fits, key=lambda n: (cost(n) / max(1, min(n, left)), n)), len(held)
+            room, where = opened(size), len(held)
             held.append(0)
         insort(open_bins, (room - size, where))
         placed.append((item, piece, piece * longest, size, where))
         held[where] += size
-        left -= size
-    fit = [next(n for n in lengths if n >= h) for h in held]
     placed.sort(key=lambda p: p[4])
-    return [(*p, fit[p[4]]) for p in placed]
+    return [(*p, shortest(held[p[4]])) for p in placed]
 
 
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, lengths: Sequence[int] = LENGTHS, group: int = GROUP) -> DataFrame:
@@ -69,11 +107,16 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     """
     n = F.size(words(F.col(text_col))) if tokens_col is None else F.coalesce(F.col(tokens_col), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n")).filter("doc_id is not null")
+    # Rows alike in id and size are counted first and go to groups by the ALIKE, so that an id of very many rows is no hot group.
+    kinds = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("times"))
     groups = max(1, -(-docs.count() // group))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / ALIKE))
+    dealt = kinds.select("doc_id", "n", "times", F.explode(parts).alias("part"))
+    dealt = dealt.select("doc_id", "n", F.least(F.col("times") - F.col("part") * ALIKE, F.lit(ALIKE)).alias("times"), F.pmod(F.xxhash64("doc_id", "n", "part"), F.lit(groups)).alias("grp"))
     lengths = tuple(int(x) for x in lengths)
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], ignore_index=True)
+        pdf = pdf.loc[pdf.index.repeat(pdf["times"])].sort_values(["doc_id", "n"], ignore_index=True)
         out = pd.DataFrame(pack(pdf["n"].tolist(), lengths), columns=["item", "piece", "piece_start", "n_tokens", "bin", "capacity"])
         before = out.groupby("bin")["n_tokens"]
         out["position"] = before.cumsum() - out["n_tokens"]
@@ -83,5 +126,4 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
         return out[["sequence_id", "capacity", "slot", "position", "doc_id", "piece", "piece_start", "n_tokens"]]
 
     schema = "sequence_id long, capacity int, slot int, position long, doc_id long, piece int, piece_start long, n_tokens long"
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(lambda pdf: packed(pdf), schema)

@@ -294,6 +294,82 @@ def test_packing_takes_the_tightest_bin():
     assert of[0] not in (of[1], of[2]) and of[1] == of[2]
 
 
+def slow_pack(sizes, lengths, cost):
+    """The rules of the operator, each step by a search through everything."""
+    longest, pieces = max(lengths), []
+    for item, size in enumerate(sizes):
+        k = 0
+        while size > longest:
+            pieces.append((longest, item, k))
+            size, k = size - longest, k + 1
+        pieces.append((size, item, k))
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    shortest = lambda held: min(n for n in lengths if n >= held)
+    bins = []  # [length, [pieces]]
+    for i, piece in enumerate(pieces):
+        fits = [(b[0] - sum(p[0] for p in b[1]) - piece[0], k) for k, b in enumerate(bins) if b[0] - sum(p[0] for p in b[1]) >= piece[0]]
+        if fits:
+            bins[min(fits)[1]][1].append(piece)
+            continue
+        price = {}
+        for n in lengths:
+            if n >= piece[0]:
+                held = piece[0]
+                for p in pieces[i + 1 :]:
+                    held += p[0] if held + p[0] <= n else 0
+                price[n] = cost(shortest(held)) / max(1, held)
+        bins.append([min(price, key=lambda n: (price[n], n)), [piece]])
+    return bins, sorted((p[1], p[2], p[0], k, shortest(sum(q[0] for q in b[1]))) for k, b in enumerate(bins) for p in b[1])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_against_slow_search(seed):
+    r = random.Random(seed)
+    lengths = sorted(r.sample([8, 12, 16, 20, 32, 40, 64], 3))
+    sizes = [r.choice([0, 1, 3, 5, 9, 11, 17, 25, 33, 70, 150]) for _ in range(r.randint(1, 60))]
+    cost = r.choice([lambda n: n + 4, lambda n: n + n * n / 64 + 2, lambda n: n**0.5])
+    placed = packing.pack(sizes, lengths, cost)
+    bins, want = slow_pack(sizes, lengths, cost)
+    assert sorted((p[0], p[1], p[3], p[4], p[5]) for p in placed) == want
+
+
+def total_cost(placed, cost):
+    return sum(cost(c) for c in dict((p[4], p[5]) for p in placed).values())
+
+
+def test_packing_chooses_among_lengths():
+    """Three pieces of 300 fill 1024 better than 512, whose cost a token is less when full; a length alone costs more."""
+    cost = packing.sequence_cost
+    assert {p[5] for p in packing.pack([300] * 30)} == {1024} and {p[5] for p in packing.pack([256] * 30)} == {512}
+    r = random.Random(5)
+    sizes = [r.choice([60, 300, 340, 500, 700, 900, 1300, 5000]) for _ in range(400)]
+    placed = packing.pack(sizes)
+    assert total_cost(placed, cost) < total_cost(packing.pack(sizes, [packing.LENGTHS[-1]]), cost)  # the one length that cuts no more
+    assert len({p[5] for p in placed}) > 1 and any(p[5] > min(n for n in packing.LENGTHS if n >= max(q[3] for q in placed if q[4] == p[4])) for p in placed)
+
+
+def test_packing_shrinks_bins():
+    """The trial has the 6 go with the 7 into a bin of 13 or more; the 6 then finds a tighter one, and the bin shrinks."""
+    seen = 0
+    for seed in range(200):
+        r = random.Random(seed)
+        sizes, lengths, cost = [r.randint(1, 20) for _ in range(12)], [8, 14, 20], lambda n: n + 6
+        bins, want = slow_pack(sizes, lengths, cost)
+        seen += any(min(n for n in lengths if n >= sum(p[0] for p in b[1])) < b[0] for b in bins)
+        assert sorted((p[0], p[1], p[3], p[4], p[5]) for p in packing.pack(sizes, lengths, cost)) == want
+    assert seen > 5
+
+
+def test_packing_of_an_id_that_a_third_of_all_rows_hold(spark):
+    rows = [(7, "a b c")] * 300 + [(k, "d " * (k % 40)) for k in range(100, 700)]
+    got = packing.best_fit(table(spark, rows), group=50).collect()
+    assert sum(x.doc_id == 7 for x in got) == 300 and sum(x.n_tokens for x in got) == sum(len(t.split()) for _, t in rows)
+    of = {}
+    for x in got:
+        of.setdefault(x.sequence_id % 18, set()).add(x.doc_id)
+    assert sum(7 in ids for ids in of.values()) >= 3
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------
 
 
