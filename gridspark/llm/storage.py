@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset and all runs in one process (tests), a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,12 +44,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Most keys that are sent to every executor; with more, both sides are shuffled.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 500_000
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys`` (distinct longs); a wide ``df`` stays where it is if the keys,
     counted first, are few."""
-    keys = materialize(keys, "keys")
+    keys = materialize(keys, "keys")  # as a table of its own the sorted join can be split at keys that many rows hold
     few = keys.count() <= BROADCAST_KEYS
     return df.join(F.broadcast(keys) if few else keys, on, "left_semi")

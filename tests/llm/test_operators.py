@@ -134,6 +134,16 @@ def test_suffixes_of_a_hot_passage(spark):
     assert kept == [0] and all(bool(got[k].removed) == (k % 3 == 0 and k > 0) for k in range(600))
 
 
+def test_suffixes_of_rows_that_share_an_id(spark):
+    long = words(90, 17)
+    text = " ".join(long)
+    other = " ".join(words(40, 18) + long[10:75] + words(40, 19))
+    rows = [(1, text), (2, text), (2, None), (2, "one two three"), (3, "a"), (4, text), (4, other), (4, other), (5, "one two three"), (None, text)]
+    got = sorted((r.doc_id, r.text, r.n_words, r.n_removed) for r in suffixes.deduplicate(table(spark, rows)).collect() if r.text is not None)
+    rest = " ".join(words(40, 18)) + "  " + " ".join(words(40, 19))
+    assert got == sorted([(1, text, 90, 0), (2, "", 90, 90), (2, "one two three", 3, 0), (3, "a", 1, 0), (4, "", 90, 90), (4, rest, 145, 65), (4, rest, 145, 65), (5, "one two three", 3, 0)])
+
+
 def repeated_words(rows, n=suffixes.MIN_WORDS):
     """Words in a window of n words that an earlier place holds, by document; rows are in order of id."""
     seen, out = set(), {}
@@ -174,14 +184,15 @@ def test_windows_of_one_gram_over_partitions():
         sweep = suffixes._Sweep(50, held=5)
         for at in range(100 * part, 100 * part + 100, 10):
             doc = np.arange(at, at + 10)
-            sweep.add(np.arange(10), np.zeros(10, np.int64), doc, np.zeros(10, np.int64), np.array(keys[at : at + 10], np.uint64))
+            none = np.zeros(10, np.int64)
+            sweep.add(np.arange(10), none, doc, none, none, np.array(keys[at : at + 10], np.uint64))
         sweep.end()
         found |= {int(d) for x in sweep.lost for d in x[0]}
         outer += [(int(k), int(d)) for x in sweep.outer for k, d in zip(x[0], x[1], strict=True)]
     outer.sort()
     last = suffixes._Sweep(50, held=5)
     key, doc = np.array([k for k, _ in outer], np.uint64), np.array([d for _, d in outer])
-    last.add(np.arange(len(doc)), key.view(np.int64), doc, np.zeros(len(doc), np.int64), key)
+    last.add(np.arange(len(doc)), key.view(np.int64), doc, np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), key)
     found |= {int(d) for x in last.lost for d in x[0]}
     assert found == {i for i, k in enumerate(keys) if k in keys[:i]}
 
