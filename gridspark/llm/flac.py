@@ -6,12 +6,21 @@ table names all frames they are decoded at once; otherwise each round takes the
 stream. The decoder knows constant, verbatim, fixed and LPC subframes, wasted bits, both Rice codings
 with escapes, any partition order and stereo decorrelation, at up to 24 bits a sample.
 
-The encoder writes mono 8-bit streams: a byte b is the sample b - 128; each frame takes the best of
-fixed predictors 0 to 2 and a second-order LPC, with Rice parameters by quarter of the frame.
+The encoder writes mono 8-bit streams. Bytes that are frequent in text become samples near zero, which
+is what Rice codes are short for: SAMPLE is a one-to-one table, and :func:`payload` undoes it. Each frame takes
+the best of fixed predictors 0 to 2 and a second-order LPC, with Rice parameters by quarter of the frame.
+
+:func:`store` writes streams to the folder that all machines share, reads them back, and writes what it
+decodes from them: a row a stream with its PCM blocks and their sample offsets, so that nothing is shuffled.
+It goes through the streams in waves; only one wave's streams lie beside the blocks. :func:`seek` reads
+samples by offset, :func:`media_features` describes what the stored blocks hold.
 
 Cases: a null medium, and one that is no FLAC stream, give one row with an ``error`` and no block; a
 frame whose header CRC-8, CRC-16 or length is wrong ends its stream with an error and keeps the blocks
-before it; an MD5 that differs is an error too. A null text is the empty text: 64 zero bytes.
+before it; an MD5 that differs is an error too; what such a stream holds is null in its features. A null
+text is the empty text: 64 zero bytes. A row is a stream of its own, so repeated ids and rows,
+and null ids, are kept apart; a very long text is as many blocks as it needs; an empty table gives
+an empty table; other input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +32,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import discard, materialize
+
 BLOCK = 1024
+#: Bytes by how often they are in text; those not named follow by value, those of UTF-8 sequences first.
+FREQUENT = b" etaoinsrhldcumfpgwybvkxjqz.,\n" + bytes([0xC3, *range(0x80, 0xC0)])
+_ORDER = [*FREQUENT, *[b for b in range(256) if b not in FREQUENT]]
+SAMPLE, _BYTE = np.zeros(256, np.int8), np.array(_ORDER, np.uint8)
+SAMPLE[_ORDER] = [(r >> 1) ^ -(r & 1) for r in range(256)]  # 0, -1, 1, -2, ...
 #: Frames that are decoded, and encoded, at once; the encoder's arrays then stay in the cache.
 LANES, ENCODED = 4096, 96
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # fixed values: the format's predictors
@@ -35,6 +51,12 @@ RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000,
 SIZES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}  # fixed values
 
 
+def payload(samples: np.ndarray) -> bytes:
+    """The bytes that 8-bit samples stand for."""
+    x = samples.astype(np.int16)
+    return _BYTE[(x << 1) ^ (x >> 15)].tobytes()
+
+
 def _crc_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CRC-8 (0x07) by byte, and CRC-16 (0x8005) by byte and by two bytes."""
     eight, sixteen = np.arange(256, dtype=np.uint16), np.arange(256, dtype=np.uint32) << 8
@@ -116,12 +138,12 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     parts = [_frames(payloads, doc[i : i + ENCODED], number[i : i + ENCODED], size[i : i + ENCODED]) for i in range(0, len(doc), ENCODED)]
     frames = [f for p in parts for f in p]
     out = []
-    for d, payload in enumerate(payloads):
+    for d, text in enumerate(payloads):
         own = frames[first[d] : first[d + 1]]
         lengths = [len(f) for f in own]
-        info = min(BLOCK, len(payload)).to_bytes(2, "big") * 2 + min(lengths).to_bytes(3, "big") + max(lengths).to_bytes(3, "big")
-        info += (8000 << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big")
-        info += hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest()
+        info = min(BLOCK, len(text)).to_bytes(2, "big") * 2 + min(lengths).to_bytes(3, "big") + max(lengths).to_bytes(3, "big")
+        info += (8000 << 44 | 0 << 41 | 7 << 36 | len(text)).to_bytes(8, "big")
+        info += hashlib.md5(SAMPLE[np.frombuffer(text, np.uint8)].tobytes()).digest()
         offset = np.cumsum([0, *lengths[:-1]])
         points = np.zeros(len(own), np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")]))
         points["s"], points["o"], points["n"] = np.arange(len(own)) * BLOCK, offset, size[first[d] : first[d + 1]]
@@ -165,10 +187,9 @@ def _frames(payloads: list[bytes], doc: np.ndarray, number: np.ndarray, size: np
     n = len(doc)
     x = np.zeros((n, BLOCK), np.int32)
     for i, (d, k, s) in enumerate(zip(doc.tolist(), number.tolist(), size.tolist(), strict=True)):
-        x[i, :s] = np.frombuffer(payloads[d], np.uint8, s, k * BLOCK)
+        x[i, :s] = SAMPLE[np.frombuffer(payloads[d], np.uint8, s, k * BLOCK)]
     column = np.arange(BLOCK)
     inside = column < size[:, None]
-    x = np.where(inside, x - 128, 0)
     residual, kind, coef = _residuals(x, inside, size)
     order = np.minimum(kind, 2)
     folded = (residual << 1) ^ (residual >> 31)
@@ -548,31 +569,28 @@ def pcm(block: np.ndarray, bits: int) -> bytes:
     return block.astype(f"<i{width}").tobytes()
 
 
-BLOCKS = "block int, sample_offset long, samples int, channels int, bits int, rate int, pcm binary, error string"
+BLOCKS = "blocks array<struct<block: int, sample_offset: bigint, samples: int, pcm: binary>>, channels int, bits int, rate int, error string"
 
 
-def decode_blocks(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, block, sample_offset, samples, channels, bits, rate, pcm, error): one row a frame. A reader that seeks
-    sample n takes the block with the greatest ``sample_offset`` at or under n."""
-    rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    kind = rows.schema["id"].dataType.simpleString()
+def decode_blocks(media: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
+    """(*keep, blocks array<struct<block, sample_offset, samples, pcm>>, channels, bits, rate, error) for every row: the
+    PCM of each frame that passes its checks; ``keep`` are columns that go with a medium."""
+    rows = media.select(*keep, F.col(media_col).alias("_media"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names = [*keep, "blocks", "channels", "bits", "rate", "error"]
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("sample_offset", pa.int64()), ("samples", pa.int32()), ("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, blobs in _parts(batch.column(1).to_pylist()):
-                out: list[tuple] = []
-                for t, s in enumerate(decode(blobs)):
-                    key, at = batch.column(0)[i + t].as_py(), 0
-                    for k, x in enumerate(s.blocks):
-                        out.append((key, k, at, len(x), x.shape[1], s.bits, s.rate, pcm(x, s.bits), None))
-                        at += len(x)
-                    if s.error:
-                        out.append((key, None, None, None, None, None, None, None, s.error))
-                types = [batch.column(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-                columns = list(zip(*out, strict=True)) or [()] * 9
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", *[x.split()[0] for x in BLOCKS.split(", ")]])
-
-    return rows.mapInArrow(run, f"id {kind}, {BLOCKS}")
+            for i, blobs in _parts(batch.column(len(keep)).to_pylist()):
+                streams, blocks = decode(blobs), []
+                for s in streams:
+                    at = np.cumsum([0, *map(len, s.blocks)]).tolist()
+                    blocks.append([{"block": k, "sample_offset": at[k], "samples": len(x), "pcm": pcm(x, s.bits)} for k, x in enumerate(s.blocks)])
+                about = [pa.array([getattr(s, name) or None for s in streams], pa.int32()) for name in ("channels", "bits", "rate")]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, len(blobs)) for c in range(len(keep))], pa.array(blocks, kind), *about, pa.array([s.error for s in streams], pa.string())], names)
+
+    return rows.mapInArrow(run, f"{kinds}, {BLOCKS}")
 
 
 def _parts(blobs: list[bytes | None], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -601,35 +619,73 @@ def encode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def feature(samples: np.ndarray) -> str:
+def store(waves: list[DataFrame], keep: list[str], media_col: str = "media") -> list[DataFrame]:
+    """For each table of streams, (*keep, media_bytes, media_sha256, blocks, ...) as of :func:`decode_blocks`, of streams that
+    were written to the shared folder and read back."""
+    done = []
+    for media in waves:
+        stored = materialize(media.select(*keep, media_col), "media")
+        about = stored.select(*keep, media_col, F.octet_length(media_col).cast("long").alias("media_bytes"), F.sha2(media_col, 256).alias("media_sha256"))
+        done.append(materialize(decode_blocks(about, [*keep, "media_bytes", "media_sha256"], media_col), "blocks", compression="zstd"))
+        discard(stored)
+    return done
+
+
+def seek(blocks: DataFrame, start: Column, n: Column) -> Column:
+    """``n`` samples from sample ``start`` on, as interleaved PCM, of each row of a table of blocks: the blocks that hold
+    them are found by their offsets. Past the end there are fewer."""
+    width = blocks["channels"] * F.ceil(blocks["bits"] / 8).cast("int")
+    inside = F.filter(blocks["blocks"], lambda b: (b["sample_offset"] < start + n) & (b["sample_offset"] + b["samples"] > start))
+
+    def part(b: Column) -> Column:
+        first = F.greatest(start - b["sample_offset"], F.lit(0)).cast("int")
+        last = F.least(start + n - b["sample_offset"], b["samples"].cast("long")).cast("int")
+        return F.substring(b["pcm"], first * width + 1, (last - first) * width)
+
+    return F.aggregate(F.transform(inside, part), F.lit(b"").cast("binary"), lambda done, b: F.concat(done, b))
+
+
+def feature(x: np.ndarray) -> str:
     """Level, peak and zero crossings of 8-bit samples, and the share of energy in first differences."""
-    x = samples.astype(np.int64)
+    x = x.astype(np.int64)
     energy, step = int((x * x).sum()), np.diff(x)
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
     return f"n={len(x)};mean={x.mean():.4f};rms={(energy / len(x)) ** 0.5:.4f};peak={int(np.abs(x).max())};crossings={crossings};rough={int((step * step).sum()) / max(energy, 1):.4f}"
 
 
-MEDIA = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+MEDIA = "doc_id {}, n_bytes long, media_bytes long, media_sha256 string, error string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Decode each stored stream of :func:`encode_text` and describe what was read back."""
-    rows = media.select("doc_id", "n_bytes", "media")
+def media_features(blocks: DataFrame) -> DataFrame:
+    """One row a stream of stored mono 8-bit blocks: what its PCM holds, or nulls and the error. The last 64 samples
+    are sought by their offset."""
+    tail = seek(blocks, F.greatest(F.aggregate("blocks", F.lit(0).cast("long"), lambda m, b: m + b["samples"]) - 64, F.lit(0).cast("long")), F.lit(64))
+    rows = blocks.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "error", F.transform("blocks", lambda b: b["pcm"]).alias("pcm"), tail.alias("tail"))
     schema = MEDIA.format(rows.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            for i, blobs in _parts(batch.column(2).to_pylist()):
-                out = []
-                for blob, s in zip(blobs, decode(blobs), strict=True):
-                    x = np.concatenate([b[:, 0] for b in s.blocks]) if s.blocks else np.zeros(1, np.int64)
-                    back = (x + 128).astype(np.uint8).tobytes()
-                    out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(x), s.error))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                n = len(blobs)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]],
-                    [c.split()[0] for c in schema.split(", ")],
-                )
+            out = []
+            for error, parts, last in zip(*[batch.column(c).to_pylist() for c in (4, 5, 6)], strict=True):
+                x = np.frombuffer(b"".join(parts), np.int8)
+                if error or not len(x):
+                    out.append((None, None, None, None))
+                    continue
+                back = payload(x)
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(payload(np.frombuffer(last, np.int8))), feature(x)))
+            if out:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(5)], *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], [c.split()[0] for c in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", waves: int = 2) -> DataFrame:
+    """Texts as stored streams, their stored PCM blocks, and the features of these; a hash deals rows to the waves."""
+    deal = F.pmod(F.xxhash64(id_col, text_col), F.lit(waves))
+    media = [encode_text(docs.filter(deal == wave), id_col, text_col) for wave in range(waves)]
+    out = None
+    for blocks in store(media, ["doc_id", "n_bytes"]):
+        part = media_features(blocks)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -46,7 +46,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.encode_text(_documents(spark, sf_dir)))
+    return flac.text_media(_documents(spark, sf_dir))
 
 
 def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages restart from the files,
     whichever executors are lost. The caller passes the result to :func:`discard` when done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridspark/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(schema).parquet(path)
     back._gridspark_path = path
     return back

@@ -443,27 +443,123 @@ def test_lines_of_rows_that_share_an_id(spark):
 
 
 def test_flac_round_trip(spark):
-    rows = odd_rows()
-    got = flac.media_features(flac.encode_text(table(spark, rows))).collect()
-    assert len(got) == len(rows)
-    text = dict(rows)
-    for x in got:
-        raw = (text[x.doc_id] or "").encode()
+    rows = [*odd_rows(), (None, "no id"), (1, "another text of one")]
+    got = flac.text_media(table(spark, rows)).collect()
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (x.n_bytes, x.payload_bytes, x.error) == (len(raw), len(payload), None)
-        assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.tail_crc32 == zlib.crc32(payload[-64:])
-    assert flac.media_features(flac.encode_text(table(spark, []))).count() == 0
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), None))
+    assert sorted(map(repr, ((x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.error) for x in got))) == sorted(map(repr, want))
+    assert flac.text_media(table(spark, [])).count() == 0
 
 
 def test_flac_blocks_and_damage(spark):
-    media = flac.encode([bytes(random.Random(1).choices(range(60, 90), k=5000))])[0]
+    data = bytes(random.Random(1).choices(range(60, 90), k=5000))
+    media = flac.encode([data])[0]
     broken = bytearray(media)
     broken[-40] ^= 0x55
-    df = spark.createDataFrame([(1, media), (2, bytes(broken)), (3, None), (4, b"no flac")], "doc_id long, media binary")
-    got = flac.decode_blocks(df, "doc_id", "media").collect()
-    whole = sorted((x.sample_offset, x.samples) for x in got if x[0] == 1)
+    df = spark.createDataFrame([(1, 0, media), (2, 0, bytes(broken)), (3, 0, None), (4, 0, b"no flac")], "doc_id long, n_bytes long, media binary")
+    (blocks,) = flac.store([df], ["doc_id", "n_bytes"])
+    got = {x.doc_id: x for x in blocks.collect()}
+    whole = [(b.sample_offset, b.samples) for b in got[1].blocks]
     assert sum(n for _, n in whole) == 5000 and all(a + n == b for (a, n), (b, _) in zip(whole, whole[1:], strict=False))
-    assert all(any(x.error for x in got if x[0] == i) for i in (2, 3, 4)) and not any(x.error for x in got if x[0] == 1)
+    assert all(got[i].error for i in (2, 3, 4)) and not got[1].error and len(got[2].blocks) == len(whole) - 1 and got[3].blocks == got[4].blocks == []
+    for start, n in ((0, 10), (1020, 10), (1000, 3000), (4990, 100), (9000, 5)):
+        sought = {x.doc_id: bytes(x.pcm) for x in blocks.select("doc_id", flac.seek(blocks, F.lit(start), F.lit(n)).alias("pcm")).collect() if x.pcm is not None}
+        import numpy as np
+
+        assert flac.payload(np.frombuffer(sought[1], np.int8)) == data[start : start + n]
+    told = {x.doc_id: x for x in flac.media_features(blocks).collect()}
+    assert told[1].payload_sha256 == hashlib.sha256(data).hexdigest() and told[1].media_bytes == len(media)
+    assert all(told[i].error and told[i].payload_bytes is None and told[i].payload_sha256 is None and told[i].feature is None for i in (2, 3, 4))
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [(value >> (width - 1 - k)) & 1 for k in range(width)]
+
+    def rice(self, value, k):
+        u = value << 1 if value >= 0 else (-value << 1) - 1
+        self.bits += [0] * (u >> k) + [1]
+        self.put(u & ((1 << k) - 1), k)
+
+    def data(self):
+        self.bits += [0] * (-len(self.bits) % 8)
+        return bytes(int("".join(map(str, self.bits[i : i + 8])), 2) for i in range(0, len(self.bits), 8))
+
+
+def crc(data, poly, width):
+    c, top = 0, 1 << (width - 1)
+    for b in data:
+        c ^= b << (width - 8)
+        for _ in range(8):
+            c = ((c << 1) ^ (poly if c & top else 0)) & ((1 << width) - 1)
+    return c
+
+
+def hand_built(bits, assigned, subframes, n, channels):
+    """A stream of one frame; each subframe is a function that writes itself."""
+    w = BitWriter()
+    w.put(0xFFF8, 16), w.put(7 << 4 | 0, 8), w.put(assigned << 4 | {8: 1, 16: 4, 24: 6}[bits] << 1, 8), w.put(0, 8), w.put(n - 1, 16)
+    head = w.data()
+    w.put(crc(head, 0x07, 8), 8)
+    for s in subframes:
+        s(w)
+    frame = w.data()
+    frame += crc(frame, 0x8005, 16).to_bytes(2, "big")
+    info = n.to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | (channels - 1) << 41 | (bits - 1) << 36 | n).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info + frame
+
+
+def predicted(x, depth, coef, shift, kind, k, precision=None, escape=None):
+    """Writes a fixed or LPC subframe with one partition: Rice parameter ``k`` or raw residuals of ``escape`` bits."""
+
+    def write(w):
+        order = len(coef)
+        w.put(0, 1), w.put(kind, 6), w.put(0, 1)
+        for v in x[:order]:
+            w.put(v & ((1 << depth) - 1), depth)
+        if precision:
+            w.put(precision - 1, 4), w.put(shift, 5)
+            for c in coef:
+                w.put(c & ((1 << precision) - 1), precision)
+        w.put(0, 2), w.put(0, 4), w.put(15 if escape else k, 4)
+        if escape:
+            w.put(escape, 5)
+        for t in range(order, len(x)):
+            r = x[t] - (sum(c * x[t - 1 - j] for j, c in enumerate(coef)) >> shift)
+            w.put(r & ((1 << escape) - 1), escape) if escape else w.rice(r, k)
+
+    return write
+
+
+def test_flac_decoder_on_hand_built_streams():
+    r, n = random.Random(9), 40
+    wave = lambda top: [int(top * ((t * 7919 % 97) / 97 - 0.5)) for t in range(n)]
+    left, right = wave(3000), [v + r.randint(-50, 50) for v in wave(3000)]
+    side = [a - b for a, b in zip(left, right, strict=True)]
+    mid = [(a + b) >> 1 for a, b in zip(left, right, strict=True)]
+    fixed4 = (4, -6, 4, -1)
+    lpc12 = [r.randint(-300, 300) for _ in range(12)]
+    streams = [
+        (hand_built(16, 1, [predicted(left, 16, fixed4, 0, 12, 10), predicted(right, 16, (2, -1), 0, 10, 9)], n, 2), [left, right]),
+        (hand_built(16, 8, [predicted(left, 16, (1,), 0, 9, 9), predicted(side, 17, (), 0, 8, 5)], n, 2), [left, right]),
+        (hand_built(16, 9, [predicted(side, 17, (), 0, 8, 5), predicted(right, 16, (1,), 0, 9, 9)], n, 2), [left, right]),
+        (hand_built(16, 10, [predicted(mid, 16, lpc12, 9, 31 + 12, 10, precision=12), predicted(side, 17, (1,), 0, 9, 5)], n, 2), [left, right]),
+        (hand_built(24, 0, [predicted(wave(4_000_000), 24, lpc12, 10, 31 + 12, 14, precision=12)], n, 1), [wave(4_000_000)]),
+        (hand_built(16, 0, [predicted(left, 16, (1,), 0, 9, 0, escape=14)], n, 1), [left]),
+        (hand_built(8, 0, [lambda w: (w.put(0, 8), w.put(-5 & 255, 8))], n, 1), [[-5] * n]),
+        (hand_built(8, 0, [lambda w: (w.put(2, 8), [w.put(v & 255, 8) for v in wave(200)])], n, 1), [wave(200)]),
+        (hand_built(16, 0, [lambda w: (w.put(3, 8), w.put(0b01, 2), [w.put(v & 0x3FFF, 14) for v in wave(900)])], n, 1), [[v * 4 for v in wave(900)]]),
+    ]
+    for found, (_, want) in zip(flac.decode([s for s, _ in streams]), streams, strict=True):
+        assert found.error is None
+        (block,) = found.blocks
+        assert block.T.tolist() == want
 
 
 # --- 9 ----------------------------------------------------------------------------------------------------
