@@ -1,4 +1,4 @@
-"""License notices in whole texts: MinHash bands over overlapping windows, then exact containment.
+"""License notices and texts in whole documents: MinHash bands over overlapping windows, then exact containment.
 
 Words are runs of a-z and 0-9 after lower-casing; shingles are five words. For a template of m words the
 windows have m + 2 s - 1 words, one every s = m // 4 (at least 1), so one of them holds any whole occurrence
@@ -8,13 +8,16 @@ of 0.75 their Jaccard is at least 0.375, and all bands differ with chance 0.625*
 match if it holds at least ``threshold`` of the template's shingles. Where the first m + s - 1 words of
 some window do alone, only these windows are counted and placed: so they are for unbroken notices.
 
-No shingle of a template is without one of :func:`telling` words, so texts without any of them hold no
-match, nor do windows; this exact test saves hashing most of the corpus. All is Spark SQL; templates are
-literals, a few dozen of them.
+More than 1 - ``threshold`` of each template's shingles have one of :func:`telling` words, so what has none of
+these words holds no match, be it a text or a window; this exact test saves hashing most of the corpus. All is
+Spark SQL; templates are literals, at most 1000.
 
-Cases: null and blank texts and those under five words match nothing; rows without id are left out;
-several places of one notice in a text are one row with their number; repeated rows count together; an
-empty table gives an empty table; other input columns are not read.
+Cases: null and blank texts match nothing; rows without id are left out; a template under five words is
+one shingle, matched where its words follow each other; one without words matches nothing; without templates
+the result is empty; several places of one notice in a text are one row with their number; rows that share
+an id count together, whether equal or not; a very long text is scanned whole; of equal containments the
+first window counts; an empty table gives an empty table; other input columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .merkle import let
 
 WORDS, BANDS = 5, 32
-#: Short notices by which works state their licenses.
+#: Notices by which works state their licenses, and whole license texts.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -40,6 +43,32 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "proprietary": "All rights reserved. No part of this work may be reproduced",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+        use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+        ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
+        AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+        of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS
+        SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+        NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,18 +77,24 @@ def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
 
 
-def telling(templates: dict[str, str]) -> list[str]:
-    """Words of which every shingle of every template has one: greedily, those in many shingles, long ones first."""
-    open_ = {(name, i): set(w[i : i + WORDS]) for name, t in templates.items() for w in [template_words(t)] for i in range(len(w) - WORDS + 1)}
+def telling(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words that the shingles of each template without any of them are fewer than ``threshold`` of all: greedily,
+    those in many shingles, long ones first."""
+    left, most = {}, {}
+    for name, t in templates.items():
+        w = template_words(t)
+        k = min(WORDS, len(w))
+        shingles = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+        left[name], most[name] = [set(x) for x in shingles], threshold * len(shingles)
     chosen = []
-    while open_:
+    while open_ := [x for name, xs in left.items() if len(xs) >= most[name] for x in xs]:
         count: dict[str, int] = {}
-        for shingle in open_.values():
+        for shingle in open_:
             for w in shingle:
                 count[w] = count.get(w, 0) + 1
         best = max(sorted(count), key=lambda w: count[w] * len(w) ** 3)
         chosen.append(best)
-        open_ = {k: s for k, s in open_.items() if best not in s}
+        left = {name: [x for x in xs if best not in x] for name, xs in left.items()}
     return sorted(chosen)
 
 
@@ -68,39 +103,65 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _shingles(ws: Column) -> Column:
-    """Hashes of the five-word shingles by place."""
-    return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (WORDS - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, WORDS)]))
+def _shingles(ws: Column, k: int = WORDS) -> Column:
+    """Hashes of the k-word shingles by place."""
+    return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (k - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, k)]))
 
 
 def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k)))))
 
 
+FOUND = "license string, containment double, n_windows long, first_word long"
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """(doc_id, license, containment, n_windows, first_word): every notice found, with its best containment, the
     number of windows that hold it, and the first word of the first of these."""
-    templates = {k: t for k, t in (templates or TEMPLATES).items() if len(template_words(t)) >= WORDS}
+    templates = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if template_words(t)}
     if len(templates) > 1000:
         raise ValueError("templates are literals of the plan: at most 1000")
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(k, len(template_words(t)), t) for k, t in templates.items()], "license string, m int, text string")
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is over 0 and at most 1")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
+    if not templates:
+        return docs.sparkSession.createDataFrame([], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    tell = telling(templates, threshold)
+    rows = rows.filter(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(tell)})(?![a-z0-9])")).select("doc_id", _words(F.col("text")).alias("w"))
+    told = F.filter(F.transform("w", lambda w, i: F.when(w.isin(tell), i)), lambda i: i.isNotNull())
+    long = {k: t for k, t in templates.items() if len(template_words(t)) >= WORDS}
+    found = [_long_found(rows.filter(F.size("w") >= WORDS).withColumn("told", told), long, threshold)] if long else []
+    found += [_short_found(rows, k, " ".join(template_words(t))) for k, t in templates.items() if k not in long]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _short_found(rows: DataFrame, name: str, phrase: str) -> DataFrame:
+    """Where the words of a template under five words follow each other."""
+    ws = phrase.split(" ")
+    here = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, len(ws)), " ") == phrase)
+    at = rows.select("doc_id", F.explode(here).alias("start"))
+    return at.groupBy("doc_id").agg(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("start").cast("long").alias("first_word"))
+
+
+def _long_found(rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    known = rows.sparkSession.createDataFrame([(k, len(template_words(t)), t) for k, t in templates.items()], "license string, m int, text string")
     known = known.select("license", "m", F.array_distinct(_shingles(_words(F.col("text")))).alias("s")).select("license", "m", "s", _bands(F.col("s")).alias("bands")).collect()
-    literal = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["m"]).alias("m"), F.lit(r["s"]).alias("s"), F.lit(r["bands"]).alias("bands")) for r in known])
-    tell = telling(templates)
-    sizes = sorted({r["m"] for r in known})
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike("(?i)" + "|".join(tell)))
-    rows = rows.select("doc_id", _words(F.col("text")).alias("w")).filter(F.size("w") >= WORDS)
-    rows = rows.select("doc_id", F.size("w").alias("n"), F.transform("w", lambda w: w.isin(tell)).alias("told"), _shingles(F.col("w")).alias("s"))
+    longs = lambda xs: F.from_json(F.lit(str(list(xs))), "array<bigint>")  # noqa: E731  # one literal, folded by the optimizer
+    literal = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["m"]).alias("m"), longs(r["s"]).alias("s"), longs(r["bands"]).alias("bands")) for r in known])
 
     def windows(m: int) -> Column:
+        """Those that hold a telling word."""
         step = max(1, m // 4)
-        starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(step))
-        near = F.filter(starts, lambda i: F.exists(F.slice(F.col("told"), i + 1, m + 2 * step - 1), lambda t: t) & (i < F.size("s")))
+        first = lambda p: F.ceil(F.greatest(p - (m + 2 * step - 2), F.lit(0)) / step).cast("int") * step
+        near = F.array_distinct(F.flatten(F.transform("told", lambda p: F.sequence(first(p), p - p % step, F.lit(step)))))
+        near = F.filter(near, lambda i: i < F.size("s"))
         return F.transform(near, lambda i: F.struct(F.lit(m).alias("m"), i.alias("start"), F.slice(F.col("s"), i + 1, m + 2 * step - WORDS).alias("s")))
 
-    each = rows.select("doc_id", F.explode(F.concat(*[windows(m) for m in sizes])).alias("x")).select("doc_id", "x.m", "x.start", "x.s")
+    rows = rows.filter(F.size("told") > 0).select("doc_id", "told", _shingles(F.col("w")).alias("s"))
+    each = rows.select("doc_id", F.explode(F.concat(*[windows(m) for m in sorted({r["m"] for r in known})])).alias("x")).select("doc_id", "x.m", "x.start", "x.s")
     each = each.select("doc_id", "m", "start", "s", _bands(F.col("s")).alias("bands"))
     met = F.filter(literal, lambda t: (t["m"] == F.col("m")) & F.arrays_overlap(t["bands"], "bands"))
     held = lambda t, s: F.size(F.array_intersect(t["s"], s)) / F.size(t["s"])

@@ -594,6 +594,29 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_license_texts_and_short_templates(spark):
+    """A whole license text with a fifth of it cut off, one with more cut off, and templates under five words."""
+    text = licenses.TEMPLATES["mit-text"].split()
+    rows = [
+        (1, " ".join(words(50, 7) + text[: len(text) * 85 // 100] + words(50, 8))), (2, " ".join(text[: len(text) // 2])), (3, "x y Public-Domain z. public domain"),
+        (None, " ".join(text)), (5, "public"), (6, None), (7, "public domain"), (7, "a public domain"),
+    ]
+    got = {(r.doc_id, r.license): (r.containment, r.n_windows, r.first_word) for r in licenses.scan(table(spark, rows), licenses.TEMPLATES | {"pd": "Public Domain", "none": "..."}).collect()}
+    assert {k for k in got if k[1] == "mit-text"} == {(1, "mit-text")} and 0.75 <= got[1, "mit-text"][0] < 0.9
+    assert {k: v for k, v in got.items() if k[1] == "pd"} == {(3, "pd"): (1.0, 2, 2), (7, "pd"): (1.0, 2, 0)}
+    only = licenses.scan(table(spark, rows), {"pd": "Public Domain"}).collect()
+    assert {r.doc_id for r in only} == {3, 7} and licenses.scan(table(spark, rows), {}).count() == 0 and licenses.scan(table(spark, rows), {"none": "--"}).count() == 0
+
+
+def test_telling_words_leave_too_little_for_a_match():
+    for threshold in (0.5, 0.75, 1.0):
+        tell = set(licenses.telling(licenses.TEMPLATES, threshold))
+        for t in licenses.TEMPLATES.values():
+            w = licenses.template_words(t)
+            grams = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            assert sum(not tell & set(g) for g in grams) < threshold * len(grams)
+
+
 def test_licenses_with_an_inserted_word(spark):
     """In the middle of the notice, at every alignment to the windows."""
     names = ["apache-2.0-header", "bsd", "gpl-header", "mit-grant"]
