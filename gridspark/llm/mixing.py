@@ -61,7 +61,7 @@ class Classifier:
             return F.array(F.lit(1.0))
 
         def evidence(ratio: list[float]) -> Column:
-            table = F.array(*[F.lit(x) for x in ratio])
+            table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<double>")  # one literal, folded by the optimizer
             return F.aggregate(placed, F.lit(0.0), lambda s, b: s + F.get(table, b))
 
         scores = [F.lit(self.prior[0]), *[evidence(r) + F.lit(p) for p, r in zip(self.prior[1:], self.ratios, strict=True)]]
@@ -73,9 +73,12 @@ class Classifier:
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> Classifier:
     """``docs`` (doc_id, text), ``labels`` (doc_id, domain). A word counts once for each training text, so that one text that
     repeats it tells no more than another."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
-    chosen = materialize(known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "chosen")
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("domain", features(F.col("text")).alias("w"))  # at most train_rows rows
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    labelled = known.count()
+    if labelled > train_rows:  # a threshold of the hash, so that no task ranks them all; four deviations under the bound
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((train_rows - 4 * math.sqrt(train_rows)) / labelled * (1 << 40)))
+    chosen = materialize(known, "chosen")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("domain", features(F.col("text")).alias("w"))  # about train_rows labels
     counts = sample.select("domain", F.explode(F.array_distinct(F.transform("w", lambda w: _place(w, buckets)))).alias("b")).groupBy("domain", "b").count().collect()
     size = {r[0]: r[1] for r in chosen.groupBy("domain").count().collect()}
     discard(chosen)
@@ -144,12 +147,15 @@ def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False,
         return rate
 
     base, written, steps = members.withColumn("rate", F.lit(1.0)), None, []
-    for _ in range(max_steps):
+    for left in range(max_steps - 1, -1, -1):
         now = base.withColumn("rate", stepped(F.col("rate"), steps))
         got = now.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(d))).alias(f"m{d}") for d in range(k)]).first()
         miss = [(got[d] or 0.0) - target[d] for d in range(k)]
-        if max(abs(miss[d]) / max(target[d], 0.001 * sum(n)) for d in usable) < tolerance:
+        worst = max(abs(miss[d]) / max(target[d], 0.001 * sum(n)) for d in usable)
+        if worst < tolerance:
             break
+        if not left:
+            logging.getLogger(__name__).warning("the mix is off its targets by %.2g after %d steps", worst, max_steps)
         steps.append([miss[d] / n[d] if d in usable else 0.0 for d in range(k)])
         if len(steps) == REPLAY:
             base, old = materialize(base.withColumn("rate", stepped(F.col("rate"), steps)), "rates"), written
