@@ -3,17 +3,20 @@
 A word is a run of letters (bytes a-z after lower-casing, or bytes from 0x80). Its emission score
 for each language sums the weights of its byte bigrams and trigrams with word boundaries, its
 three-byte prefix and suffix, and its entry in a learned lexicon; a learned matrix scores each
-step from word to word. Forward-backward gives every word's posterior; a chain has at most CHAIN
-words, so that all chains of a batch run in step and a long text costs what its words cost.
+step from word to word. Forward-backward over the whole text gives every word's posterior. For speed
+all texts of a batch run in step in pieces of CHAIN words; what a piece hands to the next, and back,
+is found first from the product of its steps, so the result is that of one long chain.
 
-Training: at most ``train_docs`` labelled documents a language, lowest id hash first, two spans of
-SPAN words each; half of the training chains join spans of two languages, from which the
-transitions learn to switch. Full-batch AdaGrad on the exact likelihood gradient, in the driver:
-its size is fixed by those parameters. Everything else covers all rows.
+Training: at most about ``train_docs`` labelled documents a language, lowest id hash first, of each of which
+``spans`` spans of ``span_words`` words, at places that the id's hash draws from the whole text; half of
+the training chains join spans of two languages, from which the transitions learn to switch. Full-batch
+AdaGrad on the exact likelihood gradient, in the driver: its size is fixed by those parameters.
+Everything else covers all rows and whole texts.
 
 Cases: rows without id are left out; a null text or one without a letter is ``und`` with score 0;
-with no labelled row every text is ``und``; ties go to the first language in order; repeated rows
-give repeated rows; other columns are not read.
+with no labelled row every text is ``und``; ties go to the first language in order; repeated rows, and rows that
+share an id, give a row each; a very long text is read whole; an empty table gives an empty table; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .text import Words
 
-BITS, LEXICON_BITS, CHAIN, SPAN = 18, 16, 64, 32
+BITS, LEXICON_BITS, CHAIN = 18, 16, 64
 LEXICON_MIN = 3
 UNDETERMINED = "und"
 MULTIPLIER = np.uint32(0x9E3779B1)
@@ -87,59 +90,111 @@ def emissions(model: Model, grams: np.ndarray, bounds: np.ndarray, own: np.ndarr
     return out
 
 
-def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """emit (T, chains, L) with rows from size[c] on ignored. Posteriors (T, chains, L), log-likelihood
-    normalisers (chains,), expected transition counts (L, L)."""
+def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray | None = None):
+    """emit (T, chains, L) with rows from size[c] on ignored; ``first`` weighs the languages of each chain's first word
+    and ``last``, if given, those of its last one. Posteriors (T, chains, L), log-likelihood normalisers (chains,) and
+    expected transition counts (L, L), these two without ``last``."""
     steps, chains, k = emit.shape
     top = emit.max(axis=2, keepdims=True)
     p = np.exp(emit - top)
     a, move = np.empty_like(p), np.exp(trans).astype(p.dtype)
     scale = np.empty((steps, chains, 1), p.dtype)
     live = (np.arange(steps)[:, None] < size)[:, :, None]
-    now = np.exp(start).astype(p.dtype) * p[0]
+    now = first.astype(p.dtype) * p[0]
     for t in range(steps):
         if t:
             now = (a[t - 1] @ move) * p[t]
         scale[t] = now.sum(axis=1, keepdims=True)
         a[t] = now / scale[t]
     z = (np.where(live, np.log(scale) + top, 0)).sum(axis=(0, 2))
-    back = np.ones((chains, k), p.dtype)
+    end = np.ones((chains, k), p.dtype) if last is None else last.astype(p.dtype)
+    back = end
     post, pairs = np.empty_like(p), np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
         post[t] = a[t] * back
         if t:
             ahead = np.where(live[t], p[t] * back / scale[t], 0)
             pairs += (a[t - 1].T @ ahead) * move
-            back = np.where(live[t], ahead @ move.T, 1)
+            back = np.where(live[t], ahead @ move.T, end)
+    if last is not None:
+        post /= post.sum(axis=2, keepdims=True)
     return post, z, pairs
 
 
-def _chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, sizes and texts of the chains."""
+def _chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words, sizes, texts and places in their texts of the pieces."""
     count = np.diff(first)
     n = -(-count // CHAIN)
     text = np.repeat(np.arange(len(count)), n)
     piece = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     begin = first[:-1][text] + piece * CHAIN
-    return begin, np.minimum(CHAIN, first[1:][text] - begin), text
+    return begin, np.minimum(CHAIN, first[1:][text] - begin), text, piece
+
+
+def _steps(p: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """(pieces, k, k), each to a factor: what a piece makes of the weights of its first word's languages, up to its last word."""
+    now = np.eye(p.shape[2]) * p[0][:, None, :]
+    for t in range(1, len(p)):
+        n = int(np.searchsorted(-size, -t, side="left"))  # pieces of more than t words; the longest come first
+        x = (now[:n] @ move) * p[t][:n, None, :]
+        now[:n] = x / x.max(axis=(1, 2), keepdims=True)
+    return now
+
+
+def _handed(own: np.ndarray, piece: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, k) each: the weights that a piece's first word gets from before, and its last word from behind.
+    ``own`` has the pieces' matrices, in the order of texts and places."""
+    k = len(first)
+    before, behind = np.tile(first, (len(piece), 1)), np.ones((len(piece), k))
+    ends = np.flatnonzero(np.append(piece[1:] == 0, True)[: len(piece)])
+    left = np.repeat(piece[ends], piece[ends] + 1) - piece  # pieces after each one in its text
+    for r in range(1, int(piece.max(initial=0)) + 1):
+        at = np.flatnonzero(piece == r)
+        x = np.einsum("nk,nkl->nl", before[at - 1], own[at - 1]) @ move
+        before[at] = x / x.max(axis=1, keepdims=True)
+        at = np.flatnonzero(left == r)
+        x = np.einsum("nkl,nl->nk", own[at + 1], behind[at + 1]) @ move.T
+        behind[at] = x / x.max(axis=1, keepdims=True)
+    return before, behind
+
+
+def _emissions(model: Model, features: Features, blob: bytes, most: int = 1 << 19):
+    """(starts, ends, emissions) of a byte string, a long one in parts cut between words."""
+    found, at = [], 0
+    while at < len(blob) or not found:
+        to = min(len(blob), at + most)
+        while to < len(blob) and not features.words.space[blob[to]]:
+            to += 1
+        start, end, _, grams, bounds, own = features(blob[at:to], model.lexicon)
+        found.append((start + at, end + at, emissions(model, grams, bounds, own)))
+        at = to
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def word_posteriors(model: Model, features: Features, blobs: list[bytes]):
     """(starts, ends, first, posteriors): text t has words first[t]:first[t+1]; offsets are into the joined bytes."""
-    start, end, _, grams, bounds, own = features(b"\n".join(blobs), model.lexicon)
+    start, end, emit = _emissions(model, features, b"\n".join(blobs))
     offset = np.cumsum([0, *(len(b) + 1 for b in blobs)])
     first = np.searchsorted(start, offset)
-    emit = emissions(model, grams, bounds, own)
-    del grams
-    begin, size, _ = _chains(first)
+    if not len(emit):
+        return start, end, first, emit, offset
+    begin, size, text, piece = _chains(first)
     out = np.empty_like(emit)
     order = np.argsort(-size, kind="stable")
+    own, several = np.zeros((len(size), *model.trans.shape)), np.diff(first)[text] > CHAIN
+    move = np.exp(model.trans)
+    scores = lambda index: np.exp(emit[index] - emit[index].max(axis=2, keepdims=True))
+    mine = order[several[order]]
+    for at in range(0, len(mine), 4096):
+        part = mine[at : at + 4096]
+        index = np.minimum(begin[part] + np.arange(int(size[part[0]]))[:, None], len(emit) - 1)
+        own[part] = _steps(scores(index), size[part], move)
+    before, behind = _handed(own, piece, np.exp(model.start), move)
     for at in range(0, len(order), 4096):
-        own_chains = order[at : at + 4096]
-        steps = int(size[own_chains[0]])
-        index = np.minimum(begin[own_chains] + np.arange(steps)[:, None], len(emit) - 1)
-        post, _, _ = forward_backward(emit[index], size[own_chains], model.trans, model.start)
-        live = np.arange(steps)[:, None] < size[own_chains]
+        part = order[at : at + 4096]
+        index = np.minimum(begin[part] + np.arange(int(size[part[0]]))[:, None], len(emit) - 1)
+        post, _, _ = forward_backward(emit[index], size[part], model.trans, before[part], behind[part])
+        live = np.arange(len(index))[:, None] < size[part]
         out[index[live]] = post[live]
     return start, end, first, out, offset
 
@@ -158,48 +213,43 @@ def runs(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, li
         yield i, held
 
 
-def pieces(blob: bytes, space: np.ndarray, most: int = 1 << 19) -> list[bytes]:
-    """A long text cut between words; the cuts also end chains."""
-    out, at = [], 0
-    while at < len(blob):
-        to = min(len(blob), at + most)
-        while to < len(blob) and not space[blob[to]]:
-            to += 1
-        out.append(blob[at:to])
-        at = to
-    return out or [b""]
-
-
-def _spans(langs: list[str]):
-    """Two spans of SPAN words of each sampled text: its start and its middle."""
+def _spans(langs: list[str], spans: int, span_words: int):
+    """``spans`` spans of ``span_words`` words of each sampled text, or all of it if it has no more words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(letters_only=True)
         for batch in batches:
             lang, span = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, start, end = words.spans((text or "").encode("utf-8", "replace"))
-                for at in {0, len(start) // 2}:
-                    to = min(at + SPAN, len(start)) - 1
-                    if to >= at + 3:
-                        lang.append(langs.index(name))
-                        span.append(text.encode("utf-8", "replace")[start[at] : end[to]])
+            for name, text, draw in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                blob = text.encode("utf-8", "replace")
+                _, start, end = words.spans(blob)
+                if not len(start):
+                    continue
+                free = len(start) - span_words  # the last place where a span can begin
+                places = {0} if free <= 0 else {int(x) for x in np.random.default_rng(draw & 0xFFFFFFFF).integers(0, free + 1, spans)}
+                for at in sorted(places):
+                    lang.append(langs.index(name))
+                    span.append(blob[start[at] : end[min(at + span_words, len(start)) - 1]])
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(span, pa.binary())], ["lang", "span"])
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400, rounds: int = 40, seed: int = 7) -> Model | None:
-    """A model of the labelled ``docs``; None if there is none. Spans collected: at most 2 x train_docs x languages."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= train_docs).select("doc_id", "lang")
-    langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400, spans: int = 2, span_words: int = 32, rounds: int = 40, seed: int = 7) -> Model | None:
+    """A model of the labelled ``docs``; None if there is none. Spans collected: at most spans x train_docs x languages."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("doc_id is not null and lang is not null and text is not null")
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    known = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a number a language
+    langs = sorted(known)
     if not langs:
         return None
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    spans = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(_spans(langs), "lang int, span binary").collect())
-    return _train(langs, spans, rounds, seed) if spans else None
+    # Of each language about twice the wanted rows, by a threshold of the hash; only these are ranked.
+    shares = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, (2 * train_docs + 50) / known[lang]) * (1 << 40))))])
+    few = rows.filter(F.pmod(F.col("draw"), F.lit(1 << 40)) < F.element_at(shares, F.col("lang"))).withColumn("rank", F.pmod(F.col("draw"), F.lit(1 << 40)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "draw", "doc_id"))
+    sample = few.withColumn("nth", nth).filter(F.col("nth") <= train_docs).select("lang", "text", "draw")
+    found = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(_spans(langs, spans, span_words), "lang int, span binary").collect())
+    return _train(langs, found, rounds, seed) if found else None
 
 
 def _train(langs: list[str], spans: list[tuple[int, bytes]], rounds: int, seed: int) -> Model:
@@ -240,7 +290,7 @@ def _train(langs: list[str], spans: list[tuple[int, bytes]], rounds: int, seed:
         model.weights[used] = local
         model.weights[0] = 0
         emit = emissions(model, grams, bounds, own)
-        post, _, pairs = forward_backward(emit[index].astype(np.float64), size, model.trans, model.start)
+        post, _, pairs = forward_backward(emit[index].astype(np.float64), size, model.trans, np.exp(model.start))
         miss = np.zeros((len(start), k))
         for lang in range(k):
             miss[:, lang] = np.bincount(index[live], ((target == lang) - post[:, :, lang])[live], minlength=len(start))
@@ -274,10 +324,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 continue
             names = np.array([*model.langs, UNDETERMINED], dtype=object)
             for i, blobs in runs(texts):
-                if len(blobs) == 1:
-                    share = np.sum([_text_shares(model, features, [x]) for x in pieces(blobs[0], features.words.space)], axis=0)
-                else:
-                    share = _text_shares(model, features, blobs)
+                share = _text_shares(model, features, blobs)
                 words = share.sum(axis=1)
                 best = share.argmax(axis=1)
                 score = np.round(np.minimum(share.max(axis=1) / np.maximum(words, 1e-9), 1), 6)
@@ -328,7 +375,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), learned from the rows that are not held out."""
-    model = fit(docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)), id_col, text_col, lang_col, train_docs)
+    """(doc_id, held_out, lang_pred, score), learned from the rows that are not held out; ``id_col`` is named doc_id."""
+    model = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, train_docs)
     out = predict(docs, model, id_col, text_col)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -625,6 +625,110 @@ def test_language(spark, sf_dir):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def chain_posteriors(emit, trans, start):
+    """By the sum over all ways to label the words."""
+    import itertools
+
+    import numpy as np
+
+    n, k = emit.shape
+    out, total = np.zeros((n, k)), 0.0
+    for path in itertools.product(range(k), repeat=n):
+        weight = np.exp(start[path[0]] + sum(emit[t, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += weight
+        for t, y in enumerate(path):
+            out[t, y] += weight
+    return out / total, np.log(total)
+
+
+def test_forward_backward_against_all_labellings():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    trans, start = r.normal(size=(3, 3)), r.normal(size=3)
+    size = np.array([7, 5, 1])
+    emit = r.normal(size=(7, 3, 3))
+    post, z, pairs = langid.forward_backward(emit, size, trans, np.exp(start))
+    for c, n in enumerate(size):
+        want, total = chain_posteriors(emit[:n, c], trans, start)
+        assert np.allclose(post[:n, c], want) and np.isclose(z[c], total)
+    step = 1e-5  # the expected transitions are the derivative of the normalisers
+    for a in range(3):
+        for b in range(3):
+            moved = trans.copy()
+            moved[a, b] += step
+            up = langid.forward_backward(emit, size, moved, np.exp(start))[1].sum()
+            assert np.isclose((up - z.sum()) / step, pairs[a, b], atol=1e-3)
+
+
+def test_pieces_of_a_text_are_one_chain(monkeypatch):
+    """The same posteriors whether a text is one piece or many, and whether its bytes are taken at once or in parts."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    model = langid._train(["x", "y", "z"], [(k % 3, " ".join(words(20, 600 + k)).translate(str.maketrans("abc", "abc" if k % 3 else "qrs")).encode()) for k in range(60)], 10, 1)
+    model.trans[:] = r.normal(size=(3, 3))
+    model.start[:] = r.normal(size=3)
+    blobs = [" ".join(words(n, 700 + n)).encode() for n in (1, 3, 64, 65, 200, 0, 129, 700)]
+    got = langid.word_posteriors(model, langid.Features(), blobs)
+    monkeypatch.setattr(langid, "CHAIN", 10_000)
+    whole = langid.word_posteriors(model, langid.Features(), blobs)
+    assert np.allclose(got[3], whole[3], atol=1e-4) and (got[2] == whole[2]).all()
+    start, end, emit = langid._emissions(model, langid.Features(), blobs[-1])
+    parts = langid._emissions(model, langid.Features(), blobs[-1], 100)
+    assert (parts[0] == start).all() and (parts[1] == end).all() and np.allclose(parts[2], emit, atol=1e-5)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """The step of training, expected against seen features, by differences of the log-likelihood."""
+    import numpy as np
+
+    spans = [(k % 2, " ".join(words(4, 800 + k)).encode()) for k in range(20)]
+    features, k = langid.Features(), 2
+    start, _, hashes, grams, bounds, own = features(b"\n".join(b for _, b in spans), None)
+    first = np.searchsorted(start, np.cumsum([0, *(len(b) + 1 for _, b in spans)]))
+    r = np.random.default_rng(2)
+    model = langid.Model(["a", "b"], r.normal(scale=0.1, size=(1 << langid.BITS, k)), np.zeros(1 << langid.LEXICON_BITS, np.uint64), r.normal(size=(k, k)), r.normal(size=k))
+    index = first[:-1] + np.arange(4)[:, None]
+    size = np.full(20, 4)
+    gold = np.array([y for y, _ in spans])
+
+    def likelihood():
+        emit = langid.emissions(model, grams, bounds, own)[index]
+        _, z, _ = langid.forward_backward(emit, size, model.trans, np.exp(model.start))
+        path = emit[:, np.arange(20), gold].sum() + 3 * model.trans[gold, gold].sum() + model.start[gold].sum()
+        return path - z.sum()
+
+    post, _, pairs = langid.forward_backward(langid.emissions(model, grams, bounds, own)[index], size, model.trans, np.exp(model.start))
+    base, step = likelihood(), 1e-5
+    slot = int(own[0][index[2, 3]])
+    holds = (own[0][index] == slot).astype(float) + (own[1][index] == slot)  # other templates have other slots
+    for lang in range(k):
+        want = (holds * ((gold == lang) - post[:, :, lang])).sum()
+        model.weights[slot, lang] += step
+        assert np.isclose((likelihood() - base) / step, want, atol=1e-2)
+        model.weights[slot, lang] -= step
+    wanted = np.diag(np.bincount(gold, minlength=k) * 3)
+    model.trans[0, 1] += step
+    assert np.isclose((likelihood() - base) / step, (wanted - pairs)[0, 1], atol=1e-2)
+
+
+def test_words_of_mixed_text_are_labelled(spark, sf_dir):
+    """A text that changes its language: nearly every word gets the language of its part, with offsets into the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null and n_chars between 300 and 3000")
+    model = langid.fit(docs)
+    part = {r.lang: r.text for r in docs.filter("lang is not null").orderBy("doc_id").limit(150).collect()}
+    a, b = sorted(part)[:2]
+    text = f"{part[a]}\n{part[b]}"
+    got = sorted(langid.label_words(table(spark, [(1, text), (2, None), (3, "12 - 34"), (None, text)]), model).collect(), key=lambda r: r.word)
+    blob = text.encode()
+    cut = len(part[a].encode())
+    assert {r.doc_id for r in got} == {1} and [r.word for r in got] == list(range(len(got))) and all(0 <= r.probability <= 1 for r in got)
+    assert all(blob[r.start : r.end].strip() == blob[r.start : r.end] != b"" for r in got)
+    right = [r.lang == (a if r.end <= cut else b) for r in got]
+    assert sum(right) >= 0.9 * len(right)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------
 
 
