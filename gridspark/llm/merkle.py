@@ -11,7 +11,10 @@ Equal roots mean equal texts; :func:`differing` names the sections and paragraph
 :func:`likeness` is the share of distinct leaves that two fingerprints have in common.
 
 Everything is built from Spark SQL expressions. Cases: a null text is the empty text, with one
-empty paragraph; likeness of two texts without leaves is 1 and of one such with another is 0.
+empty paragraph; likeness of two texts without leaves is 1 and of one such with another is 0. Rows that
+share an id, repeated ones too, follow each other in the order of their texts, and rows without id come last;
+a table of one row is its own next; a very long text is one row; an empty table gives an empty table; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

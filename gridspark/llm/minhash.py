@@ -13,8 +13,10 @@ many shingles of their own to reach the threshold with anything. So a pair that
 examined, or already connected, or ruled out by that bound.
 
 Cases: rows without id are left out; null or blank texts have no shingles and link with nothing;
-texts under five words are one shingle; repeated rows give repeated rows; an empty table gives an
-empty table; columns other than the id and the text are not read.
+texts under five words are one shingle; repeated rows give repeated rows; rows that share an id and differ in
+text are linked each by its own text, ids being under 2**62 then; a very long text is one set; a link at
+exactly the threshold counts; an empty table gives an empty table; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def _sign(rows: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, n), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array(map(_print, sets), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64))),
                     ],
                     ["doc_id", "n_shingles", "fp", "bands"],
@@ -96,13 +98,30 @@ def _sign(rows: int, bands: int):
     return run
 
 
+def _print(shingles: np.ndarray) -> bytes:
+    """Of a sorted set: equal for equal sets only."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for i, shingles, begin in shingle_sets(texts):
-            sets = [np.unique(shingles[begin[t] : begin[t + 1]]).view(np.int64) for t in range(len(begin) - 1)]
+            sets = [np.unique(shingles[begin[t] : begin[t + 1]]) for t in range(len(begin) - 1)]
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(i, len(sets)), pa.array(map(_print, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "fp", "shingles"]
+            )
+
+
+def _named(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """``classes`` with ``id``: the least doc_id, or where that has several texts a number of its own for all but one; and
+    whether there are such."""
+    texts = materialize(classes.groupBy("rep").agg(F.min("fp").alias("own"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep", "own"), "shared")
+    if texts.isEmpty():
+        return classes.withColumn("id", F.col("rep")), False
+    apart = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 62))
+    return materialize(classes.join(texts, "rep", "left").withColumn("id", F.when(F.col("own") != F.col("fp"), apart).otherwise(F.col("rep"))).drop("own"), "named"), True
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,13 +189,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     signed = materialize(docs.mapInArrow(_sign(rows, bands), "doc_id long, n_shingles long, fp binary, bands array<long>"), "signed")
     full = signed.filter("n_shingles > 0")
-    classes = materialize(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
-    reps = full.select("doc_id", "fp", "bands").join(classes.select(F.col("rep").alias("doc_id"), "fp", "n"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
-    keys = materialize(reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")), "keys")
+    classes, shared = _named(materialize(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes"))
+    reps = full.select("doc_id", "fp", "bands").join(classes.select(F.col("rep").alias("doc_id"), "fp", "n", "id"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
+    keys = materialize(reps.select("id", "n", F.explode("bands").alias("key")), "keys")
     live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).filter("c > 1")
     buckets = materialize(keys.join(live, "key"), "buckets")
     discard(keys)
-    sets = materialize(semi_join(docs, buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    wanted = buckets.select("id").distinct()
+    if shared:
+        wanted = classes.join(wanted, "id", "left_semi").select(F.col("rep").alias("id")).distinct()
+    sets = semi_join(docs, wanted.select(F.col("id").alias("doc_id")), "doc_id").mapInArrow(_sets, "doc_id long, fp binary, shingles array<long>")
+    if shared:
+        sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "fp", "id"), ["doc_id", "fp"]).select(F.col("id").alias("doc_id"), "shingles")
+    sets = materialize(sets.select("doc_id", "shingles").dropDuplicates(["doc_id"]), "sets")
 
     # Every class with the pivot of each of its buckets.
     links = _verified(_ordered(buckets.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), sets, percent)
@@ -198,7 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(_verified(_ordered(third.union(fourth)), sets, percent))
 
     component = connected_components(links)
-    member = classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    member = classes.join(component, "id", "left").select("fp", "rep", F.coalesce("component", "id").alias("component"))
+    if shared:  # a component may begin with a number of no document
+        member = member.join(member.groupBy("component").agg(F.min("rep").alias("least")), "component").select("fp", F.col("least").alias("component"))
+    member = member.select("fp", "component")
     discard(sets, buckets)
     return (
         signed.select("doc_id", "n_shingles", "fp").join(member, "fp", "left")

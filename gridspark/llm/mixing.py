@@ -166,7 +166,7 @@ def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False,
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", upsample: bool = False, seed: int = 17) -> DataFrame:
-    """(doc_id, tokens, domain, p_<domain>..., rate, copies) for every row of ``docs``; ``labels`` (doc_id, domain).
+    """(doc_id, tokens, domain, p_<domain>..., rate, copies, text_hash) for every row of ``docs``; ``labels`` (doc_id, domain).
 
     ``copies`` realises the rate: its whole part, and one more with the chance of the rest, drawn from the id.
     """
@@ -174,12 +174,13 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     domains = list(weights)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_classifier(rows, labels, domains)
-    placed = rows.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("tokens"), F.transform(features(F.col("text")), lambda w: _place(w, model.buckets)).alias("w"))
-    members = materialize(placed.select("doc_id", "tokens", model.posteriors(F.col("w")).alias("p")), "members")
+    placed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("tokens"), F.transform(features(F.col("text")), lambda w: _place(w, model.buckets)).alias("w"))
+    members = materialize(placed.select("doc_id", "text_hash", "tokens", model.posteriors(F.col("w")).alias("p")), "members")
     rated = fit_rates(members, list(weights.values()), upsample)
     chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     best = F.get(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int") - 1)
     return rated.select(
         "doc_id", "tokens", best.alias("domain"), *[F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(domains)],
         F.round("rate", 6).alias("rate"), F.floor(F.col("rate") + chance).cast("int").alias("copies"),
+        "text_hash",
     )

@@ -30,9 +30,25 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     df.write.parquet(path, compression=compression)
     back = spark.read.schema(schema).parquet(path)
     back._gridspark_path = path
+    _written.append(back)
     return back
 
 
+#: What :func:`materialize` has written and :func:`discard` has not deleted.
+_written: list[DataFrame] = []
+
+
+def mark() -> int:
+    """A point in time for :func:`release`."""
+    return len(_written)
+
+
+def release(since: int, *kept: DataFrame) -> None:
+    """Discard all tables written since :func:`mark` gave ``since`` but ``kept``. What is computed from them must be
+    written by then."""
+    discard(*[df for df in _written[since:] if all(df is not k for k in kept)])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what :func:`materialize` wrote, once nothing reads it any more."""
     for df in tables:
@@ -41,6 +57,7 @@ def discard(*tables: DataFrame) -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _written[:] = [x for x in _written if x is not df]
 
 
 #: Most keys that are sent to every executor; with more, both sides are shuffled.

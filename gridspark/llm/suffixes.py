@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import discard, materialize, semi_join
 from .text import BASE, Words, mix64, windows
@@ -197,14 +198,9 @@ def _compared(rows: DataFrame, partitions: int, min_words: int, name: str) -> Da
     return materialize(ordered.mapInArrow(_compare(min_words), f"{SUFFIX}, a int, b int"), name)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rid, text) of rows with an id; id and text hash tell documents apart."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text")).filter("doc_id is not null")
-
-
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, rid, n_words, spans array<struct<a, b>>) of the documents of :func:`keyed`: words a..b-1 repeat words that
-    an earlier place keeps; spans are apart and in order."""
+    """(doc_id, rid, n_words, spans array<struct<a, b>>) of documents (doc_id, rid, text), told apart by the first two:
+    words a..b-1 repeat words that an earlier place keeps; spans are apart and in order."""
     if min_words < GRAM:
         raise ValueError(f"min_words is at least {GRAM}")
     spark, id_ = docs.sparkSession, ["doc_id", "rid"]
@@ -245,9 +241,6 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-CUT = "doc_id long, text string, removed array<struct<start: long, end: long>>, n_words long, n_removed long"
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their spans, and the spans as character offsets of the original."""
     words = Words()
@@ -266,12 +259,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = hi
             clean[t] = b"".join([*kept, blob[at:]]).decode("utf-8", "replace").strip()
         gone = pa.array([sum(s["b"] - s["a"] for s in own) for own in spans], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(offsets, kind), batch.column(3), gone], ["doc_id", "text", "removed", "n_words", "n_removed"])
+        columns = [batch.column(0), pa.array(clean, pa.string()), pa.array(offsets, kind), batch.column(3), gone, *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "removed", "n_words", "n_removed", "rest"][: len(columns)])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_rest: bool = False) -> DataFrame:
     """(doc_id, text, removed, n_words, n_removed): each text without its repeated spans; ``removed`` has
-    their character offsets in the original text."""
-    rows = keyed(docs, id_col, text_col)
-    joined = rows.join(repeated_spans(rows, min_words), ["doc_id", "rid"])
-    return joined.select("doc_id", "text", "spans", "n_words").mapInArrow(_cut, CUT)
+    their character offsets in the original text. ``with_rest`` adds ``rest``, a struct of the row's other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rest = [F.struct(*others).alias("rest")] if with_rest and others else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"), *rest).filter("doc_id is not null")
+    joined = rows.join(repeated_spans(rows.select("doc_id", "rid", "text"), min_words), ["doc_id", "rid"]).select("doc_id", "text", "spans", "n_words", *["rest" for _ in rest])
+    schema = T._parse_datatype_string("doc_id long, text string, removed array<struct<start: long, end: long>>, n_words long, n_removed long")
+    return joined.mapInArrow(_cut, T.StructType([*schema.fields, *joined.schema.fields[4:]]))

@@ -70,6 +70,23 @@ def test_near_duplicates(spark, small):
     assert got == classes(rows)
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Each text links by itself; a group's id is the least of its rows' ids."""
+    a, b, c = words(80, 51), words(80, 52), words(80, 53)
+    near = lambda w, k: " ".join([*w[:k], "edit", *w[k + 1 :]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, near(a, 3)), (8, near(b, 70)), (9, " ".join(c)), (9, near(c, 40)), (10, near(a, 60)), (4, near(b, 2)), (3, None), (3, "x"), (None, "x")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, rows)).collect())
+    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
+    group = list(range(len(sets)))
+    for _ in sets:
+        for x, (_, s) in enumerate(sets):
+            for y, (_, t) in enumerate(sets):
+                if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                    group[x] = group[y] = min(group[x], group[y])
+    least = [min(i for (i, _), h in zip(sets, group, strict=True) if h == g) for g in group]
+    assert got == sorted((i, len(s), m, i == m) for (i, s), m in zip(sets, least, strict=True))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
@@ -88,16 +105,18 @@ def test_merkle(spark):
 
 
 def test_edited_texts(spark):
-    rows = [(i, t) for i, t in odd_rows() if i != 9]
-    got = {r.doc_id: r for r in merkle.edit_fingerprints(table(spark, rows)).collect()}
-    order = sorted(dict(rows), reverse=True)
-    text = {i: t or "" for i, t in rows}
-    for i, nxt in zip(order, [*order[1:], order[0]], strict=True):
-        t = text[i]
+    rows = [*odd_rows(), (9, "a shorter text"), (None, "no id")]
+    found = merkle.edit_fingerprints(table(spark, rows)).collect()
+    got = {r.doc_id: r for r in found}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))  # by descending id, then text; no id comes last
+    want = []
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        t, nxt = t or "", nxt or ""
         half = len(t) // 2
-        edited = t[: len(t) - half] + text[nxt][:half]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        edited = t[: len(t) - half] + nxt[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in found)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
     assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint
     assert merkle.edit_fingerprints(table(spark, [])).count() == 0
 
