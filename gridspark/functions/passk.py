@@ -27,6 +27,17 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(n < k, nan).when(c > n, nan).when(n - c < k, 1.0).otherwise(1.0 - miss)
 
 
+def choose(rows: DataFrame, column: str, wanted: str | None) -> DataFrame:
+    """Rows of the one ``wanted`` value, all of them if it is None; an error that names the choices if no row has it."""
+    if wanted is None:
+        return rows
+    found = rows.filter(F.col(column) == wanted)
+    if found.isEmpty():
+        choices = rows.select(column).distinct().orderBy(column).limit(50)  # for the message alone
+        raise ValueError(f"no {column} named {wanted!r}; choices: {', '.join(str(r[0]) for r in choices.collect())}")
+    return found
+
+
 def pass_table(samples: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     counts = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), F.sum(F.col("passed").cast("long")).alias("n_correct"))
     return counts.select(*by, "n_total", "n_correct", *[pass_at_k(F.col("n_total"), F.col("n_correct"), k).alias(f"pass_at_{k}") for k in ks])

@@ -22,7 +22,7 @@ def speedup(timings: DataFrame) -> DataFrame:
 
 
 def islands(log: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """``log`` (seq, nthreads, total_s) with ``run``, numbering the stretches of equal ``nthreads`` from 1.
+    """``log`` (seq, nthreads, ...) with ``run``, numbering the stretches of equal ``nthreads`` from 1.
 
     Lines are taken in chunks by ``seq``; the line before each chunk, and the runs that begin before it, come
     from a table with one row a chunk.
@@ -36,7 +36,7 @@ def islands(log: DataFrame, chunk: int = 100_000) -> DataFrame:
     rows = rows.withColumn("_t", turn)
     counts = rows.groupBy("_c").agg(F.sum("_t").alias("_n"))
     counts = counts.withColumn("_o", F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")).select("_c", "_o")
-    return rows.withColumn("_r", F.sum("_t").over(inside)).join(counts, "_c").select("seq", "nthreads", "total_s", (F.col("_r") + F.col("_o")).alias("run"))
+    return rows.withColumn("_r", F.sum("_t").over(inside)).join(counts, "_c").select(*log.columns, (F.col("_r") + F.col("_o")).alias("run"))
 
 
 def drop_first(runs: DataFrame) -> DataFrame:
@@ -45,8 +45,21 @@ def drop_first(runs: DataFrame) -> DataFrame:
     return runs.join(heads, "run").filter("seq > _first or _n = 1").drop("_first", "_n")
 
 
-def run_stats(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("run", "nthreads").agg(F.count(F.lit(1)).alias("n"), F.avg("total_s").alias("mean_total"), F.median("total_s").alias("median_total"))
+def run_stats(runs: DataFrame, optional: dict[str, str] | None = None) -> DataFrame:
+    """Lines, mean and median of each run; ``optional`` maps columns to the names of their means, which leave out NaN."""
+    more = [mean_skipping_nan(c).alias(name) for c, name in (optional or {}).items()]
+    return runs.groupBy("run", "nthreads").agg(F.count(F.lit(1)).alias("n"), F.avg("total_s").alias("mean_total"), F.median("total_s").alias("median_total"), *more)
+
+
+def span_totals(edges: DataFrame, key: list[str], by: str) -> DataFrame:
+    """(``by``, n_spans, seconds) of events (``key``, edge, at in ns): a span is a ``start`` and a ``finish`` of one key."""
+    at = lambda edge: F.max(F.when(F.col("edge") == edge, F.col("at")))
+    spans = edges.groupBy(*key).agg(at("start").alias("a"), at("finish").alias("b")).filter("a is not null and b is not null")
+    return spans.groupBy(by).agg(F.count(F.lit(1)).alias("n_spans"), (F.sum(F.col("b") - F.col("a")) / 1e9).alias("seconds"))
+
+
+def clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.greatest(low, F.least(high, x))
 
 
 def monotonic(medians: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -63,8 +76,12 @@ def mean_skipping_nan(x: str) -> Column:
     return F.coalesce(F.avg(F.when(~F.isnan(x), F.col(x))), F.lit(float("nan")))
 
 
-def weak_size(size: Column, threads: Column, scale: str) -> Column:
-    """A grid side for weak scaling; halves round to even."""
+def weak_size(size: Column, threads: Column, scale: str, override: int | None = None) -> Column:
+    """A grid side for weak scaling: ``override`` if it is given, else the size by a factor, halves rounded to even."""
+    if override is not None:
+        if override < 1:
+            raise ValueError("a side is at least 1")
+        return F.lit(override).cast("long")
     factor = {"sqrt": F.sqrt(threads), "linear": threads.cast("double")}.get(scale)
     return F.greatest(F.lit(1), F.rint(size * (factor if factor is not None else F.lit(float(scale)))).cast("long"))
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
+from gridspark.sources.scratch import shared_root
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the cluster's ``spark.checkpoint.dir``; where none is set, in a temporary folder."""
+    """A reliable checkpoint of ``df`` in the folder of :func:`shared_root`."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

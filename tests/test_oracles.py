@@ -2,12 +2,12 @@
 
 import pytest
 
-from gridspark.plans import grid_queries, matrix_queries, study_queries
+from gridspark.plans import grid_queries, io_queries, matrix_queries, study_queries
 
 from oracle import connect, differences
 
 QUERIES, ORACLES = {}, {}
-for plans in (study_queries, grid_queries, matrix_queries):
+for plans in (study_queries, grid_queries, matrix_queries, io_queries):
     QUERIES |= plans.QUERIES
     ORACLES |= plans.ORACLES
 
