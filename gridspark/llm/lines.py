@@ -3,7 +3,7 @@
 Units are the lines of a text (``line``), its paragraphs (``paragraph``: runs of lines up to a blank
 one), or its lines wrapped at sentence ends (``sentence``), which also meet where two texts break the
 same passage into other lines. A unit is normalised (lower case, runs of white space to one space, ends
-trimmed) and stands as a 128-bit digest; digests are grouped over all documents, and the occurrence with
+trimmed) and stands as a 96-bit digest; digests are grouped over all documents, and the occurrence with
 the least (doc_id, text hash, place) stays. Of the others, those go that stand in a run of at least
 ``min_words`` words of such repeated units: a short line that many texts hold by chance is no passage.
 With ``min_words`` 1 every repeated unit goes. Blank units are none, and break no run.
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import materialize
 
 #: Lines are wrapped at a space after one of these.
 STOPS = (". ", "! ", "? ")
 UNITS = ("line", "paragraph", "sentence")
 MIN_WORDS = 30
+#: Bytes of a digest: enough for 10**12 units to have no two alike by chance but for one in 10**5 corpora.
+DIGEST = 12
 #: A line break before a blank line; the same pattern in Java and in Python.
 BLANK = r"\n(?=[ \t\r]*\n)"
 
@@ -59,21 +61,16 @@ def _splitter(unit: str) -> Callable[[str], list[str]]:
 
 
 def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
-    """(doc_id, rid, nth, at, words): units that occurred before, of rows with columns doc_id, rid and text. ``nth``
-    numbers a text's units that are not blank, ``at`` all of them."""
+    """(doc_id, rid, gone array<struct<nth, at, words>>): units that occurred before, of rows with columns doc_id, rid and
+    text. ``nth`` numbers a text's units that are not blank, ``at`` all of them."""
     body = lambda u: F.trim(F.regexp_replace(F.lower(u), r"\s+", " "))
     each = F.transform(_split(F.col("text"), unit), lambda u, i: F.struct(i.alias("at"), body(u).alias("body")))
     flat = docs.filter("text is not null").select("doc_id", "rid", F.posexplode(F.filter(each, lambda u: u["body"] != "")).alias("nth", "u"))
-    flat = flat.select("doc_id", "rid", "nth", "u.at", F.size(F.split("u.body", " ")).alias("words"), F.unhex(F.md5("u.body")).alias("digest"))
-    flat = materialize(flat, "units")
-    first = flat.groupBy("digest").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "d")
-    again = flat.join(first, "digest")
-    # Of the first document's own occurrences the first one stays.
-    stays = again.filter("doc_id = d").groupBy("digest").agg(F.min(F.struct("rid", "nth")).alias("p"))
-    gone = again.join(stays, "digest").filter("doc_id <> d or rid <> p.rid or nth <> p.nth").select("doc_id", "rid", "nth", "at", "words").distinct()
-    out = materialize(gone, "gone")
-    discard(flat)
-    return out
+    flat = materialize(flat.select("doc_id", "rid", "nth", "u.at", F.size(F.split("u.body", " ")).alias("words"), F.substring(F.unhex(F.md5("u.body")), 1, DIGEST).alias("digest")), "units")
+    first = flat.groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "nth")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    first = materialize(first, "firsts")  # as a table of its own the sorted join can be split at digests that many rows hold
+    gone = flat.join(first, "digest").filter(F.struct("doc_id", "rid", "nth") != F.col("first"))
+    return gone.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("nth", "at", "words")).alias("gone"))
 
 
 def _drop(units: list[dict], min_words: int) -> set[int]:
@@ -123,7 +120,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without its repeated units, and where these were in the original, in characters."""
     if unit not in UNITS:
         raise ValueError(f"unit is one of {', '.join(UNITS)}")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    gone = repeated_units(rows, unit).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("nth", "at", "words")).alias("gone"))
-    joined = rows.join(gone, ["doc_id", "rid"], "left").select("doc_id", "text", "gone")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("rid"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    joined = rows.join(repeated_units(rows, unit), ["doc_id", "rid"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut(unit, min_words), "doc_id long, text string, n_units int, n_removed int, removed array<struct<start: long, end: long>>")
