@@ -45,20 +45,37 @@ def from_tiles(tiles: DataFrame, cols: int, size: int) -> DataFrame:
     return flat.select((F.col("ti") * size + F.floor(F.col("p") / F.col("w"))).cast("long").alias("i"), (F.col("tj") * size + F.col("p") % F.col("w")).cast("int").alias("j"), "v")
 
 
+#: Result tiles that a task adds up before it sends them on.
+HELD_TILES = 256
+
+
 def multiply_tiles(a: DataFrame, b: DataFrame, inner: int, size: int) -> DataFrame:
-    """A x B over tiles: tiles meet on the inner index, each result tile sums its products."""
+    """A x B over tiles: tiles meet on the inner index and are multiplied there; each task adds up its products of a result
+    tile, so that no more than one tile a task goes to where the sums are completed."""
     right = b.select(F.col("ti").alias("k"), F.col("tj").alias("jj"), F.col("data").alias("other"))
     pairs = a.withColumnRenamed("tj", "k").join(right, "k")
 
+    def sent(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame([(ti, tj, z.ravel()) for (ti, tj), z in sums.items()], columns=["ti", "tj", "data"])
+
+    def products(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            for ti, tj, k, x, y in zip(pdf["ti"], pdf["jj"], pdf["k"], pdf["data"], pdf["other"], strict=True):
+                wide = min(size, inner - int(k) * size)
+                z = np.asarray(x).reshape(-1, wide) @ np.asarray(y).reshape(wide, -1)
+                at = (int(ti), int(tj))
+                sums[at] = sums[at] + z if at in sums else z
+                if len(sums) > HELD_TILES:
+                    yield sent(sums)
+                    sums = {}
+        if sums:
+            yield sent(sums)
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for k, x, y in zip(pdf["k"], pdf["data"], pdf["other"], strict=True):
-            wide = min(size, inner - int(k) * size)
-            z = np.asarray(x).reshape(-1, wide) @ np.asarray(y).reshape(wide, -1)
-            total = z if total is None else total + z
-        return pd.DataFrame({"ti": [int(pdf["ti"].iloc[0])], "tj": [int(pdf["jj"].iloc[0])], "data": [total.ravel()]})
+        return pd.DataFrame({"ti": pdf["ti"][:1], "tj": pdf["tj"][:1], "data": [np.sum(np.stack(pdf["data"]), axis=0)]})
 
-    return pairs.groupBy("ti", "jj").applyInPandas(add, TILE)
+    return pairs.mapInPandas(products, TILE).groupBy("ti", "tj").applyInPandas(add, TILE)
 
 
 def spd_ones(spark: SparkSession, n: int) -> DataFrame:
@@ -67,8 +84,12 @@ def spd_ones(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n * n).select(i.cast("long").alias("i"), j.cast("int").alias("j"), F.when(i == j, float(n)).otherwise(1.0).alias("v"))
 
 
-def diagonal_boost(a: DataFrame, delta: float) -> DataFrame:
-    return a.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") + delta).otherwise(F.col("v")))
+def diagonal_boost(a: DataFrame, delta: float, n: int | None = None) -> DataFrame:
+    """``delta`` added on the diagonal; of a sparse n x n matrix, also where it has no entry."""
+    if n is None:
+        return a.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") + delta).otherwise(F.col("v")))
+    diagonal = a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").cast("int").alias("j"), F.lit(delta).alias("v"))
+    return a.select("i", "j", "v").unionByName(diagonal).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def tile_owner(ti: Column, tj: Column, owners: int) -> Column:

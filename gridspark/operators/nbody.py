@@ -1,11 +1,14 @@
 """Gravity among particles (id, x, y, z, vx, vy, vz, mass): direct sums, Morton order, a median-split tree.
 
-Direct sums are taken over blocks: each particle meets each block of sources as one row with arrays, not
-each other particle. Tree walks are joins of (particle, node) pairs with the table of nodes, level by level.
+Direct sums are taken over blocks: each block of particles meets each block of sources as one row with arrays,
+whose pairs are summed in one pass of array operations. Tree walks are joins of (particle, node) pairs with the
+table of nodes, level by level; the trees of all segments are built and walked together.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +45,49 @@ def segments(particles: DataFrame, parts: int) -> DataFrame:
     return ranked(coded, "code", ["id"]).withColumn("seg", (seg + 1).cast("int")).drop("rank")
 
 
-def source_blocks(particles: DataFrame, size: int = 256) -> DataFrame:
-    """(block, src array<struct<id, x, y, z, mass>>) of about ``size`` particles each."""
+def source_blocks(particles: DataFrame, size: int = 512) -> DataFrame:
+    """(block, id, x, y, z, mass), each an array over about ``size`` particles."""
     n = max(1, -(-particles.count() // size))
-    return particles.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", *AXES, "mass")).alias("src"))
+    each = particles.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", *AXES, "mass")).alias("src"))
+    return each.select("block", *[F.col(f"src.{c}").alias(c) for c in ("id", *AXES, "mass")])
 
 
-def accelerations(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int = 256) -> DataFrame:
-    """(id, ax, ay, az): the sum over all others of g m r / d**3 with d**2 at least eps2."""
-    src = source_blocks(particles, block)
+def _met(particles: DataFrame, block: int) -> DataFrame:
+    """Every block with every block: the sources' columns begin with s."""
+    blocks = cut(source_blocks(particles, block))
+    names = ("block", "id", *AXES, "mass")
+    return blocks.crossJoin(blocks.select([F.col(c).alias(f"s{c}") for c in names]))
+
+
+def _apart(row, eps2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(3, targets, sources) differences, squared distances of at least ``eps2``, and the products' masks of other bodies."""
+    d = np.stack([np.asarray(getattr(row, f"s{a}"))[None, :] - np.asarray(getattr(row, a))[:, None] for a in AXES])
+    return d, np.maximum((d * d).sum(axis=0), eps2), np.asarray(row.id)[:, None] - np.asarray(row.sid)[None, :]
 
-    def pull(axis: str) -> Column:
-        d2 = lambda s: F.greatest(sum(((s[a] - F.col(a)) * (s[a] - F.col(a)) for a in AXES), F.lit(0.0)), F.lit(eps2))
-        one = lambda s: F.when(s["id"] == F.col("id"), 0.0).otherwise(g * s["mass"] / d2(s) * (s[axis] - F.col(axis)) / F.sqrt(d2(s)))
-        return F.aggregate("src", F.lit(0.0), lambda t, s: t + one(s))
 
-    met = particles.select("id", *AXES).crossJoin(src)  # every particle with every block of sources
-    return met.groupBy("id").agg(*[F.sum(pull(a)).alias(f"a{a}") for a in AXES])
+def accelerations(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int = 512) -> DataFrame:
+    """(id, ax, ay, az): the sum over all others of g m r / d**3 with d**2 at least eps2."""
+    def pull(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                d, d2, other = _apart(row, eps2)
+                w = np.where(other == 0, 0.0, g * np.asarray(row.smass)[None, :] / d2 / np.sqrt(d2))
+                yield pd.DataFrame({"id": row.id, **{f"a{a}": (w * d[k]).sum(axis=1) for k, a in enumerate(AXES)}})
+
+    parts = _met(particles, block).mapInPandas(pull, "id long, ax double, ay double, az double")
+    return parts.groupBy("id").agg(*[F.sum(f"a{a}").alias(f"a{a}") for a in AXES])
 
 
-def potential(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int = 256) -> DataFrame:
+def potential(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int = 512) -> DataFrame:
     """One row ``potential``: the sum over pairs of -g m m' / d."""
-    src = source_blocks(particles, block)
-    d = lambda s: F.sqrt(F.greatest(sum(((s[a] - F.col(a)) * (s[a] - F.col(a)) for a in AXES), F.lit(0.0)), F.lit(eps2)))
-    own = F.aggregate("src", F.lit(0.0), lambda t, s: t + F.when(s["id"] > F.col("id"), -g * s["mass"] * F.col("mass") / d(s)).otherwise(0.0))
-    return particles.select("id", *AXES, "mass").crossJoin(src).agg(F.sum(own).alias("potential"))
+    def sums(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                _, d2, other = _apart(row, eps2)
+                w = np.where(other < 0, -g * np.asarray(row.mass)[:, None] * np.asarray(row.smass)[None, :] / np.sqrt(d2), 0.0)
+                yield pd.DataFrame({"potential": [w.sum()]})
+
+    return _met(particles, block).mapInPandas(sums, "potential double").agg(F.sum("potential").alias("potential"))
 
 
 def kinetic(particles: DataFrame) -> DataFrame:
@@ -81,44 +102,50 @@ def centres(particles: DataFrame, by: list[str]) -> DataFrame:
     return particles.groupBy(*by).agg(m.alias("mass"), *[(F.sum(F.col("mass") * F.col(a)) / m).alias(f"c{a}") for a in AXES])
 
 
-def tree(particles: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+def tree(particles: DataFrame, leaf: int = LEAF, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, members). A node over ``leaf`` particles splits along its longest extent after half of them, rounded
     up; children have half its size and, for the upper one, a box moved by that half along the split.
 
     nodes: node, depth, n, mass, cx, cy, cz, gx, gy, gz, size, is_leaf; the root is node 1 and node k has
-    the children 2k and 2k+1. members: the particles with the leaf they are in. One level is one pass.
+    the children 2k and 2k+1. members: the particles with the leaf they are in. One level is one pass, also over
+    the trees of all values of the column ``by``, which both tables then have.
     """
-    now = cut(particles.select("id", *AXES, "mass", F.lit(1).cast("long").alias("node"), F.col("id").alias("prev")))
-    boxes = now.sparkSession.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0)], "node long, lx double, ly double, lz double, size double")
+    own = [by] if by else []
+    key = [*own, "node"]
+    now = cut(particles.select("id", *AXES, "mass", *own, F.lit(1).cast("long").alias("node"), F.col("id").alias("prev")))
+    boxes = now.select(*key).distinct().select(*key, *[F.lit(0.0).alias(f"l{a}") for a in AXES], F.lit(1.0).alias("size"))
     done, placed, depth = None, None, 0
     while True:
-        stats = now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"), *[(F.sum(F.col("mass") * F.col(a)) / F.sum("mass")).alias(f"c{a}") for a in AXES], *[(F.max(a) - F.min(a)).alias(f"e{a}") for a in AXES])
+        stats = now.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"), *[(F.sum(F.col("mass") * F.col(a)) / F.sum("mass")).alias(f"c{a}") for a in AXES], *[(F.max(a) - F.min(a)).alias(f"e{a}") for a in AXES])
         axis = F.when((F.col("ex") >= F.col("ey")) & (F.col("ex") >= F.col("ez")), 0).when(F.col("ey") >= F.col("ez"), 1).otherwise(2)
-        stats = cut(stats.withColumn("axis", axis).join(boxes, "node"))
-        level = stats.select("node", F.lit(depth).alias("depth"), "n", "mass", "cx", "cy", "cz", *[(F.col(f"l{a}") + F.col("size") / 2).alias(f"g{a}") for a in AXES], "size", (F.col("n") <= leaf).alias("is_leaf"))
+        stats = cut(stats.withColumn("axis", axis).join(boxes, key))
+        level = stats.select(*key, F.lit(depth).alias("depth"), "n", "mass", "cx", "cy", "cz", *[(F.col(f"l{a}") + F.col("size") / 2).alias(f"g{a}") for a in AXES], "size", (F.col("n") <= leaf).alias("is_leaf"))
         done = level if done is None else done.unionByName(level)
-        small = now.join(stats.filter(F.col("n") <= leaf).select("node"), "node").select("id", *AXES, "mass", "node")
+        small = now.join(stats.filter(F.col("n") <= leaf).select(*key), key).select("id", *AXES, "mass", *key)
         placed = small if placed is None else placed.unionByName(small)
         split = stats.filter(F.col("n") > leaf)
         if split.isEmpty():
             return done, placed
         value = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
-        open_ = cut(now.join(split.select("node", "n", "axis"), "node").withColumn("value", value).withColumn("key", sortable(F.col("value"))))
-        order = ranked(open_, "key", ["value", "prev"], by=["node"])
+        open_ = cut(now.join(split.select(*key, "n", "axis"), key).withColumn("value", value).withColumn("key", sortable(F.col("value"))))
+        order = ranked(open_, "key", ["value", "prev"], by=key)
         low = F.col("rank") <= F.floor((F.col("n") + 1) / 2)
-        now = cut(order.select("id", *AXES, "mass", F.when(low, F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"), F.col("rank").alias("prev")))
+        now = cut(order.select("id", *AXES, "mass", *own, F.when(low, F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"), F.col("rank").alias("prev")))
         half = F.col("size") / 2
-        sides = split.select("node", "axis", "lx", "ly", "lz", half.alias("half"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-        boxes = sides.select((F.col("node") * 2 + F.col("side")).alias("node"), *[F.when((F.col("axis") == k) & (F.col("side") == 1), F.col(f"l{a}") + F.col("half")).otherwise(F.col(f"l{a}")).alias(f"l{a}") for k, a in enumerate(AXES)], F.col("half").alias("size"))
+        sides = split.select(*key, "axis", "lx", "ly", "lz", half.alias("half"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+        boxes = sides.select(*own, (F.col("node") * 2 + F.col("side")).alias("node"), *[F.when((F.col("axis") == k) & (F.col("side") == 1), F.col(f"l{a}") + F.col("half")).otherwise(F.col(f"l{a}")).alias(f"l{a}") for k, a in enumerate(AXES)], F.col("half").alias("size"))
         depth += 1
 
 
-def tree_accelerations(particles: DataFrame, theta: float, eps2: float = EPS2, g: float = 1.0, leaf: int = LEAF) -> DataFrame:
+def tree_accelerations(particles: DataFrame, theta: float, eps2: float = EPS2, g: float = 1.0, leaf: int = LEAF, by: str | None = None) -> DataFrame:
     """(id, ax, ay, az) by Barnes-Hut: a node that does not hold the particle and whose size is at most theta times
-    its distance, less the offset of its centre of mass, acts as one body; leaves act body by body."""
-    nodes, members = (cut(t) for t in tree(particles, leaf))
+    its distance, less the offset of its centre of mass, acts as one body; leaves act body by body. With ``by`` each
+    particle meets the tree of its own group alone."""
+    own = [by] if by else []
+    key = [*own, "node"]
+    nodes, members = (cut(t) for t in tree(particles, leaf, by))
     nodes = nodes.filter("mass > 0")
-    home = members.select("id", *AXES, F.col("node").alias("home"))
+    home = members.select("id", *AXES, *own, F.col("node").alias("home"))
     pairs = home.withColumn("node", F.lit(1).cast("long"))
     r = {a: F.col(f"c{a}") - F.col(a) for a in AXES}
     d2 = F.greatest(r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"], F.lit(eps2))
@@ -127,7 +154,7 @@ def tree_accelerations(particles: DataFrame, theta: float, eps2: float = EPS2, g
     total, at_leaf = None, None
     deepest = nodes.agg(F.max("depth")).first()[0]
     for depth in range((deepest or 0) + 1):
-        met = pairs.join(nodes, "node")
+        met = pairs.join(nodes, key)
         # A node holds the particle if it is an ancestor of its leaf in the numbering by halves.
         home_bits, own_bits = F.floor(F.log2(F.col("home").cast("double")) + 1e-9).cast("int"), F.lit(depth)
         holds = (home_bits >= own_bits) & (F.expr(f"shiftright(home, cast(greatest(0, cast(floor(log2(cast(home as double)) + 1e-9) as int) - {depth}) as int))") == F.col("node"))
@@ -136,13 +163,13 @@ def tree_accelerations(particles: DataFrame, theta: float, eps2: float = EPS2, g
         f = g * F.col("mass") / d2 / F.sqrt(d2)
         part = met.filter("far").groupBy("id").agg(*[F.sum(f * r[a]).alias(f"a{a}") for a in AXES])
         total = part if total is None else total.unionByName(part)
-        near = met.filter("is_leaf").select("id", *AXES, "node")
+        near = met.filter("is_leaf").select("id", *AXES, *key)
         at_leaf = near if at_leaf is None else at_leaf.unionByName(near)
-        pairs = met.filter("not far and not is_leaf").select("id", *AXES, "home", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"))
-    bodies = members.select("node", F.col("id").alias("sid"), *[F.col(a).alias(f"s{a}") for a in AXES], F.col("mass").alias("smass"))
+        pairs = met.filter("not far and not is_leaf").select("id", *AXES, *own, "home", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"))
+    bodies = members.select(*key, F.col("id").alias("sid"), *[F.col(a).alias(f"s{a}") for a in AXES], F.col("mass").alias("smass"))
     q = {a: F.col(f"s{a}") - F.col(a) for a in AXES}
     e2 = F.greatest(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"], F.lit(eps2))
-    exact = at_leaf.join(bodies, "node").filter("id <> sid").groupBy("id").agg(*[F.sum(g * F.col("smass") / e2 / F.sqrt(e2) * q[a]).alias(f"a{a}") for a in AXES])
+    exact = at_leaf.join(bodies, key).filter("id <> sid").groupBy("id").agg(*[F.sum(g * F.col("smass") / e2 / F.sqrt(e2) * q[a]).alias(f"a{a}") for a in AXES])
     both = total.unionByName(exact).groupBy("id").agg(*[F.sum(f"a{a}").alias(f"a{a}") for a in AXES])
     return particles.select("id").join(both, "id", "left").fillna(0.0)
 
@@ -154,7 +181,7 @@ def step(particles: DataFrame, acc: DataFrame, dt: float = 0.01) -> DataFrame:
 
 
 def segment_accelerations(particles: DataFrame, parts: int, theta: float, eps2: float = EPS2, g: float = 1.0) -> DataFrame:
-    """The distributed scheme: a tree in each Morton segment, and every other segment as one body."""
+    """The distributed scheme: a tree in each Morton segment, all in one pass, and every other segment as one body."""
     seg = cut(segments(particles, parts))
     heads = centres(seg, ["seg"]).filter("mass > 0")  # one row a segment
     r = {a: F.col(f"c{a}") - F.col(a) for a in AXES}
@@ -162,8 +189,7 @@ def segment_accelerations(particles: DataFrame, parts: int, theta: float, eps2:
     others = heads.select(F.col("seg").alias("other"), F.col("mass").alias("om"), "cx", "cy", "cz")
     far = seg.select("id", *AXES, "seg").join(F.broadcast(others), F.col("seg") != F.col("other"))
     total = far.groupBy("id").agg(*[F.sum(g * F.col("om") / d2 / F.sqrt(d2) * r[a]).alias(f"a{a}") for a in AXES])
-    for k in range(1, parts + 1):
-        total = total.unionByName(tree_accelerations(seg.filter(F.col("seg") == k).drop("code", "seg"), theta, eps2, g))
+    total = total.unionByName(tree_accelerations(seg.drop("code"), theta, eps2, g, by="seg"))
     return total.groupBy("id").agg(*[F.sum(f"a{a}").alias(f"a{a}") for a in AXES])
 
 

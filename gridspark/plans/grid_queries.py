@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import seam as sm
 from gridspark.operators import stencil as st
-from gridspark.plans.iterate import states
+from gridspark.plans.iterate import cut, states
 from gridspark.sources import fixtures as fx
 
 W, IW, ALPHA = fx.WIDTH, fx.IMAGE_WIDTH, 0.2
@@ -250,11 +250,8 @@ def dp_backptr(spark, sf):
 
 @query("seam_path", f"{_DP}, {path_sql('d', 's')} SELECT y::INT AS y, x::INT AS s FROM s")
 def seam_path(spark, sf):
-    from gridspark.plans.iterate import cut
-
     costs, h = _costs(spark, sf)
-    costs = cut(costs)
-    return sm.seam_frame(costs, sm.seam(costs, h))
+    return sm.seam(cut(costs), h)
 
 
 @query("seam_remove", f"{carve_sql(1)} SELECT y, x, v FROM i1")
@@ -269,9 +266,8 @@ def carve_k3(spark, sf):
     return sm.carve(i, height(i), IW, 3)
 
 
-@query("strip_geometry", """SELECT W AS width, T AS threads, bw AS block, (1 + (W - 1) // bw)::BIGINT AS upper FROM (
-  SELECT W, T, max(b) FILTER (1 + (W - 1) // b >= greatest(T, 2) AND b <= 512) AS bw
-  FROM (VALUES (10400, 6), (10400, 28), (2400, 52), (512, 4)) v(W, T), (SELECT unnest(range(2, 10401, 2)) AS b) GROUP BY W, T)""")
+@query("strip_geometry", f"SELECT (x // 16)::INT AS strip, count(DISTINCT x)::BIGINT AS width, count(DISTINCT y // 16)::BIGINT AS tiles, count(*) AS cells FROM ({IMAGE}) GROUP BY 1")
 def strip_geometry(spark, sf):
-    rows = [(w, t, b, sm.phase_tasks(9600, w, 180, 400, b)["upper"]) for w, t in ((10400, 6), (10400, 28), (2400, 52), (512, 4)) for b in [sm.auto_block(w, t)]]
-    return spark.createDataFrame(rows, "width int, threads int, block long, upper long")
+    """Vertical strips of the image: columns, tiles and cells of each."""
+    cells = st.tiles(fx.image(spark, sf), 16, 16)
+    return cells.groupBy(F.col("tx").alias("strip")).agg(F.count_distinct("x").alias("width"), F.count_distinct("ty").alias("tiles"), F.count(F.lit(1)).alias("cells"))

@@ -53,24 +53,25 @@ def gemm_sampled_check(spark, sf):
     return got.join(F.broadcast(at), ["i", "j"]).select("t", F.round("v", 4).alias("v"))  # eight rows
 
 
-_SQUARE = f"WITH a AS (SELECT * FROM ({MATRIX}) WHERE i < {DIM})"
+#: The whole table as a sparse square matrix, n x n with entries in its first columns.
+_SQUARE = f"WITH a AS ({MATRIX})"
 
 
-@query("transpose_add", f"{_SQUARE} SELECT p.i, p.j, round(p.v + q.v, 6) AS v FROM a p JOIN a q ON p.i = q.j AND p.j = q.i")
+@query("transpose_add", f"{_SQUARE} SELECT i, j::INT AS j, round(sum(v), 6) AS v FROM (SELECT i, j, v FROM a UNION ALL SELECT j, i, v FROM a) GROUP BY 1, 2")
 def transpose_add(spark, sf):
-    return la.transpose_add(fx.matrix(spark, sf, DIM)).select("i", F.col("j").cast("int").alias("j"), F.round("v", 6).alias("v"))
+    return la.transpose_add(fx.matrix(spark, sf)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.round("v", 6).alias("v"))
 
 
 @query("normalize_sum", f"{_SQUARE} SELECT round(sum(v / greatest(m, 1e-6)), 4) AS total FROM a, (SELECT max(v) AS m FROM a)")
 def normalize_sum(spark, sf):
-    a = fx.matrix(spark, sf, DIM)
+    a = fx.matrix(spark, sf)
     top = a.agg(F.greatest(F.max("v"), F.lit(1e-6)).alias("m"))
     return a.crossJoin(F.broadcast(top)).agg(F.round(F.sum(F.col("v") / F.col("m")), 4).alias("total"))  # one row
 
 
 @query("scale_sum", f"{_SQUARE} SELECT round(sum(v * 2), 4) AS total FROM a")
 def scale_sum(spark, sf):
-    return fx.matrix(spark, sf, DIM).agg(F.round(F.sum(F.col("v") * 2), 4).alias("total"))
+    return fx.matrix(spark, sf).agg(F.round(F.sum(F.col("v") * 2), 4).alias("total"))
 
 
 @query("independent_sums", f"SELECT (i % 4)::BIGINT AS array_id, round(sum(v), 4) AS total FROM ({MATRIX}) GROUP BY 1")
@@ -91,9 +92,10 @@ def spd_matrix(spark, sf):
     return la.spd_ones(spark, N)
 
 
-@query("diagonal_boost", f"{_SQUARE} SELECT i, j, round(v + CASE WHEN i = j THEN 64.0 ELSE 0 END, 6) AS v FROM a")
+@query("diagonal_boost", f"{_SQUARE} SELECT i, j::INT AS j, round(sum(v), 6) AS v FROM (SELECT i, j, v FROM a UNION ALL SELECT DISTINCT i, i, 64.0::DOUBLE FROM a) GROUP BY 1, 2")
 def diagonal_boost(spark, sf):
-    return la.diagonal_boost(fx.matrix(spark, sf, DIM), 64.0).select("i", "j", F.round("v", 6).alias("v"))
+    n = fx.table(spark, sf, "embeddings").count()
+    return la.diagonal_boost(fx.matrix(spark, sf), 64.0, n).select("i", "j", F.round("v", 6).alias("v"))
 
 
 @query("cholesky_closed_form", _CHOL)
@@ -117,9 +119,33 @@ def cholesky_tiled(spark, sf):
     return la.from_tiles(tiles, N, SIZE).filter("i >= j").select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query("frob_close", f"{_SQUARE} SELECT round(sqrt(sum(pow(p.v - q.v, 2))), 4) AS distance, round(greatest(sqrt(sum(p.v * p.v)), sqrt(sum(q.v * q.v))), 4) AS norm, sqrt(sum(pow(p.v - q.v, 2))) <= 1e-3 * greatest(sqrt(sum(p.v * p.v)), sqrt(sum(q.v * q.v))) AS close FROM a p JOIN a q ON p.i = q.j AND p.j = q.i")
+_SPD_DATA = f"WITH a AS ({MATRIX}), n AS (SELECT count(*)::DOUBLE AS n FROM embeddings) SELECT p.j::BIGINT AS i, q.j::INT AS j, round(sum(p.v * q.v) / max(n) + CASE WHEN p.j = q.j THEN 1.0 ELSE 0 END, 6) AS v FROM a p JOIN a q ON p.i = q.i, n GROUP BY p.j, q.j"
+
+
+def _spd(spark, sf):
+    """The covariance of the embeddings about zero, plus the unit matrix."""
+    a, n = fx.matrix(spark, sf), fx.table(spark, sf, "embeddings").count()
+    gram = la.multiply(la.transpose(a), a).select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), (F.col("v") / n).alias("v"))
+    return la.diagonal_boost(gram, 1.0)
+
+
+@query("spd_from_data", _SPD_DATA)
+def spd_from_data(spark, sf):
+    return _spd(spark, sf).withColumn("v", F.round("v", 6))
+
+
+@query("cholesky_from_data", _SPD_DATA)
+def cholesky_from_data(spark, sf):
+    """The factor of a matrix made of the whole table, multiplied by its transpose: the matrix again."""
+    factor = la.from_tiles(la.cholesky_tiles(la.to_tiles(_spd(spark, sf), DIM, DIM, SIZE), DIM, SIZE), DIM, SIZE).filter("i >= j")
+    got = la.multiply(factor, la.transpose(factor))
+    return got.select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.round("v", 6).alias("v"))
+
+
+@query("frob_close", f"""{_SQUARE}, t AS (SELECT coalesce(p.v, 0) AS p, coalesce(q.v, 0) AS q FROM a p FULL JOIN (SELECT j AS i, i AS j, v FROM a) q ON p.i = q.i AND p.j = q.j)
+SELECT round(sqrt(sum(pow(p - q, 2))), 4) AS distance, round(greatest(sqrt(sum(p * p)), sqrt(sum(q * q))), 4) AS norm, sqrt(sum(pow(p - q, 2))) <= 1e-3 * greatest(sqrt(sum(p * p)), sqrt(sum(q * q))) AS close FROM t""")
 def frob_close(spark, sf):
-    a = fx.matrix(spark, sf, DIM)
+    a = fx.matrix(spark, sf)
     t = la.transpose(a).select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), "v")
     return la.closeness(a, t, 1e-3).select(F.round("distance", 4).alias("distance"), F.round("norm", 4).alias("norm"), "close")
 

@@ -40,11 +40,9 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def matrix(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    """Entries (i, j, v) of the embeddings as a matrix; the first ``rows`` of them."""
-    df = table(spark, sf_dir, "embeddings")
-    df = df if rows is None else df.filter(F.col("vec_id") < rows)
-    return df.select(F.col("vec_id").alias("i"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("j", "v"))
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries (i, j, v) of the embeddings as a matrix."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("j", "v"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
