@@ -1,45 +1,61 @@
-"""Order over a whole table without one task that holds it: quantile buckets, then windows inside them."""
+"""Order over a whole table without one task that holds it: quantile buckets, then windows inside them.
+
+Quantiles cut the key's range into at most CUTS parts, and equal steps cut each of these into at most STEPS
+buckets where the table is large, so a million buckets share its rows, and what is known of buckets stays small
+at any input size. Rows of one key are in one bucket.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most buckets of a table: what is known of buckets stays this small at any input size.
-MOST_BUCKETS = 16_384
+#: Most quantiles of a table, and most buckets between two of them.
+CUTS, STEPS = 16_384, 64
 FANOUT = 128
 
 
-def bounds(df: DataFrame, key: str, rows_each: int) -> list[int]:
-    """Ascending distinct values of the integer column ``key`` that cut it into buckets of about ``rows_each`` rows."""
-    n = df.count()
-    buckets = min(MOST_BUCKETS, n // rows_each + 1)
-    if buckets < 2:
-        return []
-    at = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(key, at, max(10_000, 8 * buckets))).first()[0]
-    return sorted(set(found or []))
+@dataclass(frozen=True)
+class Cuts:
+    """Ascending distinct values; a part of the range is between two of them, below the first or from the last on."""
+
+    values: list[int] = field(default_factory=list)
+    steps: int = 1
+
+
+def bounds(df: DataFrame, key: str, rows_each: int, most: int = CUTS) -> Cuts:
+    """What cuts the integer column ``key`` into buckets of about ``rows_each`` rows."""
+    wanted = df.count() // rows_each + 1
+    parts = min(most, wanted)
+    if parts < 2:
+        return Cuts()
+    at = [i / parts for i in range(1, parts)]
+    if wanted > parts:  # the ends too, so that every row has a step between two values
+        at = [0.0, *at, 1.0]
+    found = df.select(F.percentile_approx(key, at, max(10_000, 8 * parts))).first()[0]
+    return Cuts(sorted(set(found or [])), min(STEPS, -(-wanted // parts)))
 
 
-def bucket(key: str, cuts: list[int]) -> Column:
-    """How many of ``cuts`` are at or under ``key`` (null: 0), found in two steps over literal arrays."""
-    x = F.coalesce(F.col(key), F.lit(-(2**63)))
-    if not cuts:
+def bucket(key: str, cuts: Cuts) -> Column:
+    """The number of the bucket of ``key`` (null: the first), ascending with it."""
+    values, x = cuts.values, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    if not values:
         return F.lit(0)
-    fine = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    if len(cuts) <= FANOUT:
-        return F.size(F.filter(fine, lambda c: c <= x))
-    coarse = F.array(*[F.lit(int(c)).cast("long") for c in cuts[::FANOUT]])
-    block = F.size(F.filter(coarse, lambda c: c <= x))
-    inside = F.filter(F.slice(fine, (block - 1) * FANOUT + 1, FANOUT), lambda c: c <= x)
-    return F.when(block == 0, 0).otherwise((block - 1) * FANOUT + F.size(inside))
-
-
-def bucket_of(key: int, cuts: list[int]) -> int:
-    """The same for one value, in the driver."""
-    return bisect_left(cuts, key + 1)
+    literal = lambda vs: F.split(F.lit(",".join(map(str, vs))), ",").cast("array<bigint>")  # noqa: E731  # one literal, folded by the optimizer
+    fine = literal(values)
+    if len(values) <= FANOUT:
+        part = F.size(F.filter(fine, lambda c: c <= x))
+    else:  # found in two steps
+        block = F.size(F.filter(literal(values[::FANOUT]), lambda c: c <= x))
+        inside = F.filter(F.slice(fine, (block - 1) * FANOUT + 1, FANOUT), lambda c: c <= x)
+        part = F.when(block == 0, 0).otherwise((block - 1) * FANOUT + F.size(inside))
+    if cuts.steps == 1:
+        return part
+    low, high = F.get(fine, part - 1).cast("double"), F.get(fine, part).cast("double")
+    step = F.floor((x.cast("double") - low) / (high - low) * cuts.steps).cast("int")
+    return part * cuts.steps + F.coalesce(F.greatest(F.lit(0), F.least(step, F.lit(cuts.steps - 1))), F.lit(0))
 
 
 def ranked(df: DataFrame, key: str, ties: list[str], rows_each: int = 2000, by: list[str] | None = None) -> DataFrame:
