@@ -1,12 +1,12 @@
 """Mixing domains to target weights with soft membership.
 
-A naive Bayes classifier over hashed words, learned from a labelled table, gives every document the
+A logistic regression over the hashed words that a text has, learned from a labelled table, gives every document the
 probability of each domain. Document rates r >= 0 then minimise
 
     sum over domains d of  (sum_i r_i t_i p_id - w_d B)**2 / N_d
 
 (t white-space tokens, p posteriors, w weights, B the token budget, N the totals at rate 1) by projected gradient
-from r = 1, each document's step divided by its tokens. The budget is the largest for which no wanted domain, one
+with momentum from r = 1, each document's step divided by its tokens. The budget is the largest for which no wanted domain, one
 with at least an even share of the weights, must repeat tokens; a scarcer one of the others gives what it has and
 falls short, which is logged. An iteration is one aggregation over all
 documents; what passes the driver is one number a domain.
@@ -25,13 +25,17 @@ from __future__ import annotations
 import logging
 import math
 
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .merkle import let
 from .storage import discard, materialize
 
 BUCKETS, TRAIN_ROWS = 16_384, 20_000
+#: The weight of the penalty on absolute coefficients, and passes over the training documents.
+PENALTY, PASSES = 3e-4, 30
 #: Steps replayed in one expression before the rates are written.
 REPLAY = 8
 
@@ -40,62 +44,44 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \n\t\r]"), lambda w: w != "")
 
 
-def features(text: Column) -> Column:
-    """What the classifier reads: lower-cased words without full stops and commas."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,]+")
-
-
-def _place(word: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(word), F.lit(buckets))
+def features(docs: DataFrame, text: Column, buckets: int) -> DataFrame:
+    """``docs`` with ``features``: which hashed words the text has, lower-cased and without full stops and commas."""
+    split = docs.withColumn("_words", F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,]+"))
+    return HashingTF(numFeatures=buckets, binary=True, inputCol="_words", outputCol="features").transform(split).drop("_words")
 
 
 class Classifier:
-    """Multinomial naive Bayes: log prior and log likelihood ratios against the first domain."""
-
-    def __init__(self, domains: list[str], prior: list[float], ratios: list[list[float]], buckets: int) -> None:
-        self.domains, self.prior, self.ratios, self.buckets = domains, prior, ratios, buckets
+    """Domains, those of them that the labels know, and the model of these."""
 
-    def posteriors(self, placed: Column) -> Column:
-        """array<double> over the domains of a text given as its words' places."""
-        if len(self.domains) == 1:
-            return F.array(F.lit(1.0))
+    def __init__(self, domains: list[str], known: list[str], model: LogisticRegressionModel | None, buckets: int) -> None:
+        self.domains, self.known, self.model, self.buckets = domains, known, model, buckets
 
-        def evidence(ratio: list[float]) -> Column:
-            table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<double>")  # one literal, folded by the optimizer
-            return F.aggregate(placed, F.lit(0.0), lambda s, b: s + F.get(table, b))
-
-        scores = [F.lit(self.prior[0]), *[evidence(r) + F.lit(p) for p, r in zip(self.prior[1:], self.ratios, strict=True)]]
-        top = lambda s: F.array_max(s)
-        share = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-        return let(F.array(*scores), lambda s: let(top(s), lambda m: let(F.transform(s, lambda x: F.exp(x - m)), share)))
+    def posteriors(self, docs: DataFrame, text: Column) -> DataFrame:
+        """``docs`` with ``p``, array<double> over the domains."""
+        if self.model is None:
+            return docs.withColumn("p", F.array(*[F.lit(1.0 / len(self.domains)) for _ in self.domains]))
+        found = self.model.transform(features(docs, text, self.buckets)).withColumn("_p", vector_to_array("probability"))
+        p = F.array(*[F.get("_p", F.lit(self.known.index(d))) if d in self.known else F.lit(0.0) for d in self.domains])
+        return found.withColumn("p", p).drop("features", "rawPrediction", "probability", "prediction", "_p")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> Classifier:
-    """``docs`` (doc_id, text), ``labels`` (doc_id, domain). A word counts once for each training text, so that one text that
-    repeats it tells no more than another."""
+    """``docs`` (doc_id, text), ``labels`` (doc_id, domain)."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     labelled = known.count()
     if labelled > train_rows:  # a threshold of the hash, so that no task ranks them all; four deviations under the bound
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((train_rows - 4 * math.sqrt(train_rows)) / labelled * (1 << 40)))
     chosen = materialize(known, "chosen")
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("domain", features(F.col("text")).alias("w"))  # about train_rows labels
-    counts = sample.select("domain", F.explode(F.array_distinct(F.transform("w", lambda w: _place(w, buckets)))).alias("b")).groupBy("domain", "b").count().collect()
-    size = {r[0]: r[1] for r in chosen.groupBy("domain").count().collect()}
-    discard(chosen)
-    if len(size) < 2:
-        return Classifier(domains, [0.0] * len(domains), [[0.0] * buckets for _ in domains[1:]], buckets)
-    table = {d: [0.5] * buckets for d in domains}
-    for domain, b, n in counts:
-        table[domain][b] += n
-    log = {d: [math.log(x / sum(t)) for x in t] for d, t in table.items()}
-    every = sum(size.values()) + len(domains)
-    prior = [math.log((size.get(d, 0) + 1) / every) for d in domains]
-    # Only telling places count: common enough, and e times likelier in one of the two domains.
-    def telling(d: str, b: int) -> bool:
-        return abs(log[d][b] - log[domains[0]][b]) >= 1 and table[d][b] + table[domains[0]][b] >= 10
-
-    ratios = [[round(log[d][b] - log[domains[0]][b], 4) if telling(d, b) else 0.0 for b in range(buckets)] for d in domains[1:]]
-    return Classifier(domains, [p - prior[0] for p in prior], ratios, buckets)
+    sample = docs.join(F.broadcast(chosen), "doc_id")  # about train_rows labels
+    sample = materialize(features(sample, F.col("text"), buckets).select("domain", "features"), "sample")
+    found = {r[0] for r in sample.select("domain").distinct().collect()}
+    there = [d for d in domains if d in found]
+    model = None
+    if len(there) > 1:
+        index = F.array_position(F.array(*[F.lit(d) for d in there]), F.col("domain")) - 1
+        model = LogisticRegression(labelCol="label", regParam=PENALTY, elasticNetParam=1.0, maxIter=PASSES, family="multinomial", standardization=False).fit(sample.select(index.cast("double").alias("label"), "features"))
+    discard(chosen, sample)
+    return Classifier(domains, there, model, buckets)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -127,7 +113,7 @@ def unmet(n: list[float], weights: list[float]) -> dict[int, tuple[float, float]
     return {d: (got[d], w / sum(weights)) for d, w in enumerate(weights) if got[d] < 0.999 * w / sum(weights)}
 
 
-def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False, tolerance: float = 1e-4, max_steps: int = 60) -> DataFrame:
+def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False, tolerance: float = 1e-4, max_steps: int = 80) -> DataFrame:
     """``members`` (tokens, p array<double>, ...) with a column ``rate``. The budget is the largest that no wanted domain
     must repeat tokens for, see :func:`targets`; with ``upsample`` it is all tokens."""
     k = len(weights)
@@ -140,29 +126,37 @@ def fit_rates(members: DataFrame, weights: list[float], upsample: bool = False,
     for d, (got, asked) in ({} if upsample else unmet(n, weights)).items():
         logging.getLogger(__name__).warning("domain %d of %d has too few tokens: %.4f of the mix instead of %.4f", d + 1, k, got, asked)
 
-    def stepped(rate: Column, steps: list[list[float]]) -> Column:
-        for g in steps:
-            move = sum((F.get("p", F.lit(d)) * F.lit(g[d]) for d in usable), F.lit(0.0))
-            rate = F.greatest(F.lit(0.0), rate - move)
-        return rate
+    def stepped(df: DataFrame, steps: list[tuple[list[float], float]]) -> DataFrame:
+        """The steps one after the other: down the gradient from ``look``, then as far again as ``ahead`` says."""
+        if not steps:
+            return df
+        each = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(ahead).alias("ahead")) for g, ahead in steps])
+
+        def step(now: Column, s: Column) -> Column:
+            move = sum((F.get("p", F.lit(d)) * F.get(s["g"], F.lit(d)) for d in usable), F.lit(0.0))
+            rate = F.greatest(F.lit(0.0), now["look"] - move)
+            return F.struct(rate.alias("rate"), (rate + s["ahead"] * (rate - now["rate"])).alias("look"))
+
+        return df.withColumn("_s", F.aggregate(each, F.struct("rate", "look"), step)).withColumns({"rate": F.col("_s.rate"), "look": F.col("_s.look")}).drop("_s")
 
-    base, written, steps = members.withColumn("rate", F.lit(1.0)), None, []
+    base, written, steps, pace = members.withColumns({"rate": F.lit(1.0), "look": F.lit(1.0)}), None, [], 1.0
     for left in range(max_steps - 1, -1, -1):
-        now = base.withColumn("rate", stepped(F.col("rate"), steps))
-        got = now.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(d))).alias(f"m{d}") for d in range(k)]).first()
-        miss = [(got[d] or 0.0) - target[d] for d in range(k)]
-        worst = max(abs(miss[d]) / max(target[d], 0.001 * sum(n)) for d in usable)
+        mass = lambda at, d: F.sum(F.col("tokens") * F.col(at) * F.get("p", F.lit(d)))
+        got = stepped(base, steps).agg(*[mass(at, d).alias(f"{at}{d}") for at in ("rate", "look") for d in range(k)]).first()
+        worst = max(abs((got[f"rate{d}"] or 0.0) - target[d]) / max(target[d], 0.001 * sum(n)) for d in usable)
         if worst < tolerance:
             break
         if not left:
             logging.getLogger(__name__).warning("the mix is off its targets by %.2g after %d steps", worst, max_steps)
-        steps.append([miss[d] / n[d] if d in usable else 0.0 for d in range(k)])
+        after = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append(([((got[f"look{d}"] or 0.0) - target[d]) / n[d] if d in usable else 0.0 for d in range(k)], (pace - 1) / after))
+        pace = after
         if len(steps) == REPLAY:
-            base, old = materialize(base.withColumn("rate", stepped(F.col("rate"), steps)), "rates"), written
+            base, old = materialize(stepped(base, steps), "rates"), written
             written, steps = base, []
             if old is not None:
                 discard(old)
-    return base.withColumn("rate", stepped(F.col("rate"), steps))
+    return stepped(base, steps).drop("look")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", upsample: bool = False, seed: int = 17) -> DataFrame:
@@ -174,8 +168,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     domains = list(weights)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_classifier(rows, labels, domains)
-    placed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("tokens"), F.transform(features(F.col("text")), lambda w: _place(w, model.buckets)).alias("w"))
-    members = materialize(placed.select("doc_id", "text_hash", "tokens", model.posteriors(F.col("w")).alias("p")), "members")
+    placed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("tokens"), "text")
+    members = materialize(model.posteriors(placed, F.col("text")).select("doc_id", "text_hash", "tokens", "p"), "members")
     rated = fit_rates(members, list(weights.values()), upsample)
     chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     best = F.get(F.array(*[F.lit(d) for d in domains]), F.array_position("p", F.array_max("p")).cast("int") - 1)
