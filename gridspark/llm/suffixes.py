@@ -206,11 +206,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark, id_ = docs.sparkSession, ["doc_id", "rid"]
     index = materialize(docs.mapInArrow(_index(min_words), "doc_id long, rid long, fp binary, n_words long, anchors array<struct<h: long, pos: int>>"), "index")
     heads = index.select(*id_, "fp", "n_words")
-    rep = heads.groupBy("fp").agg(F.min(F.struct(*id_)).alias("rep"))
-    heads = materialize(heads.join(rep, "fp").groupBy(*id_).agg(F.min("rep").alias("rep"), F.max("n_words").alias("n_words")), "heads")
+    rep = heads.groupBy("fp").agg(F.min(F.struct(*id_)).alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", "rep")
+    rep = materialize(rep, "reps")  # as a table of its own the sorted join can be split at a text that many rows hold
+    first = F.coalesce("rep", F.struct(*id_))
+    heads = materialize(heads.join(rep, "fp", "left").groupBy(*id_).agg(F.min(first).alias("rep"), F.max("n_words").alias("n_words")), "heads")
     own = F.struct(*id_) == F.col("rep")
     anchors = materialize(index.join(heads.filter(own).select(*id_), id_, "left_semi").select(*id_, F.inline("anchors")).dropDuplicates([*id_, "pos"]), "anchors")
-    discard(index)
+    discard(index, rep)
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     places = semi_join(anchors, often, "h").groupBy(*id_).agg(F.collect_set("pos").alias("places"))
     owned = docs.dropDuplicates(id_).join(places, id_).mapInArrow(_windows(min_words), SUFFIX)
