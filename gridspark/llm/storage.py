@@ -61,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Most keys that are sent to every executor; with more, both sides are shuffled.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 100_000
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
