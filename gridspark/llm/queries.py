@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, licenses, lines, merkle, minhash, mixing, packing, shards, suffixes
+from . import flac, infill, langid, licenses, lines, merkle, minhash, mixing, packing, shards, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(_documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_merkle_fingerprints": op2_merkle_fingerprints,
@@ -68,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_flac_media": op8_flac_media,
     "op9_crf_language": op9_crf_language,
     "op10_license_scan": op10_license_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
