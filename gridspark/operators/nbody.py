@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.order import ranked, sortable
+from gridspark.operators.order import ranked
 from gridspark.plans.iterate import cut
 
 EPS2 = 1e-4
@@ -42,7 +42,7 @@ def segments(particles: DataFrame, parts: int) -> DataFrame:
     base, more = n // parts, n % parts
     r = F.col("rank") - 1
     seg = F.when(r < more * (base + 1), F.floor(r / (base + 1))).otherwise(more + F.floor((r - more * (base + 1)) / max(base, 1)))
-    return ranked(coded, "code", ["id"]).withColumn("seg", (seg + 1).cast("int")).drop("rank")
+    return ranked(coded, ["code", "id"]).withColumn("seg", (seg + 1).cast("int")).drop("rank")
 
 
 def source_blocks(particles: DataFrame, size: int = 512) -> DataFrame:
@@ -127,8 +127,8 @@ def tree(particles: DataFrame, leaf: int = LEAF, by: str | None = None) -> tuple
         if split.isEmpty():
             return done, placed
         value = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
-        open_ = cut(now.join(split.select(*key, "n", "axis"), key).withColumn("value", value).withColumn("key", sortable(F.col("value"))))
-        order = ranked(open_, "key", ["value", "prev"], by=key)
+        open_ = cut(now.join(split.select(*key, "n", "axis"), key).withColumn("value", value))
+        order = ranked(open_, ["value", "prev"], by=key)
         low = F.col("rank") <= F.floor((F.col("n") + 1) / 2)
         now = cut(order.select("id", *AXES, "mass", *own, F.when(low, F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"), F.col("rank").alias("prev")))
         half = F.col("size") / 2

@@ -1,6 +1,9 @@
-"""Order over a whole table without one task that holds it: quantile buckets, then windows inside them.
+"""Order over a whole table without one task that holds it.
 
-Quantiles cut the key's range into at most CUTS parts, and equal steps cut each of these into at most STEPS
+:func:`ranked` orders by any keys: range partitions of whole keys, each sorted, and one row a partition that says how
+many rows come before it.
+
+:func:`bounds` and :func:`bucket` deal a table by one integer column, for operators that need to know the borders. Quantiles cut the key's range into at most CUTS parts, and equal steps cut each of these into at most STEPS
 buckets where the table is large, so a million buckets share its rows, and what is known of buckets stays small
 at any input size. Rows of one key are in one bucket.
 """
@@ -8,10 +11,13 @@ at any input size. Rows of one key are in one bucket.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.plans.iterate import cut
+
 #: Most quantiles of a table, and most buckets between two of them.
 CUTS, STEPS = 16_384, 64
 FANOUT = 128
@@ -58,21 +64,38 @@ def bucket(key: str, cuts: Cuts) -> Column:
     return part * cuts.steps + F.coalesce(F.greatest(F.lit(0), F.least(step, F.lit(cuts.steps - 1))), F.lit(0))
 
 
-def ranked(df: DataFrame, key: str, ties: list[str], rows_each: int = 2000, by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``rank``: the row number from 1 in the order of (key, ties), within each group of columns ``by``.
+def numbered(df: DataFrame, name: str = "rank") -> DataFrame:
+    """``df``, whose partitions follow each other and are in order inside, with the row number from 1 over all of them.
 
-    ``key`` is an integer column, or a double whose order :func:`sortable` keeps. Buckets are sorted apart; what
-    comes before each bucket of a group is one row of a small table.
+    It is computed once, into a checkpoint. What comes before each partition is one row a partition.
     """
-    by = by or []
-    cuts = bounds(df, key, rows_each)
-    rows = df.withColumn("_b", bucket(key, cuts))
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.col(key).asc_nulls_first(), *ties))
-    count = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = count.withColumn("_o", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).select(*by, "_b", "_o")
-    return rows.withColumn("rank", inside).join(before, [*by, "_b"]).withColumn("rank", F.col("rank") + F.col("_o")).drop("_b", "_o")
+    at = cut(df.withColumn("_at", F.monotonically_increasing_id()))  # the partition's number above 33 bits of the row's
+    rows = at.withColumn("_part", F.shiftright("_at", 33))
+    size = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + within + 1).drop("_part", "_at", "_before")
+
 
+def in_order(df: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """``df`` in partitions that follow each other in the order of ``keys`` and are sorted inside.
 
-def sortable(x: Column) -> Column:
-    """A long whose order is that of the double ``x`` to a part in 2**40 of its range around zero."""
-    return F.floor(x * float(1 << 40)).cast("long")
+    Keys are columns of any types, leading texts too, by name (ascending, null first) or as ``F.col("x").desc()``. Spark
+    samples whole keys for the borders. Rows equal in all keys stay in the order in which they were read, and
+    as their places are part of the key, however many there are they are spread over partitions.
+    """
+    order = [F.col(k).asc_nulls_first() if isinstance(k, str) else k for k in keys]
+    read = df.withColumn("_read", F.monotonically_increasing_id())
+    return read.repartitionByRange(*order, F.col("_read")).sortWithinPartitions(*order, "_read").drop("_read")
+
+
+def ranked(df: DataFrame, keys: list[str | Column], by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``rank``: the row number from 1 in the order of ``keys`` (see :func:`in_order`), within each group of columns
+    ``by``. Groups are ranked as parts of one order over the whole table, so a large one takes many tasks."""
+    by = by or []
+    rows = numbered(in_order(df, [*by, *keys]))
+    if not by:
+        return rows
+    first = rows.groupBy(*by).agg(F.min("rank").alias("_first")).select(*[F.col(b).alias(f"_{b}") for b in by], "_first")
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    return rows.join(first, same).withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("_first", *[f"_{b}" for b in by])

@@ -179,7 +179,7 @@ def csv_summary(spark, sf):
     rows = _summaries(spark, sf)
     for device in ("F", "O"):
         sinks.write_csv(rows.filter(F.col("device") == device), at, {"mean_sec": "%.6f", "std_sec": "%.6f"})
-    return order.ranked(files.csv_checked(spark, at, SUMMARY), "size", ["variant", "device"]).withColumnRenamed("rank", "position").withColumn("position", F.col("position").cast("long"))
+    return order.ranked(files.csv_checked(spark, at, SUMMARY), ["size", "variant", "device"]).withColumnRenamed("rank", "position").withColumn("position", F.col("position").cast("long"))
 
 
 @query("csv_merged", f"SELECT variant, device, size, mean_sec, std_sec FROM ({_SUMMARY}) UNION ALL SELECT variant, device, size, mean_sec, std_sec FROM ({_SUMMARY}) WHERE variant = 'A'")
@@ -207,7 +207,7 @@ def markdown_table(spark, sf):
     lines = spark.read.text(at).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("k"))
     seq = F.when(F.col("line").startswith("| task | model"), 0).when(F.col("line").startswith("|---"), 1)
     heads, body = lines.filter(seq.isNotNull()).select(seq.alias("position"), "line"), lines.filter(seq.isNull())
-    ranked = order.ranked(body.withColumn("part", F.regexp_extract("f", r"part-(\d+)", 1).cast("long")), "part", ["k"])
+    ranked = order.ranked(body.withColumn("part", F.regexp_extract("f", r"part-(\d+)", 1).cast("long")), ["part", "k"])
     return heads.select(F.col("position").cast("long").alias("position"), "line").unionByName(ranked.select((F.col("rank") + 1).cast("long").alias("position"), "line"))
 
 
@@ -268,32 +268,55 @@ def directory_listing(spark, sf):
     """The tables whose names begin with d or e, in order: files, or folders of parts."""
     found = files.listing(spark, sf, ".parquet").select(F.regexp_extract("path", r"/([a-z]+\.parquet)(/|$)", 1).alias("name")).distinct()
     rows = found.filter(F.col("name").rlike("^[de]"))
-    return order.ranked(rows.withColumn("k", F.ascii("name").cast("long")), "k", ["name"]).select(F.col("rank").cast("int").alias("position"), "name")
+    return order.ranked(rows, ["name"]).select(F.col("rank").cast("int").alias("position"), "name")
 
 
 # --- ordered results, filters, frames ----------------------------------------------------------------------
 
 
-def positioned(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
-    """``df`` with ``position`` from 1, by a whole-number key and further columns."""
-    return order.ranked(df.withColumn("_key", key.cast("long")), "_key", ties).withColumn("position", F.col("rank").cast("long")).drop("rank", "_key")
+def positioned(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """``df`` with ``position`` from 1 in the order of ``keys``."""
+    return order.ranked(df, list(keys)).withColumnRenamed("rank", "position")
 
 
 @query("sort_composite", "SELECT s_suppkey, s_name, s_nationkey, row_number() OVER (ORDER BY s_nationkey, s_name, s_suppkey) AS position FROM supplier")
 def sort_composite(spark, sf):
-    return positioned(fx.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("s_nationkey"), ["s_name", "s_suppkey"])
+    return positioned(fx.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_nationkey", "s_name", "s_suppkey")
 
 
 @query("sort_text_numeric", f"SELECT variant, threads, row_number() OVER (ORDER BY variant, threads) AS position FROM (SELECT DISTINCT variant, threads FROM ({fx.SQL['timings']}))")
 def sort_text_numeric(spark, sf):
     """Variants by name, then threads as numbers: 2 before 16."""
-    rows = fx.timings(spark, sf).select("variant", "threads").distinct()
-    return positioned(rows, F.ascii("variant"), ["variant", "threads"])
+    return positioned(fx.timings(spark, sf).select("variant", "threads").distinct(), "variant", "threads")
+
+
+@query("sort_by_name", "SELECT s_name, s_suppkey, row_number() OVER (ORDER BY s_name DESC, s_suppkey) AS position FROM supplier")
+def sort_by_name(spark, sf):
+    """Names that all begin alike, the last first."""
+    return positioned(fx.table(spark, sf, "supplier").select("s_name", "s_suppkey"), F.col("s_name").desc(), "s_suppkey")
+
+
+@query("sort_by_url", "SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) AS position FROM pages")
+def sort_by_url(spark, sf):
+    return positioned(fx.table(spark, sf, "pages").select("url", "page_id"), "url", "page_id")
+
+
+@query("sort_mixed", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS position FROM orders")
+def sort_mixed(spark, sf):
+    """A text that a fifth of all orders share, then prices from the highest."""
+    rows = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return positioned(rows, "o_orderpriority", F.col("o_totalprice").desc(), "o_orderkey").select("o_orderkey", "position")
+
+
+@query("rank_in_groups", "SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer")
+def rank_in_groups(spark, sf):
+    rows = fx.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return order.ranked(rows, [F.col("c_acctbal").desc(), "c_custkey"], by=["c_mktsegment"]).select("c_custkey", "c_mktsegment", F.col("rank").alias("position"))
 
 
 @query("distinct_axis", "SELECT p_size, row_number() OVER (ORDER BY p_size) AS position FROM (SELECT DISTINCT p_size FROM part)")
 def distinct_axis(spark, sf):
-    return positioned(fx.table(spark, sf, "part").select("p_size").distinct(), F.col("p_size"), [])
+    return positioned(fx.table(spark, sf, "part").select("p_size").distinct(), "p_size")
 
 
 @query("task_choice", f"SELECT sample_id, model, passed FROM ({_SAMPLES}) WHERE task = 'purchase'")
