@@ -129,6 +129,54 @@ SELECT doc_id, license, round(max(c), 6) AS containment, count(*) AS n_windows,
 FROM best WHERE c >= 0.75 GROUP BY doc_id, license
 """
 
+OP11 = """
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::BIGINT, [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END)) AS tab
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || r AS k, r, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY ALL
+), sums AS (
+  SELECT r, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(k)), lambda i: ('0x' || hex(k)[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295::BIGINT) AS h FROM runs, tab
+), spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM sums
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM pairs GROUP BY a
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON a = word
+), way AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL SELECT way.word, f.form, steps + 1 FROM way JOIN forms f ON f.word = way.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, arg_max(root, steps) AS root, n, n_near, form_n FROM forms JOIN way USING (word) GROUP BY ALL
+"""
+
+_URL = "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)'"
+OP12 = f"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS t, translate(regexp_extract(url, {_URL}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, {_URL}, 2) AS rest FROM pages
+), k AS (
+  SELECT page_id, strlen(t) AS payload_bytes, sha256(t) AS payload_digest,
+    CASE WHEN regexp_matches(url, {_URL}) THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END ELSE coalesce(url, '') END AS url_key,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0) % 1000000000), '%Y%m%d%H%M%S') AS time FROM p
+), f AS (SELECT payload_digest, min(page_id) AS first FROM k WHERE payload_bytes >= 100 GROUP BY 1
+), r AS (SELECT k.*, CASE WHEN page_id IS NULL OR page_id > first THEN first END AS refers_to FROM k LEFT JOIN f USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url_key, time,
+  row_number() OVER (ORDER BY url_key, time, page_id NULLS FIRST) AS position, row_number() OVER (PARTITION BY url_key ORDER BY time, page_id NULLS FIRST) AS capture_no
+FROM r
+"""
+
 _UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 OP13 = f"""
 WITH d AS (
@@ -154,5 +202,7 @@ ORACLES: dict[str, str] = {
     "op4_minimax_shards": OP4,
     "op7_line_dedup": OP7,
     "op10_license_scan": OP10,
+    "op11_spelling_groups": OP11,
+    "op12_warc_history": OP12,
     "op13_fill_in_middle": OP13,
 }

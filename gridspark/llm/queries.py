@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, infill, langid, licenses, lines, merkle, minhash, mixing, packing, shards, suffixes
+from . import flac, infill, langid, licenses, lines, merkle, minhash, mixing, packing, shards, spelling, suffixes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(_documents(spark, sf_dir), min_chars=6)  # shorter ones give no word of six, misspelt or not
+    words = spelling.word_counts(runs.select(spelling.misspelt(F.col("doc_id"), F.col("run")).alias("word")))
+    return spelling.group_variants(words).select("word", "form", "root", "n", F.col("n_near").cast("long").alias("n_near"), "form_n")
+
+
+def op12_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = warc.history(warc.read_archives(warc.write_archives(warc.captures(pages))))
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url_key", "time", "position", "capture_no")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.fill_in_middle(_documents(spark, sf_dir))
     return out.select(
@@ -76,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_flac_media": op8_flac_media,
     "op9_crf_language": op9_crf_language,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_warc_history": op12_warc_history,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
