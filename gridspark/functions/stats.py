@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.quantiles import quantiles
+
 
 def summary(rows: DataFrame, by: list[str], value: str, population: bool = True) -> DataFrame:
-    """mean, std, median, p95 (interpolated) and max of each group."""
+    """n, mean, std, median, p95 (interpolated) and max of each group, whatever its size."""
     std = F.stddev_pop(value) if population else F.stddev_samp(value)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), std.alias("std"), F.median(value).alias("median"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("max"))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), std.alias("std"), F.max(value).alias("max"))
+    return with_quantiles(sums, rows, by, value, {"median": 0.5, "p95": 0.95}).select(*by, "n", "mean", "std", "median", "p95", "max")
+
+
+def with_quantiles(table: DataFrame, rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``table``, which has a row for each group ``by`` of ``rows``, with the exact quantiles of ``value``."""
+    found = quantiles(rows, by, value, wanted)
+    if not by:
+        return table.crossJoin(F.broadcast(found))  # one row each
+    found = found.withColumnsRenamed({b: f"_{b}" for b in by})
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    return table.join(found, same).drop(*[f"_{b}" for b in by])
 
 
 def speedup(timings: DataFrame) -> DataFrame:
@@ -39,16 +54,20 @@ def islands(log: DataFrame, chunk: int = 100_000) -> DataFrame:
     return rows.withColumn("_r", F.sum("_t").over(inside)).join(counts, "_c").select(*log.columns, (F.col("_r") + F.col("_o")).alias("run"))
 
 
-def drop_first(runs: DataFrame) -> DataFrame:
-    """Without the first line of each run of more than one."""
-    heads = runs.groupBy("run").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return runs.join(heads, "run").filter("seq > _first or _n = 1").drop("_first", "_n")
+def drop_first(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Without the first line of each run of more than one; runs are numbered within the columns ``by``."""
+    key = [*(by or []), "run"]
+    heads = runs.groupBy(*key).agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return runs.join(heads, key).filter("seq > _first or _n = 1").drop("_first", "_n")
 
 
-def run_stats(runs: DataFrame, optional: dict[str, str] | None = None) -> DataFrame:
+def run_stats(runs: DataFrame, optional: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Lines, mean and median of each run; ``optional`` maps columns to the names of their means, which leave out NaN."""
+    key = [*(by or []), "run", "nthreads"]
     more = [mean_skipping_nan(c).alias(name) for c, name in (optional or {}).items()]
-    return runs.groupBy("run", "nthreads").agg(F.count(F.lit(1)).alias("n"), F.avg("total_s").alias("mean_total"), F.median("total_s").alias("median_total"), *more)
+    sums = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("total_s").alias("mean_total"), *more)
+    names = [*key, "n", "mean_total", "median_total", *(optional or {}).values()]
+    return with_quantiles(sums, runs, key, "total_s", {"median_total": 0.5}).select(names)
 
 
 def span_totals(edges: DataFrame, key: list[str], by: str) -> DataFrame:

@@ -9,7 +9,7 @@ from gridspark.functions import passk as pk
 from gridspark.functions import stats as ss
 from gridspark.operators import order
 from gridspark.operators import stencil as st
-from gridspark.sources import files, generators, sinks
+from gridspark.sources import delimited, files, generators, sinks
 from gridspark.sources import fixtures as fx
 from gridspark.sources.scratch import scratch
 from gridspark.streaming import logs
@@ -178,19 +178,42 @@ def csv_summary(spark, sf):
     at = scratch(spark, "summary")
     rows = _summaries(spark, sf)
     for device in ("F", "O"):
-        sinks.write_csv(rows.filter(F.col("device") == device), at, {"mean_sec": "%.6f", "std_sec": "%.6f"})
-    return order.ranked(files.csv_checked(spark, at, SUMMARY), ["size", "variant", "device"]).withColumnRenamed("rank", "position").withColumn("position", F.col("position").cast("long"))
+        delimited.write_csv(rows.filter(F.col("device") == device), at, {"mean_sec": "%.6f", "std_sec": "%.6f"})
+    return order.ranked(delimited.read_csv(spark, at, SUMMARY), ["size", "variant", "device"]).withColumnRenamed("rank", "position").withColumn("position", F.col("position").cast("long"))
 
 
 @query("csv_merged", f"SELECT variant, device, size, mean_sec, std_sec FROM ({_SUMMARY}) UNION ALL SELECT variant, device, size, mean_sec, std_sec FROM ({_SUMMARY}) WHERE variant = 'A'")
 def csv_merged(spark, sf):
     """The bag union of three folders of CSV, one of them missing."""
     rows, paths = _summaries(spark, sf), [scratch(spark, "worker") for _ in range(3)]
-    sinks.write_csv(rows, paths[0], {"mean_sec": "%.6f", "std_sec": "%.6f"})
-    sinks.write_csv(rows.filter("variant = 'A'"), paths[2], {"mean_sec": "%.6f", "std_sec": "%.6f"})
+    delimited.write_csv(rows, paths[0], {"mean_sec": "%.6f", "std_sec": "%.6f"})
+    delimited.write_csv(rows.filter("variant = 'A'"), paths[2], {"mean_sec": "%.6f", "std_sec": "%.6f"})
     out = scratch(spark, "merged")
-    sinks.write_csv(sinks.merged_csv(spark, paths, SUMMARY), out)
-    return files.csv_checked(spark, out, SUMMARY)
+    delimited.write_csv(delimited.merged_csv(spark, paths, SUMMARY), out)
+    return delimited.read_csv(spark, out, SUMMARY)
+
+
+@query("csv_quoted", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_quoted(spark, sf):
+    """Whole documents, with their commas, quotes and line breaks, written as CSV and read again."""
+    at = scratch(spark, "documents")
+    delimited.write_csv(fx.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), at)
+    return delimited.read_csv(spark, at, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+_TURNS = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || role || chr(10) WHEN 2 THEN 'missing' ELSE chr(34) || role || ',' END AS role, CASE WHEN turn % 3 = 0 THEN NULL ELSE text END AS text FROM conversations"
+
+
+@query("csv_odd_texts", f"SELECT role, count(*) AS n, count(text) AS n_texts, sum(length(text))::BIGINT AS chars, min(text) AS least FROM ({_TURNS}) GROUP BY role")
+def csv_odd_texts(spark, sf):
+    """Empty texts, outer blanks, the word that stands for NULL as a text, lone quotes, and NULL, from two appended parts."""
+    at = scratch(spark, "turns")
+    role = F.when(F.col("turn") % 4 == 0, "").when(F.col("turn") % 4 == 1, F.concat(F.lit(" "), "role", F.lit("\n"))).when(F.col("turn") % 4 == 2, "missing").otherwise(F.concat(F.lit('"'), "role", F.lit(",")))
+    rows = fx.table(spark, sf, "conversations").select("conv_id", "turn", role.alias("role"), F.when(F.col("turn") % 3 != 0, F.col("text")).alias("text"))
+    for part in (0, 1):
+        delimited.write_csv(rows.filter(F.col("turn") % 2 == part), at)
+    got = delimited.read_csv(spark, at, "conv_id long, turn long, role string, text string")
+    return got.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("n_texts"), F.sum(F.length("text")).alias("chars"), F.min("text").alias("least"))
 
 
 _MD = "SELECT task, model, count(*) AS n, avg(elapsed_sec) FILTER (passed AND task <> 'click') AS mean FROM (" + _SAMPLES + ") GROUP BY 1, 2"
@@ -254,6 +277,36 @@ def log_tail(spark, sf):
     return rounded(got, "mean_total_s", "max_total_s", "mean_dp_s", "mean_dp_frac")
 
 
+_LOGS = f"SELECT 'w' || (seq % 3) AS log, seq, nthreads, total_s, dp_s FROM ({_LINES})"
+_LOG_RUNS = f"SELECT *, sum(t) OVER (PARTITION BY log ORDER BY seq)::BIGINT AS run FROM (SELECT *, coalesce((lag(nthreads) OVER (PARTITION BY log ORDER BY seq) <> nthreads)::INT, 1) AS t FROM ({_LOGS}))"
+
+
+def _grown_runs(spark, sf) -> DataFrame:
+    """The lines of three logs with their runs; the logs grow three times, at places that cut runs."""
+    at, out, state = (scratch(spark, name) for name in ("log", "runs", "state"))
+    data = lambda: F.from_json(F.get_json_object("value", "$.data"), "seq long, nthreads long, total_s double, dp_s double, dp_frac double")
+    lines = _log_lines(spark, sf).withColumn("data", data()).withColumn("log", F.concat(F.lit("w"), (F.col("seq") % 3).cast("string")))
+    lines = lines.select("seq", F.to_json(F.struct(F.get_json_object("value", "$.message").alias("message"), F.struct("log", "data.*").alias("data"))).alias("value"))
+    most, got = fx.table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0, None
+    cuts = [-1, most // 5, most // 2 + 1, most]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        lines.filter(F.col("seq").between(low + 1, high)).select("value").write.mode("append").text(at)
+        got = logs.update_runs(spark, at, out, state, "strip_timings")
+    return got
+
+
+@query("log_runs_grown", f"SELECT log, seq, nthreads, round(total_s, 6) AS total_s, run FROM ({_LOG_RUNS})")
+def log_runs_grown(spark, sf):
+    return _grown_runs(spark, sf).select("log", "seq", "nthreads", F.round("total_s", 6).alias("total_s"), "run")
+
+
+@query("log_run_table", f"""SELECT log, run, nthreads, count(*) AS n, round(avg(total_s), 6) AS mean_total, round(median(total_s), 6) AS median_total, round(avg(dp_s), 6) AS mean_dp FROM (
+  SELECT * FROM ({_LOG_RUNS}) QUALIFY row_number() OVER (PARTITION BY log, run ORDER BY seq) > 1 OR count(*) OVER (PARTITION BY log, run) = 1) GROUP BY ALL""")
+def log_run_table(spark, sf):
+    got = logs.run_table(_grown_runs(spark, sf))
+    return got.select("log", "run", "nthreads", "n", F.round("mean_total", 6).alias("mean_total"), F.round("median_total", 6).alias("median_total"), F.round(F.nanvl("mean_dp", F.lit(None)), 6).alias("mean_dp"))
+
+
 @query("constant_extraction", "SELECT 'task_' || (item_id % 50) || '/' || item_id AS name, trim(text, chr(10) || chr(9) || ' ') AS code FROM benchmark")
 def constant_extraction(spark, sf):
     """Source texts that hold their solution as a constant between triple quotes."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridspark.functions import stats as ss
 from gridspark.operators import linalg as la
 from gridspark.operators import nbody as nb
 from gridspark.plans.iterate import cut
@@ -242,5 +243,5 @@ def kinetic_momentum(spark, sf):
 def rel_error_summary(spark, sf):
     """Error of the tree walk against direct sums: mean, median, 95th percentile, most."""
     p = cut(fx.particles(spark, sf))
-    e = nb.relative_errors(nb.tree_accelerations(p, 0.5), nb.accelerations(p))
-    return e.agg(F.avg("error").alias("mean"), F.median("error").alias("median"), F.percentile("error", 0.95).alias("p95"), F.max("error").alias("max"))
+    e = cut(nb.relative_errors(nb.tree_accelerations(p, 0.5), nb.accelerations(p)))
+    return ss.summary(e, [], "error").select("mean", "median", "p95", "max")

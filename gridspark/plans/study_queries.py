@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import passk as pk
 from gridspark.functions import stats as ss
 from gridspark.functions import text as tx
+from gridspark.functions.quantiles import quantiles
 from gridspark.sources import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -180,6 +181,21 @@ def timing_stats(spark, sf):
     return rounded(both, "mean", "std", "sample_std", "p95")
 
 
+_PRICES = {"low": 0.01, "median": 0.5, "p95": 0.95, "p999": 0.999}
+_PRICES_SQL = ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {k}" for k, q in _PRICES.items())
+
+
+@query("price_quantiles", f"SELECT {_PRICES_SQL} FROM lineitem")
+def price_quantiles(spark, sf):
+    """Of all lines as one group."""
+    return rounded(quantiles(fx.table(spark, sf, "lineitem"), [], "l_extendedprice", _PRICES), *_PRICES)
+
+
+@query("price_quantiles_by_flag", f"SELECT l_returnflag, l_shipmode, {_PRICES_SQL} FROM lineitem GROUP BY ALL")
+def price_quantiles_by_flag(spark, sf):
+    return rounded(quantiles(fx.table(spark, sf, "lineitem"), ["l_returnflag", "l_shipmode"], "l_extendedprice", _PRICES), *_PRICES)
+
+
 @query("speedup_efficiency", f"""WITH m AS (SELECT variant, threads, avg(time_sec) AS s FROM ({TIMINGS}) GROUP BY ALL)
 SELECT m.variant, m.threads, round(m.s, 6) AS mean_sec, round(b.s / m.s, 6) AS speedup, round(b.s / m.s / m.threads, 6) AS efficiency FROM m JOIN m b ON b.variant = m.variant AND b.threads = 1""")
 def speedup_efficiency(spark, sf):
@@ -208,7 +224,7 @@ def run_stats(spark, sf):
 @query("monotonic", f"""SELECT bool_and(m2 <= m * 1.05) AS monotonic FROM (
   SELECT m, lead(m) OVER (ORDER BY nthreads) AS m2 FROM (SELECT nthreads, median(total_s) AS m FROM ({LOG}) GROUP BY nthreads)) WHERE m2 IS NOT NULL""")
 def monotonic(spark, sf):
-    return ss.monotonic(fx.log(spark, sf).groupBy("nthreads").agg(F.median("total_s").alias("median")), 0.05)
+    return ss.monotonic(quantiles(fx.log(spark, sf), ["nthreads"], "total_s", {"median": 0.5}), 0.05)
 
 
 @query("mean_skipping_nan", f"SELECT task, round(avg(elapsed_sec) FILTER (sample_id % 5 <> 0), 6) AS mean FROM ({SAMPLES}) GROUP BY task")
@@ -231,7 +247,9 @@ def top40_funcs(spark, sf):
 
 @query("throughput", f"SELECT variant, round(2 * 512.0 ^ 3 / median(time_sec) / 1e12, 9) AS tflops, round(1048576 / (avg(time_sec) * 1e6), 6) AS mcells, round(CASE WHEN sum(time_sec) > 0 THEN max(time_sec) / sum(time_sec) ELSE 0 END, 9) AS fraction FROM ({TIMINGS}) GROUP BY variant")
 def throughput(spark, sf):
-    t = fx.timings(spark, sf).groupBy("variant").agg(F.median("time_sec").alias("m"), F.avg("time_sec").alias("a"), F.sum("time_sec").alias("s"), F.max("time_sec").alias("x"))
+    rows = fx.timings(spark, sf)
+    sums = rows.groupBy("variant").agg(F.avg("time_sec").alias("a"), F.sum("time_sec").alias("s"), F.max("time_sec").alias("x"))
+    t = ss.with_quantiles(sums, rows, ["variant"], "time_sec", {"m": 0.5})
     fraction = F.when(F.col("s") > 0, F.col("x") / F.col("s")).otherwise(0.0)
     return t.select("variant", F.round(2 * 512.0**3 / F.col("m") / 1e12, 9).alias("tflops"), F.round(1048576 / (F.col("a") * 1e6), 6).alias("mcells"), F.round(fraction, 9).alias("fraction"))
 

@@ -1,4 +1,4 @@
-"""Readers of study files: JSON lines, JSON documents, CSV with a checked number of fields, logs, whole texts, listings.
+"""Readers of study files: JSON lines, JSON documents, logs, whole texts, listings; those of CSV are in delimited.py.
 
 Paths go to Spark's readers alone, so they may lie in any store that Spark reads.
 """
@@ -58,19 +58,6 @@ def json_document(spark: SparkSession, path: str, fields: str, key: str = "id")
     return listed.unionByName(one).unionByName(mapped).filter(F.coalesce(F.col(key), F.lit("")) != "")
 
 
-def csv_checked(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """CSV with a header in each file; blank lines are skipped, and a line with another number of fields, or one that is no
-    value of its type, is an error."""
-    fields = T._parse_datatype_string(schema).fields
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("line"))
-    lines = lines.filter(F.col("line") != ",".join(f.name for f in fields))
-    cells = F.split("line", ",", -1)
-    wrong = F.raise_error(F.concat(F.lit(f"not {len(fields)} fields: "), F.substring("line", 1, 200)))
-    checked = lines.select(F.when(F.size(cells) == len(fields), cells).otherwise(wrong.cast("array<string>")).alias("c"))
-    value = lambda k, f: F.when(F.get("c", F.lit(k)) != "missing", F.get("c", F.lit(k))).cast(f.dataType)
-    return checked.select([value(k, f).alias(f.name) for k, f in enumerate(fields)])
-
-
 def timing_lines(lines: DataFrame, marker: str = "timings") -> DataFrame:
     """(nthreads, total_s, dp_s, dp_frac and other columns of ``lines``) of the lines (value) that name ``marker`` and have
     the first two; dp_s and dp_frac are NaN where they are missing."""

@@ -1,36 +1,14 @@
-"""Writers of study files: CSV, JSON lines, Markdown tables. Each writes a folder of part files, in parallel."""
+"""Writers of study files: JSON lines and Markdown tables; that of CSV is in delimited.py. Each writes a folder of part files, in parallel."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions.text import markdown_cell
-from gridspark.sources.files import csv_checked
-
-
-def formatted(df: DataFrame, formats: dict[str, str]) -> DataFrame:
-    """Columns as text by printf formats; others as they are."""
-    return df.select([F.format_string(formats[c], F.col(c)).alias(c) if c in formats else F.col(c) for c in df.columns])
-
-
-def write_csv(df: DataFrame, path: str, formats: dict[str, str] | None = None, append: bool = True) -> None:
-    """Rows as CSV, each part with the header; more rows are appended as further parts. NULL is written as ``missing``."""
-    formatted(df, formats or {}).write.mode("append" if append else "overwrite").csv(path, header=True, nullValue="missing")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def merged_csv(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """The rows of all those CSV files that exist, as a bag: equal rows stay, headers go."""
-    there = [p for p in paths if exists(spark, p)]
-    return reduce(DataFrame.unionAll, [csv_checked(spark, p, schema) for p in there]) if there else spark.createDataFrame([], schema)
 
 
 def write_json_lines(df: DataFrame, path: str, append: bool = True) -> None:

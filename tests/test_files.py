@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import passk, stats, text
 from gridspark.operators import stencil
-from gridspark.sources import files, generators, sinks
+from gridspark.sources import delimited, files, generators, sinks
 from gridspark.streaming import logs
 
 
@@ -36,11 +36,44 @@ def test_json_documents(spark, tmp_path):
 def test_csv(spark, tmp_path):
     kind = "name string, size int, sec double"
     at = lines(tmp_path / "c", "name,size,sec\nb,2,0.5\n\na,1,missing\n", "name,size,sec\nc,3,1.5")
-    assert sorted(tuple(r) for r in files.csv_checked(spark, at, kind).collect()) == [("a", 1, None), ("b", 2, 0.5), ("c", 3, 1.5)]
+    assert sorted(tuple(r) for r in delimited.read_csv(spark, at, kind).collect()) == [("a", 1, None), ("b", 2, 0.5), ("c", 3, 1.5)]
     for bad in ("a,1", "a,1,2,3", "a,one,2"):
         with pytest.raises(Exception):
-            files.csv_checked(spark, lines(tmp_path / f"x{bad}", f"name,size,sec\n{bad}\n"), kind).collect()
-    assert sinks.merged_csv(spark, [at, f"{tmp_path}/absent", at], kind).count() == 6 and sinks.merged_csv(spark, [f"{tmp_path}/absent"], kind).count() == 0
+            delimited.read_csv(spark, lines(tmp_path / f"x{bad}", f"name,size,sec\n{bad}\n"), kind).collect()
+    assert delimited.merged_csv(spark, [at, f"{tmp_path}/absent", at], kind).count() == 6 and delimited.merged_csv(spark, [f"{tmp_path}/absent"], kind).count() == 0
+
+
+ODD = ["", "missing", " pad ", "a,b", 'say "hi"', '"', '""', "two\nlines", "\n\n", "cr\r\nlf\r", "name", "plain", None, 'x","y\n"', "漢字 ü", "\t", "MISSING", "'", "name,text,x"]
+
+
+@pytest.mark.parametrize("block", ["128m", "97", "31"])
+def test_csv_texts_come_back(spark, tmp_path, block):
+    rows = [(a, b, float(k)) for k, (a, b) in enumerate((a, b) for a in ODD for b in ODD)] + [("long\n" * 200, "end", None)]
+    at = str(tmp_path / "odd")
+    df = spark.createDataFrame(rows, "name string, text string, x double")
+    delimited.write_csv(df.repartition(2), at)
+    delimited.write_csv(df.limit(5), at)
+    delimited.write_csv(df.limit(0), at)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = delimited.read_csv(spark, at, "name string, text string, x double").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows + rows[:5]))
+
+
+def test_csv_from_elsewhere(spark, tmp_path):
+    kind = "name string, text string, n int"
+    at = lines(tmp_path / "w", 'name,text,n\r\n"a ""b""","x\r\ny",1\r\n\r\n c , d,missing\r\n"missing",,"3"\r\n', "name,text,n\n")
+    assert sorted(map(repr, map(tuple, delimited.read_csv(spark, at, kind).collect()))) == sorted(map(repr, [('a "b"', "x\r\ny", 1), (" c ", " d", None), ("missing", "", 3)]))
+    assert delimited.read_csv(spark, lines(tmp_path / "one", 'n\n1\n"2"\n'), "n int").count() == 2
+    for k, bad in enumerate(('"a,b,1', 'a"b,c,1', '"a"b,c,1', '"a",b', '"a","b",1,2', '"a","b","one"', 'a,"b\n",1\n"')):
+        with pytest.raises(Exception):
+            delimited.read_csv(spark, lines(tmp_path / f"q{k}", f"name,text,n\n{bad}\n"), kind).collect()
+    with pytest.raises(ValueError, match="no CSV form of v"):
+        delimited.write_csv(spark.createDataFrame([([1],)], "v array<int>"), str(tmp_path / "n"))
 
 
 def test_markdown(spark):
