@@ -39,21 +39,20 @@ def form_of(doc_id: Column, text: Column, rate: int = 50, spm: int = 80, seed: i
 
 
 def offsets(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, key, check, n, first, second): units of each text and the characters before its two cuts, for rows (doc_id, text, key, check)."""
+    """(key, check, n, first, second): units of each text and the characters before its two cuts, for rows (doc_id, text, key, check)."""
     # The ordinal 0 stands for the cut before the first unit.
     sizes = F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)), F.length))
-    texts = rows.select("doc_id", "key", "check", sizes.alias("sizes")).dropDuplicates(["key", "check"])
-    # The ids go with the units so that both sides of the join read one and the same shuffle.
-    units = texts.select("doc_id", "key", "check", F.posexplode("sizes").alias("unit", "chars"))
-    ends = units.select("doc_id", "key", "check", "unit", F.sum("chars").over(Window.partitionBy("key", "check").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-    n = F.size("sizes") - 1
-    cut = [(draw(F.col("doc_id"), i, seed) % (n + 1)) for i in (1, 2)]
-    requests = texts.select("key", "check", n.alias("n"), F.posexplode(F.array(F.least(*cut), F.greatest(*cut))).alias("nth", "cut"))
+    texts = rows.select("key", "check", sizes.alias("sizes")).dropDuplicates(["key", "check"])
+    units = texts.select("key", "check", F.posexplode("sizes").alias("unit", "chars"))
+    ends = units.select("key", "check", "unit", F.sum("chars").over(Window.partitionBy("key", "check").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    counts = rows.select("doc_id", "key", "check", F.regexp_count("text", F.lit(UNIT)).alias("n")).dropDuplicates(["key", "check"])
+    cut = [(draw(F.col("doc_id"), i, seed) % (F.col("n") + 1)) for i in (1, 2)]
+    requests = counts.select("key", "check", "n", F.posexplode(F.array(F.least(*cut), F.greatest(*cut))).alias("nth", "cut"))
     # Both sides are dealt by document. With the ordinal as a further key of the join Spark would deal every unit once
     # more; as a difference it is a condition on the pairs of one document, of which each unit has two.
-    met = ends.join(requests, (ends.key == requests.key) & (ends.check == requests.check) & (F.col("unit") - F.col("cut") == 0)).select(ends.doc_id, ends.key, ends.check, "n", "nth", "end")
+    met = ends.join(requests, (ends.key == requests.key) & (ends.check == requests.check) & (F.col("unit") - F.col("cut") == 0)).select(ends.key, ends.check, "n", "nth", "end")
     return met.groupBy("key", "check").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n").cast("long").alias("n"), F.max(F.when(F.col("nth") == 0, F.col("end"))).alias("first"), F.max(F.when(F.col("nth") == 1, F.col("end"))).alias("second")
+        F.max("n").cast("long").alias("n"), F.max(F.when(F.col("nth") == 0, F.col("end"))).alias("first"), F.max(F.when(F.col("nth") == 1, F.col("end"))).alias("second")
     )
 
 
@@ -83,7 +82,7 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     cut = rows.filter("form <> 'plain'").withColumn("key", F.xxhash64("doc_id", "text")).withColumn("check", F.hash("text", "doc_id"))
     # A table of its own: it is narrow, and its join with the texts can be split at rows that repeat.
-    found = materialize(offsets(cut, seed).drop("doc_id"), "offsets")
+    found = materialize(offsets(cut, seed), "offsets")
     first, second = F.col("first").cast("int"), F.col("second").cast("int")
     moved = cut.join(found, ["key", "check"]).select(
         "doc_id", "n", "form", F.col("first").alias("prefix_chars"), (F.col("second") - F.col("first")).alias("middle_chars"), arrange(F.col("text"), F.col("form"), first, second).alias("output")

@@ -1,22 +1,23 @@
 """License notices and texts in whole documents: MinHash bands over overlapping windows, then exact containment.
 
-Words are runs of a-z and 0-9 after lower-casing; shingles are five words. For a template of m words the
-windows have m + 2 s - 1 words, one every s = m // 4 (at least 1), so one of them holds any whole occurrence
-of up to m + s words: inserted words, such as comment marks, may break a quarter of the shingles.
-A window and a template are compared where one of BANDS one-row MinHash bands agrees: at a containment
-of 0.75 their Jaccard is at least 0.375, and all bands differ with chance 0.625**32 < 1e-6. The window is a
-match if it holds at least ``threshold`` of the template's shingles. Where the first m + s - 1 words of
-some window do alone, only these windows are counted and placed: so they are for unbroken notices.
-
-More than 1 - ``threshold`` of each template's shingles have one of :func:`telling` words, so what has none of
-these words holds no match, be it a text or a window; this exact test saves hashing most of the corpus. All is
-Spark SQL; templates are literals, at most 1000.
+Words are runs of a-z and 0-9 after lower-casing; shingles are five words. A text matches a template if it holds at least
+``threshold`` of the template's shingles, wherever they stand: words inserted into a notice, once or often, few
+or many, break only the shingles that they part.
+
+Windows only find what is compared. For a template of m words they have m + 2 s - 1 words, one every s = m // 4 (at least
+1). A text and a template are compared where any of the text's windows agrees with the template in any of BANDS one-row
+MinHash bands. A match that lies in one window has a Jaccard of at least 0.3 with it; one that is torn into k far parts
+has at least about 0.3 / k in k windows or more, whose bands are drawn apart. So all bands of all windows differ with
+chance under exp(-0.3 * BANDS), 5e-9, in how many parts ever a match may be. What is compared is compared exactly, over all of
+the text.
+
+At most a quarter of each template's shingles lack all of the :func:`telling` words, so windows without such a word
+are left out, and texts without any, exactly, hold no match. All is Spark SQL; templates are literals, at most 1000.
 
 Cases: null and blank texts match nothing; rows without id are left out; a template under five words is
 one shingle, matched where its words follow each other; one without words matches nothing; without templates
-the result is empty; several places of one notice in a text are one row with their number; rows that share
-an id count together, whether equal or not; a very long text is scanned whole; of equal containments the
-first window counts; an empty table gives an empty table; other input columns, whatever their names, are not
+the result is empty; several places of one notice in a text are one row; of rows that share an id, equal or not, the
+greatest containment and the first place count; a very long text is scanned whole; an empty table gives an empty table; other input columns, whatever their names, are not
 read.
 """
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .merkle import let
 
-WORDS, BANDS = 5, 32
+WORDS, BANDS = 5, 64
+#: Most of a template's shingles that have no telling word.
+UNTOLD = 0.25
 #: Notices by which works state their licenses, and whole license texts.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -58,6 +61,18 @@ TEMPLATES = {
         FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
         WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
         ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-3-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+        of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3.
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+        CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+        LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
         the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
@@ -112,12 +127,12 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k)))))
 
 
-FOUND = "license string, containment double, n_windows long, first_word long"
+FOUND = "license string, containment double, n_shingles long, first_word long"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
-    """(doc_id, license, containment, n_windows, first_word): every notice found, with its best containment, the
-    number of windows that hold it, and the first word of the first of these."""
+    """(doc_id, license, containment, n_shingles, first_word): every notice found, with the share and the number of its shingles that
+    the text holds, and the place of the first of these in the text, in words from 0."""
     templates = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if template_words(t)}
     if len(templates) > 1000:
         raise ValueError("templates are literals of the plan: at most 1000")
@@ -126,7 +141,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     if not templates:
         return docs.sparkSession.createDataFrame([], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
-    tell = telling(templates, threshold)
+    tell = telling(templates, min(threshold, UNTOLD))
     rows = rows.filter(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(tell)})(?![a-z0-9])")).select("doc_id", _words(F.col("text")).alias("w"))
     told = F.filter(F.transform("w", lambda w, i: F.when(w.isin(tell), i)), lambda i: i.isNotNull())
     long = {k: t for k, t in templates.items() if len(template_words(t)) >= WORDS}
@@ -143,32 +158,29 @@ def _short_found(rows: DataFrame, name: str, phrase: str) -> DataFrame:
     ws = phrase.split(" ")
     here = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, len(ws)), " ") == phrase)
     at = rows.select("doc_id", F.explode(here).alias("start"))
-    return at.groupBy("doc_id").agg(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("start").cast("long").alias("first_word"))
+    return at.groupBy("doc_id").agg(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), F.lit(1).cast("long").alias("n_shingles"), F.min("start").cast("long").alias("first_word"))
 
 
 def _long_found(rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     known = rows.sparkSession.createDataFrame([(k, len(template_words(t)), t) for k, t in templates.items()], "license string, m int, text string")
     known = known.select("license", "m", F.array_distinct(_shingles(_words(F.col("text")))).alias("s")).select("license", "m", "s", _bands(F.col("s")).alias("bands")).collect()
     longs = lambda xs: F.from_json(F.lit(str(list(xs))), "array<bigint>")  # noqa: E731  # one literal, folded by the optimizer
-    literal = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["m"]).alias("m"), longs(r["s"]).alias("s"), longs(r["bands"]).alias("bands")) for r in known])
 
-    def windows(m: int) -> Column:
-        """Those that hold a telling word."""
+    def met(m: int) -> Column:
+        """The templates of m words that some window with a telling word agrees with."""
         step = max(1, m // 4)
         first = lambda p: F.ceil(F.greatest(p - (m + 2 * step - 2), F.lit(0)) / step).cast("int") * step
         near = F.array_distinct(F.flatten(F.transform("told", lambda p: F.sequence(first(p), p - p % step, F.lit(step)))))
         near = F.filter(near, lambda i: i < F.size("s"))
-        return F.transform(near, lambda i: F.struct(F.lit(m).alias("m"), i.alias("start"), F.slice(F.col("s"), i + 1, m + 2 * step - WORDS).alias("s")))
+        bands = F.transform(near, lambda i: _bands(F.slice(F.col("s"), i + 1, m + 2 * step - WORDS)))
+        literal = F.array(*[F.struct(F.lit(r["license"]).alias("license"), longs(r["s"]).alias("s"), longs(r["bands"]).alias("bands")) for r in known if r["m"] == m])
+        agree = lambda bs: F.filter(literal, lambda t: F.exists(bs, lambda b: F.arrays_overlap(t["bands"], b)))
+        return F.transform(let(bands, agree), lambda t: F.struct(t["license"].alias("license"), t["s"].alias("t")))
 
     rows = rows.filter(F.size("told") > 0).select("doc_id", "told", _shingles(F.col("w")).alias("s"))
-    each = rows.select("doc_id", F.explode(F.concat(*[windows(m) for m in sorted({r["m"] for r in known})])).alias("x")).select("doc_id", "x.m", "x.start", "x.s")
-    each = each.select("doc_id", "m", "start", "s", _bands(F.col("s")).alias("bands"))
-    met = F.filter(literal, lambda t: (t["m"] == F.col("m")) & F.arrays_overlap(t["bands"], "bands"))
-    held = lambda t, s: F.size(F.array_intersect(t["s"], s)) / F.size(t["s"])
-    short = F.slice("s", 1, F.col("m") + F.greatest(F.lit(1), F.floor(F.col("m") / 4).cast("int")) - WORDS)
-    found = each.select("doc_id", "start", F.explode(F.transform(met, lambda t: F.struct(t["license"].alias("license"), held(t, F.col("s")).alias("c"), held(t, short).alias("short")))).alias("t")).filter(F.col("t.c") >= threshold)
-    whole = F.when(F.col("t.short") >= threshold, F.col("start"))
-    return found.groupBy("doc_id", F.col("t.license").alias("license")).agg(
-        F.round(F.max("t.c"), 6).alias("containment"), F.coalesce(F.nullif(F.count(whole), F.lit(0)), F.count(F.lit(1))).alias("n_windows"),
-        F.coalesce(F.min(whole), F.min("start")).cast("long").alias("first_word"),
+    each = rows.select("doc_id", "s", F.explode(F.concat(*[met(m) for m in sorted({r["m"] for r in known})])).alias("x"))
+    held = each.select("doc_id", "s", "x.license", F.size("x.t").alias("k"), F.array_intersect("x.t", "s").alias("held")).filter(F.size("held") / F.col("k") >= threshold)
+    first = F.array_min(F.transform("held", lambda x: F.array_position("s", x))) - 1
+    return held.groupBy("doc_id", "license").agg(
+        F.round(F.max(F.size("held") / F.col("k")), 6).alias("containment"), F.max(F.size("held")).cast("long").alias("n_shingles"), F.min(first).cast("long").alias("first_word")
     )
