@@ -11,8 +11,10 @@ has at least about 0.3 / k in k windows or more, whose bands are drawn apart. So
 chance under exp(-0.3 * BANDS), 5e-9, in how many parts ever a match may be. What is compared is compared exactly, over all of
 the text.
 
-At most a quarter of each template's shingles lack all of the :func:`telling` words, so windows without such a word
-are left out, and texts without any, exactly, hold no match. All is Spark SQL; templates are literals, at most 1000.
+Two exact tests save most of the hashing. More than 1 - ``threshold`` of each template's shingles have one of
+:func:`telling` words, so a text with none of them holds no match. And a window agrees in a band only if it has the very shingle
+from which the template's value in that band comes, so windows without any of these shingles need no bands. All is Spark SQL;
+templates are literals, at most 1000.
 
 Cases: null and blank texts match nothing; rows without id are left out; a template under five words is
 one shingle, matched where its words follow each other; one without words matches nothing; without templates
@@ -23,16 +25,13 @@ read.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .merkle import let
-
 WORDS, BANDS = 5, 64
-#: Most of a template's shingles that have no telling word.
-UNTOLD = 0.25
 #: Notices by which works state their licenses, and whole license texts.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -123,8 +122,15 @@ def _shingles(ws: Column, k: int = WORDS) -> Column:
     return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (k - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, k)]))
 
 
+def _least(shingles: Column, k: Column) -> Column:
+    """The value of band ``k``."""
+    return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k)))
+
+
 def _bands(shingles: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k)))))
+    """Each band with its value and the shingle that this comes from."""
+    source = lambda k: F.array_min(F.transform(shingles, lambda s: F.struct(F.xxhash64(s, k).alias("v"), s.alias("s"))))
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.struct(k.alias("k"), source(k)["v"].alias("v"), source(k)["s"].alias("s")))
 
 
 FOUND = "license string, containment double, n_shingles long, first_word long"
@@ -141,11 +147,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     if not templates:
         return docs.sparkSession.createDataFrame([], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FOUND}")
-    tell = telling(templates, min(threshold, UNTOLD))
+    tell = telling(templates, threshold)
     rows = rows.filter(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(tell)})(?![a-z0-9])")).select("doc_id", _words(F.col("text")).alias("w"))
-    told = F.filter(F.transform("w", lambda w, i: F.when(w.isin(tell), i)), lambda i: i.isNotNull())
     long = {k: t for k, t in templates.items() if len(template_words(t)) >= WORDS}
-    found = [_long_found(rows.filter(F.size("w") >= WORDS).withColumn("told", told), long, threshold)] if long else []
+    found = [_long_found(rows.filter(F.size("w") >= WORDS), long, threshold)] if long else []
     found += [_short_found(rows, k, " ".join(template_words(t))) for k, t in templates.items() if k not in long]
     out = found[0]
     for more in found[1:]:
@@ -164,21 +169,27 @@ def _short_found(rows: DataFrame, name: str, phrase: str) -> DataFrame:
 def _long_found(rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     known = rows.sparkSession.createDataFrame([(k, len(template_words(t)), t) for k, t in templates.items()], "license string, m int, text string")
     known = known.select("license", "m", F.array_distinct(_shingles(_words(F.col("text")))).alias("s")).select("license", "m", "s", _bands(F.col("s")).alias("bands")).collect()
-    longs = lambda xs: F.from_json(F.lit(str(list(xs))), "array<bigint>")  # noqa: E731  # one literal, folded by the optimizer
-
-    def met(m: int) -> Column:
-        """The templates of m words that some window with a telling word agrees with."""
-        step = max(1, m // 4)
-        first = lambda p: F.ceil(F.greatest(p - (m + 2 * step - 2), F.lit(0)) / step).cast("int") * step
-        near = F.array_distinct(F.flatten(F.transform("told", lambda p: F.sequence(first(p), p - p % step, F.lit(step)))))
-        near = F.filter(near, lambda i: i < F.size("s"))
-        bands = F.transform(near, lambda i: _bands(F.slice(F.col("s"), i + 1, m + 2 * step - WORDS)))
-        literal = F.array(*[F.struct(F.lit(r["license"]).alias("license"), longs(r["s"]).alias("s"), longs(r["bands"]).alias("bands")) for r in known if r["m"] == m])
-        agree = lambda bs: F.filter(literal, lambda t: F.exists(bs, lambda b: F.arrays_overlap(t["bands"], b)))
-        return F.transform(let(bands, agree), lambda t: F.struct(t["license"].alias("license"), t["s"].alias("t")))
-
-    rows = rows.filter(F.size("told") > 0).select("doc_id", "told", _shingles(F.col("w")).alias("s"))
-    each = rows.select("doc_id", "s", F.explode(F.concat(*[met(m) for m in sorted({r["m"] for r in known})])).alias("x"))
+    # Literals are folded by the optimizer.
+    bands_of = lambda r: F.from_json(F.lit(json.dumps([b.asDict() for b in r["bands"]])), "array<struct<k: int, v: bigint, s: bigint>>")
+    shingles_of = lambda r: F.from_json(F.lit(json.dumps(r["s"])), "array<bigint>")
+
+    def agrees(r) -> Column:
+        """Whether some window and the template agree in a band: the least value of the window is the template's. Only bands
+        and windows that have a shingle in common are looked at, one after the other up to the first that agrees."""
+        step, sources = max(1, r["m"] // 4), sorted({b["s"] for b in r["bands"]})
+        width = r["m"] + 2 * step - WORDS
+        told = F.filter(F.transform("s", lambda x, i: F.when(x.isin(sources), F.struct(i.alias("at"), x.alias("s")))), lambda p: p.isNotNull())
+        first = lambda p: F.ceil(F.greatest(p - width + 1, F.lit(0)) / step).cast("int") * step
+        same = lambda b: lambda i: _least(F.slice(F.col("s"), i + 1, width), b["k"]) == b["v"]
+        near = lambda p: lambda b: F.exists(F.sequence(first(p["at"]), p["at"] - p["at"] % step, F.lit(step)), same(b))
+        return F.exists(told, lambda p: F.exists(F.filter(bands_of(r), lambda b: b["s"] == p["s"]), near(p)))
+
+    every = sorted({b["s"] for r in known for b in r["bands"]})
+    rows = rows.select("doc_id", _shingles(F.col("w")).alias("s"))
+    met = F.filter(F.array(*[F.when(agrees(r), F.lit(j)) for j, r in enumerate(known)]), lambda j: j.isNotNull())
+    met = F.when(F.exists("s", lambda x: x.isin(every)), met)  # as a filter it would go below and make every word again for every shingle
+    all_ = F.array(*[F.struct(F.lit(r["license"]).alias("license"), shingles_of(r).alias("t")) for r in known])
+    each = rows.select("doc_id", "s", F.explode(met).alias("j")).select("doc_id", "s", F.get(all_, F.col("j")).alias("x"))
     held = each.select("doc_id", "s", "x.license", F.size("x.t").alias("k"), F.array_intersect("x.t", "s").alias("held")).filter(F.size("held") / F.col("k") >= threshold)
     first = F.array_min(F.transform("held", lambda x: F.array_position("s", x))) - 1
     return held.groupBy("doc_id", "license").agg(
