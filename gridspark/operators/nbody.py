@@ -1,8 +1,8 @@
 """Gravity among particles (id, x, y, z, vx, vy, vz, mass): direct sums, Morton order, a median-split tree.
 
 Direct sums are taken over blocks: each block of particles meets each block of sources as one row with arrays,
-whose pairs are summed in one pass of array operations. Tree walks are joins of (particle, node) pairs with the
-table of nodes, level by level; the trees of all segments are built and walked together.
+whose pairs are summed in one pass of array operations. Trees are in tree.py; those of all segments are built and
+walked together.
 """
 
 from __future__ import annotations
@@ -12,13 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators import tree as trees
 from gridspark.operators.order import ranked
+from gridspark.operators.tree import AXES, EPS2, LEAF
 from gridspark.plans.iterate import cut
 
-EPS2 = 1e-4
-LEAF = 16
-AXES = ("x", "y", "z")
-
 
 def spread(v: Column) -> Column:
     """Two zero bits after each of 21 bits."""
@@ -103,75 +101,17 @@ def centres(particles: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tree(particles: DataFrame, leaf: int = LEAF, by: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members). A node over ``leaf`` particles splits along its longest extent after half of them, rounded
-    up; children have half its size and, for the upper one, a box moved by that half along the split.
+    """(nodes, members) of a median-split tree, or of one for each value of ``by``, which both tables then have.
 
-    nodes: node, depth, n, mass, cx, cy, cz, gx, gy, gz, size, is_leaf; the root is node 1 and node k has
-    the children 2k and 2k+1. members: the particles with the leaf they are in. One level is one pass, also over
-    the trees of all values of the column ``by``, which both tables then have.
+    nodes: node, depth, n, mass, cx, cy, cz, gx, gy, gz, size, is_leaf. members: the particles with the leaf they are in.
     """
-    own = [by] if by else []
-    key = [*own, "node"]
-    now = cut(particles.select("id", *AXES, "mass", *own, F.lit(1).cast("long").alias("node"), F.col("id").alias("prev")))
-    boxes = now.select(*key).distinct().select(*key, *[F.lit(0.0).alias(f"l{a}") for a in AXES], F.lit(1.0).alias("size"))
-    done, placed, depth = None, None, 0
-    while True:
-        stats = now.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"), *[(F.sum(F.col("mass") * F.col(a)) / F.sum("mass")).alias(f"c{a}") for a in AXES], *[(F.max(a) - F.min(a)).alias(f"e{a}") for a in AXES])
-        axis = F.when((F.col("ex") >= F.col("ey")) & (F.col("ex") >= F.col("ez")), 0).when(F.col("ey") >= F.col("ez"), 1).otherwise(2)
-        stats = cut(stats.withColumn("axis", axis).join(boxes, key))
-        level = stats.select(*key, F.lit(depth).alias("depth"), "n", "mass", "cx", "cy", "cz", *[(F.col(f"l{a}") + F.col("size") / 2).alias(f"g{a}") for a in AXES], "size", (F.col("n") <= leaf).alias("is_leaf"))
-        done = level if done is None else done.unionByName(level)
-        small = now.join(stats.filter(F.col("n") <= leaf).select(*key), key).select("id", *AXES, "mass", *key)
-        placed = small if placed is None else placed.unionByName(small)
-        split = stats.filter(F.col("n") > leaf)
-        if split.isEmpty():
-            return done, placed
-        value = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
-        open_ = cut(now.join(split.select(*key, "n", "axis"), key).withColumn("value", value))
-        order = ranked(open_, ["value", "prev"], by=key)
-        low = F.col("rank") <= F.floor((F.col("n") + 1) / 2)
-        now = cut(order.select("id", *AXES, "mass", *own, F.when(low, F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"), F.col("rank").alias("prev")))
-        half = F.col("size") / 2
-        sides = split.select(*key, "axis", "lx", "ly", "lz", half.alias("half"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-        boxes = sides.select(*own, (F.col("node") * 2 + F.col("side")).alias("node"), *[F.when((F.col("axis") == k) & (F.col("side") == 1), F.col(f"l{a}") + F.col("half")).otherwise(F.col(f"l{a}")).alias(f"l{a}") for k, a in enumerate(AXES)], F.col("half").alias("size"))
-        depth += 1
+    built = trees.build(particles, leaf, by)
+    return built.nodes(), built.members()
 
 
 def tree_accelerations(particles: DataFrame, theta: float, eps2: float = EPS2, g: float = 1.0, leaf: int = LEAF, by: str | None = None) -> DataFrame:
-    """(id, ax, ay, az) by Barnes-Hut: a node that does not hold the particle and whose size is at most theta times
-    its distance, less the offset of its centre of mass, acts as one body; leaves act body by body. With ``by`` each
-    particle meets the tree of its own group alone."""
-    own = [by] if by else []
-    key = [*own, "node"]
-    nodes, members = (cut(t) for t in tree(particles, leaf, by))
-    nodes = nodes.filter("mass > 0")
-    home = members.select("id", *AXES, *own, F.col("node").alias("home"))
-    pairs = home.withColumn("node", F.lit(1).cast("long"))
-    r = {a: F.col(f"c{a}") - F.col(a) for a in AXES}
-    d2 = F.greatest(r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"], F.lit(eps2))
-    offset = F.sqrt(sum(((F.col(f"c{a}") - F.col(f"g{a}")) * (F.col(f"c{a}") - F.col(f"g{a}")) for a in AXES), F.lit(0.0)))
-    reach = F.greatest(F.sqrt(d2) - offset, F.lit(eps2**0.5))
-    total, at_leaf = None, None
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    for depth in range((deepest or 0) + 1):
-        met = pairs.join(nodes, key)
-        # A node holds the particle if it is an ancestor of its leaf in the numbering by halves.
-        home_bits, own_bits = F.floor(F.log2(F.col("home").cast("double")) + 1e-9).cast("int"), F.lit(depth)
-        holds = (home_bits >= own_bits) & (F.expr(f"shiftright(home, cast(greatest(0, cast(floor(log2(cast(home as double)) + 1e-9) as int) - {depth}) as int))") == F.col("node"))
-        far = ~F.col("is_leaf") & ~holds & (F.col("size") / reach <= theta)
-        met = cut(met.withColumn("far", far))
-        f = g * F.col("mass") / d2 / F.sqrt(d2)
-        part = met.filter("far").groupBy("id").agg(*[F.sum(f * r[a]).alias(f"a{a}") for a in AXES])
-        total = part if total is None else total.unionByName(part)
-        near = met.filter("is_leaf").select("id", *AXES, *key)
-        at_leaf = near if at_leaf is None else at_leaf.unionByName(near)
-        pairs = met.filter("not far and not is_leaf").select("id", *AXES, *own, "home", F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"))
-    bodies = members.select(*key, F.col("id").alias("sid"), *[F.col(a).alias(f"s{a}") for a in AXES], F.col("mass").alias("smass"))
-    q = {a: F.col(f"s{a}") - F.col(a) for a in AXES}
-    e2 = F.greatest(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"], F.lit(eps2))
-    exact = at_leaf.join(bodies, key).filter("id <> sid").groupBy("id").agg(*[F.sum(g * F.col("smass") / e2 / F.sqrt(e2) * q[a]).alias(f"a{a}") for a in AXES])
-    both = total.unionByName(exact).groupBy("id").agg(*[F.sum(f"a{a}").alias(f"a{a}") for a in AXES])
-    return particles.select("id").join(both, "id", "left").fillna(0.0)
+    """(id, ax, ay, az) by Barnes-Hut; see :func:`gridspark.operators.tree.accelerations`."""
+    return trees.accelerations(particles, theta, eps2, g, leaf, by)
 
 
 def step(particles: DataFrame, acc: DataFrame, dt: float = 0.01) -> DataFrame:

@@ -201,19 +201,69 @@ def bh_force_exact(spark, sf):
     return nb.tree_accelerations(fx.particles(spark, sf), 0.0).select("id", *[F.round(c, 4).alias(c) for c in ("ax", "ay", "az")])
 
 
-@query("bh_force")
+def _tree_sql(source: str) -> str:
+    """Recursive tables of the median-split trees of ``source`` (seg, id, x, y, z, mass): t has each particle once a level, nodes
+    and home follow from it."""
+    moved = ", ".join(f"l{a} + CASE WHEN axis = {k} AND up = 1 THEN size / 2 ELSE 0 END" for k, a in enumerate("xyz"))
+    return f"""t AS (
+  SELECT seg, id, x, y, z, mass, 1::BIGINT AS node, 0 AS depth, id::BIGINT AS prev, 0.0::DOUBLE AS lx, 0.0::DOUBLE AS ly, 0.0::DOUBLE AS lz, 1.0::DOUBLE AS size FROM ({source})
+  UNION ALL
+  SELECT seg, id, x, y, z, mass, node * 2 + up, depth + 1, r, {moved}, size / 2 FROM (
+    SELECT *, (r > (n + 1) // 2)::INT AS up FROM (
+      SELECT *, row_number() OVER (PARTITION BY seg, node ORDER BY CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END, prev) AS r FROM (
+        SELECT *, CASE WHEN ex >= ey AND ex >= ez THEN 0 WHEN ey >= ez THEN 1 ELSE 2 END AS axis FROM (
+          SELECT *, count(*) OVER w AS n, max(x) OVER w - min(x) OVER w AS ex, max(y) OVER w - min(y) OVER w AS ey, max(z) OVER w - min(z) OVER w AS ez
+          FROM t WINDOW w AS (PARTITION BY seg, node)) WHERE n > {nb.LEAF})))
+), nodes AS (
+  SELECT seg, node, depth, count(*) AS n, sum(mass) AS mass, {", ".join(f"sum(mass * {a}) / sum(mass) AS c{a}" for a in "xyz")}, {", ".join(f"l{a} + size / 2 AS g{a}" for a in "xyz")}, size, count(*) <= {nb.LEAF} AS is_leaf
+  FROM t GROUP BY seg, node, depth, lx, ly, lz, size
+), home AS (SELECT t.seg, t.id, t.x, t.y, t.z, t.mass, t.node FROM t JOIN nodes ON nodes.seg = t.seg AND nodes.node = t.node WHERE is_leaf)"""
+
+
+def _walk_sql(theta: float) -> str:
+    """f: (id, ax, ay, az) parts from those trees; w has the nodes that each particle gets to."""
+    d2 = f"greatest((cx - w.x) * (cx - w.x) + (cy - w.y) * (cy - w.y) + (cz - w.z) * (cz - w.z), {nb.EPS2}::DOUBLE)"
+    e2 = f"greatest((h.x - w.x) * (h.x - w.x) + (h.y - w.y) * (h.y - w.y) + (h.z - w.z) * (h.z - w.z), {nb.EPS2}::DOUBLE)"
+    far = f"""NOT is_leaf AND NOT exists(SELECT 1 FROM t WHERE t.seg = w.seg AND t.id = w.id AND t.node = w.node)
+      AND size / greatest(sqrt({d2}) - sqrt((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy) + (cz - gz) * (cz - gz)), {nb.EPS2 ** 0.5}::DOUBLE) <= {theta}"""
+    return f"""w AS (
+  SELECT seg, id, x, y, z, 1::BIGINT AS node FROM home
+  UNION ALL
+  SELECT w.seg, w.id, w.x, w.y, w.z, 2 * w.node + side FROM w JOIN nodes n ON n.seg = w.seg AND n.node = w.node, (SELECT unnest([0, 1]) AS side) WHERE NOT is_leaf AND NOT ({far})
+), f AS (
+  SELECT w.id, {", ".join(f"n.mass / {d2} / sqrt({d2}) * (c{a} - w.{a}) AS a{a}" for a in "xyz")} FROM w JOIN nodes n ON n.seg = w.seg AND n.node = w.node WHERE {far}
+  UNION ALL
+  SELECT w.id, {", ".join(f"h.mass / {e2} / sqrt({e2}) * (h.{a} - w.{a})" for a in "xyz")} FROM w JOIN nodes n ON n.seg = w.seg AND n.node = w.node AND is_leaf JOIN home h ON h.seg = w.seg AND h.node = w.node WHERE h.id <> w.id
+)"""
+
+
+_ONE_TREE = _tree_sql(f"SELECT 0 AS seg, * FROM ({PARTICLES})")
+_SUMS = "SELECT id, sum(ax) AS ax, sum(ay) AS ay, sum(az) AS az FROM {} GROUP BY id"
+_PLACES = {"mass": 6, **{f"{k}{a}": 6 for k in "cg" for a in "xyz"}}
+
+
+def _forces(df):
+    return df.select("id", *[F.round(c, 4).alias(c) for c in ("ax", "ay", "az")])
+
+
+@query("bh_force", f"WITH RECURSIVE {_ONE_TREE}, {_walk_sql(0.5)} " + _ROUND.format(_SUMS.format("f")))
 def bh_force(spark, sf):
-    return nb.tree_accelerations(fx.particles(spark, sf), 0.5)
+    return _forces(nb.tree_accelerations(fx.particles(spark, sf), 0.5))
 
 
-@query("bh_segment_force")
+_SEGMENTS = f"SELECT ntile(2) OVER (ORDER BY code, id)::INT AS seg, * FROM ({_code_sql()})"
+_S2 = f"greatest((cx - p.x) * (cx - p.x) + (cy - p.y) * (cy - p.y) + (cz - p.z) * (cz - p.z), {nb.EPS2}::DOUBLE)"
+
+
+@query("bh_segment_force", f"""WITH RECURSIVE p AS ({_SEGMENTS}), {_tree_sql("SELECT * FROM p")}, {_walk_sql(0.5)}, s AS (SELECT seg, sum(mass) AS mass, {", ".join(f"sum(mass * {a}) / sum(mass) AS c{a}" for a in "xyz")} FROM p GROUP BY seg),
+both_ AS (SELECT * FROM f UNION ALL SELECT p.id, {", ".join(f"s.mass / {_S2} / sqrt({_S2}) * (c{a} - p.{a})" for a in "xyz")} FROM p JOIN s ON s.seg <> p.seg) """ + _ROUND.format(_SUMS.format("both_")))
 def bh_segment_force(spark, sf):
-    return nb.segment_accelerations(fx.particles(spark, sf), 2, 0.5)
+    return _forces(nb.segment_accelerations(fx.particles(spark, sf), 2, 0.5))
 
 
-@query("bh_tree")
+@query("bh_tree", f"WITH RECURSIVE {_ONE_TREE} SELECT node, depth, n, {', '.join(f'round({c}, {k}) AS {c}' for c, k in _PLACES.items())}, size, is_leaf FROM nodes")
 def bh_tree(spark, sf):
-    return nb.tree(fx.particles(spark, sf))[0]
+    return nb.tree(fx.particles(spark, sf))[0].withColumns({c: F.round(c, k) for c, k in _PLACES.items()})
 
 
 _DT = 0.0001
@@ -239,9 +289,13 @@ def kinetic_momentum(spark, sf):
     return nb.kinetic(p).select(*[F.round(c, 4).alias(c) for c in ("kinetic", "px", "py", "pz")])
 
 
-@query("rel_error_summary")
+_ERROR = f"sqrt({' + '.join(f'pow(b.a{k} - e.a{k}, 2)' for k in 'xyz')}) / (sqrt({' + '.join(f'pow(e.a{k}, 2)' for k in 'xyz')}) + 1e-12)"
+
+
+@query("rel_error_summary", f"""WITH RECURSIVE {_ONE_TREE}, {_walk_sql(0.5)}, b AS ({_SUMS.format("f")}), e AS ({_ACC}), r AS (SELECT {_ERROR} AS error FROM b JOIN e ON e.id = b.id)
+SELECT round(avg(error), 9) AS mean, round(median(error), 9) AS median, round(quantile_cont(error, 0.95), 9) AS p95, round(max(error), 9) AS max FROM r""")
 def rel_error_summary(spark, sf):
     """Error of the tree walk against direct sums: mean, median, 95th percentile, most."""
     p = cut(fx.particles(spark, sf))
     e = cut(nb.relative_errors(nb.tree_accelerations(p, 0.5), nb.accelerations(p)))
-    return ss.summary(e, [], "error").select("mean", "median", "p95", "max")
+    return ss.summary(e, [], "error").select(*[F.round(c, 9).alias(c) for c in ("mean", "median", "p95", "max")])

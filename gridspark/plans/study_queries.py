@@ -191,9 +191,9 @@ def price_quantiles(spark, sf):
     return rounded(quantiles(fx.table(spark, sf, "lineitem"), [], "l_extendedprice", _PRICES), *_PRICES)
 
 
-@query("price_quantiles_by_flag", f"SELECT l_returnflag, l_shipmode, {_PRICES_SQL} FROM lineitem GROUP BY ALL")
+@query("price_quantiles_by_flag", f"SELECT l_returnflag, l_linestatus, {_PRICES_SQL} FROM lineitem GROUP BY ALL")
 def price_quantiles_by_flag(spark, sf):
-    return rounded(quantiles(fx.table(spark, sf, "lineitem"), ["l_returnflag", "l_shipmode"], "l_extendedprice", _PRICES), *_PRICES)
+    return rounded(quantiles(fx.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", _PRICES), *_PRICES)
 
 
 @query("speedup_efficiency", f"""WITH m AS (SELECT variant, threads, avg(time_sec) AS s FROM ({TIMINGS}) GROUP BY ALL)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import linalg, nbody, seam
+from gridspark.operators import linalg, nbody, seam, tree
 
 EPS2 = nbody.EPS2
 
@@ -79,6 +79,43 @@ def test_tree_forces(spark, theta):
         assert any(not np.allclose(exact[i], want[i], rtol=1e-9) for i in want)
 
 
+@pytest.mark.parametrize("task,bucket", [(40, 20), (16, 16), (70, 1)])
+def test_trees_over_many_tasks(spark, task, bucket):
+    """The top levels split over the cluster, with subtrees of few particles, and many buckets that open some of them."""
+    rows, df = particles(spark, 300, 5)
+    rows = [(*r[:7], 0.0 if r[1] > 0.9 else r[7]) for r in rows]  # some that pull nothing
+    df = spark.createDataFrame(rows, df.schema)
+    want = build([r[0] for r in rows], rows, 16)
+    got = tree.build(df, 16, None, task, bucket)
+    nodes = {r.node: r for r in got.nodes().collect()}
+    assert nodes.keys() == want.keys() and got.top.count() > 2
+    assert all((nodes[k].depth, nodes[k].n, nodes[k].is_leaf, nodes[k].size) == (w[0], len(w[1]), w[6], w[5]) and np.allclose([nodes[k].gx, nodes[k].gy, nodes[k].gz], w[4]) for k, w in want.items())
+    assert {r.id: r.node for r in got.members().collect()} == {i: k for k, n in want.items() if n[6] for i in n[1]}
+    acc = {r.id: (r.ax, r.ay, r.az) for r in tree.accelerations(df, 0.6, task=task, bucket=bucket).collect()}
+    truth = {r[0]: force(r[0], rows, want, 0.6) for r in rows}
+    assert acc.keys() == truth.keys() and all(np.allclose(acc[i], truth[i], rtol=1e-9) for i in truth)
+
+
+def test_ids_over_two_to_the_53(spark):
+    rows, df = particles(spark, 40, 6)
+    far = df.withColumn("id", F.col("id") + (1 << 60))
+    near = {r.id: (r.ax, r.ay, r.az) for r in tree.accelerations(df, 0.5).collect()}
+    assert {r.id - (1 << 60): (r.ax, r.ay, r.az) for r in tree.accelerations(far, 0.5).collect()} == near
+    assert tree.accelerations(df.limit(0), 0.5).count() == 0
+
+
+def test_jobs_of_a_tree(spark):
+    """Few passes, whatever the depth of the tree."""
+    _, df = particles(spark, 500, 7)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    for group, most, run in (("tree", 15, lambda: nbody.tree(df)[0].count()), ("walk", 20, lambda: nbody.tree_accelerations(df, 0.5).count())):
+        sc.setJobGroup(group, group)
+        run()
+        jobs = len(tracker.getJobIdsForGroup(group))
+        assert jobs <= most, jobs
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_segment_forces_and_errors(spark):
     rows, df = particles(spark, 90, 3)
     seg = {r.id: r.seg for r in nbody.segments(df, 3).collect()}
