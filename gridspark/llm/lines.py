@@ -11,6 +11,8 @@ With ``min_words`` 1 every repeated unit goes. Blank units are none, and break n
 The first occurrence of each digest comes from partial minima, so a line that a third of all rows
 hold costs one row a task; the join back is one that adaptive execution can split.
 
+Repeated units that stay, as their run has too few words, are reported with their offsets too.
+
 Cases: rows without id are left out; a null text has no units and stays null; rows that share an id and
 differ in text are documents of their own; rows equal in id and text are one document, and each keeps
 what that keeps; a very long text is one row throughout; an empty table gives an empty table; other
@@ -93,33 +95,37 @@ def _cut(unit: str, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            clean, count, spans = [], [], []
+            clean, count, spans, spared = [], [], [], []
             for text, units in zip(texts, gone, strict=True):
                 parts = split(text) if text is not None else []
                 drop, at, removed, kept = _drop(units or [], min_words), 0, [], []
+                again, left = {u["at"] for u in units or []}, []
                 for i, part in enumerate(parts):
                     if i in drop:
                         removed.append({"start": at, "end": at + len(part)})
                     else:  # with the character that parts it from what is before
+                        if i in again:
+                            left.append({"start": at, "end": at + len(part)})
                         kept.append(text[max(at - 1, 0) : at + len(part)] if kept else part)
                     at += len(part) + 1
                 clean.append("".join(kept) if text is not None else None)
                 count.append(len(parts))
                 spans.append(removed)
+                spared.append(left)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(clean, pa.string()), pa.array(count, pa.int32()), pa.array([len(x) for x in spans], pa.int32()), pa.array(spans, kind)],
-                ["doc_id", "text", "n_units", "n_removed", "removed"],
+                [batch.column(0), pa.array(clean, pa.string()), pa.array(count, pa.int32()), pa.array([len(x) for x in spans], pa.int32()), pa.array(spans, kind), pa.array(spared, kind)],
+                ["doc_id", "text", "n_units", "n_removed", "removed", "spared"],
             )
 
     return run
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
-    """(doc_id, text, n_units, n_removed, removed array<struct<start, end>>) for every row with an id: the text
-    without its repeated units, and where these were in the original, in characters."""
+    """(doc_id, text, n_units, n_removed, removed, spared array<struct<start, end>>) for every row with an id: the text without its
+    repeated units, where these were in the original, in characters, and where those are that stay in too short a run."""
     if unit not in UNITS:
         raise ValueError(f"unit is one of {', '.join(UNITS)}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("rid"), F.col(text_col).alias("text")).filter("doc_id is not null")
     joined = rows.join(repeated_units(rows, unit), ["doc_id", "rid"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_cut(unit, min_words), "doc_id long, text string, n_units int, n_removed int, removed array<struct<start: long, end: long>>")
+    return joined.mapInArrow(_cut(unit, min_words), "doc_id long, text string, n_units int, n_removed int, removed array<struct<start: long, end: long>>, spared array<struct<start: long, end: long>>")

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.order import bounds, bucket
 
+from .storage import materialize
+
 LEAF = 160
 LEAVES = r"[^.]{1,%d}\.?|\." % LEAF
 
@@ -80,11 +82,12 @@ def with_next(docs: DataFrame, rows_each: int = 500) -> DataFrame:
     """
     cuts = bounds(docs, "doc_id", rows_each)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket("doc_id", cuts)).withColumn("print", fingerprint(F.col("text")))
-    # One row a bucket, at most MOST_BUCKETS of them.
+    # One row a bucket, written, so that Spark knows its size when it chooses the join.
     first = docs.withColumn("bucket", bucket("doc_id", cuts)).groupBy("bucket").agg(F.max("doc_id").alias("top"))
     order = Window.orderBy(F.col("bucket").desc())
     host = first.withColumn("host", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy())))
-    guests = docs.join(F.broadcast(host), docs.doc_id.eqNullSafe(F.col("top"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("host").alias("bucket"))
+    host = materialize(host, "hosts")
+    guests = docs.join(host, docs.doc_id.eqNullSafe(F.col("top"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("host").alias("bucket"))
     guests = guests.withColumn("print", fingerprint(F.col("text")))
     both = rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
     near = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")

@@ -70,9 +70,11 @@ WITH u AS (
 SELECT doc_id, coalesce(string_agg(sep || raw, '' ORDER BY i) FILTER (NOT gone), ' ')[2:] AS text, count(*) AS n_units,
   count(*) FILTER (gone) AS n_removed,
   coalesce(string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_starts,
-  coalesce(string_agg((pos + length(raw))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_ends
+  coalesce(string_agg((pos + length(raw))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS removed_ends,
+  coalesce(string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (again AND NOT gone), '') AS spared_starts,
+  coalesce(string_agg((pos + length(raw))::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (again AND NOT gone), '') AS spared_ends
 FROM g GROUP BY doc_id
-UNION ALL SELECT doc_id, NULL, 0, 0, '', '' FROM documents WHERE text IS NULL AND doc_id IS NOT NULL
+UNION ALL SELECT doc_id, NULL, 0, 0, '', '', '', '' FROM documents WHERE text IS NULL AND doc_id IS NOT NULL
 """
 
 OP4 = """

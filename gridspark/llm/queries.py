@@ -41,8 +41,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.deduplicate(_documents(spark, sf_dir), unit="sentence", min_words=lines.MIN_WORDS)
-    starts, ends = F.array_join(F.col("removed.start"), ","), F.array_join(F.col("removed.end"), ",")
-    return out.select("doc_id", "text", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), starts.alias("removed_starts"), ends.alias("removed_ends"))
+    spans = [F.array_join(F.col(f"{kind}.{side}"), ",").alias(f"{kind}_{side}s") for kind in ("removed", "spared") for side in ("start", "end")]
+    return out.select("doc_id", "text", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), *spans)
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

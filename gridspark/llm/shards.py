@@ -100,10 +100,11 @@ def running_totals(groups: DataFrame, key: str, tie: str, size: str, rows_each:
     """``groups`` with ``end``: the sum of ``size`` up to and with each row in the order of (key, tie)."""
     cuts = bounds(groups, key, rows_each)
     rows = groups.withColumn("_b", bucket(key, cuts))
-    # One row a bucket, at most MOST_BUCKETS: small enough for one task and for a broadcast.
+    # One row a bucket; Spark sends it to all tasks if the table that it is written to is small enough for that.
     before = rows.groupBy("_b").agg(F.sum(size).alias("_s")).withColumn("_o", F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).select("_b", "_o")
+    before = materialize(before, "before")
     inside = F.sum(size).over(Window.partitionBy("_b").orderBy(F.col(key).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("end", inside).join(F.broadcast(before), "_b").withColumn("end", F.col("end") + F.col("_o")).drop("_b", "_o")
+    return rows.withColumn("end", inside).join(before, "_b").withColumn("end", F.col("end") + F.col("_o")).drop("_b", "_o")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_each: int = ROWS_EACH) -> DataFrame:
@@ -126,10 +127,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         shard = shard + (F.col("end") > c).cast("int")
     placed = rows.join(groups.select("digest", shard.alias("shard")), "digest").withColumn("_b", bucket("doc_id", bounds(rows, "doc_id", rows_each)))
     placed = materialize(placed.select("doc_id", "size", "text_crc32", "digest", "shard", "_b"), "placed")
-    # At most shards x MOST_BUCKETS rows.
+    # One row a shard and bucket, joined as Spark sees fit.
     before = placed.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).select("shard", "_b", "_o")
+    before = materialize(before, "slots")
     slot = F.row_number().over(Window.partitionBy("shard", "_b").orderBy(F.col("doc_id").asc_nulls_first(), "digest")) - 1
-    out = placed.withColumn("slot", slot).join(F.broadcast(before), ["shard", "_b"])
+    out = placed.withColumn("slot", slot).join(before, ["shard", "_b"])
     discard(rows)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("slot") + F.col("_o")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

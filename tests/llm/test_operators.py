@@ -477,7 +477,7 @@ def deduplicated_lines(rows, unit, min_words):
     seen, out = set(), []
     for i, text in rows:
         if text is None:
-            out.append((i, None, []))
+            out.append((i, None, [], []))
             continue
         spans, at = [], 0
         for part in split(text):
@@ -497,7 +497,7 @@ def deduplicated_lines(rows, unit, min_words):
                 gone.add(real[k][:2])
         kept = [s for s in spans if s[:2] not in gone]
         clean = "".join((text[s[0] - 1] if n else "") + text[s[0] : s[1]] for n, s in enumerate(kept))
-        out.append((i, clean, sorted(gone)))
+        out.append((i, clean, sorted(gone), sorted(s[:2] for s in real if s[3] and s[:2] not in gone)))
     return out
 
 
@@ -509,7 +509,7 @@ LINES = [
 
 @pytest.mark.parametrize("unit,min_words", [("line", 1), ("paragraph", 1), ("sentence", 1), ("sentence", 5), ("line", 3)])
 def test_lines(spark, unit, min_words):
-    got = sorted((r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in lines.deduplicate(table(spark, LINES), unit=unit, min_words=min_words).collect())
+    got = sorted((r.doc_id, r.text, [(s.start, s.end) for s in r.removed], [(s.start, s.end) for s in r.spared]) for r in lines.deduplicate(table(spark, LINES), unit=unit, min_words=min_words).collect())
     assert got == deduplicated_lines(LINES, unit, min_words)
     assert lines.deduplicate(table(spark, [])).count() == 0
 
