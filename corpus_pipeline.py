@@ -36,10 +36,10 @@ def _keep(docs: DataFrame, decided: DataFrame, hash_: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and a clear language. The model learns from the labelled documents of the stage's input; without
-    labels every text is undetermined and goes. A null text goes. Each row is judged by its own text, so repeated rows
+    labels, or a column ``lang``, every text is undetermined and goes. A null text goes. Each row is judged by its own text, so repeated rows
     stay or go together."""
     h = _fresh(docs, "text_hash")
-    rows = docs.filter("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias(h)).alias("doc_id"), "text", "lang")
+    rows = docs.filter("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias(h)).alias("doc_id"), "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
     found = langid.predict(rows, langid.fit(rows))
     kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("doc_id.*").distinct()
     return _keep(docs, kept, h)
