@@ -38,6 +38,27 @@ def choose(rows: DataFrame, column: str, wanted: str | None) -> DataFrame:
     return found
 
 
+def choose_any(rows: DataFrame, column: str, wanted: list[str] | None, known: DataFrame | None = None) -> DataFrame:
+    """Rows of all ``wanted`` values, all rows if it is None. Every wanted value must be one of ``known`` (a table with that
+    column; the rows themselves if it is None), whether rows have it or not; the error names those that are not, and the choices."""
+    if wanted is None:
+        return rows
+    names = rows.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(wanted)], f"{column} string")
+    there = (rows if known is None else known).select(F.col(column).cast("string").alias(column)).distinct()
+    odd = [r[0] for r in names.join(there, column, "left_anti").orderBy(column).collect()]  # of the caller's own list
+    if odd:
+        choices = there.orderBy(column).limit(50)  # for the message alone
+        raise ValueError(f"no {column} named {', '.join(map(repr, odd))}; choices: {', '.join(str(r[0]) for r in choices.collect())}")
+    return rows.filter(F.col(column).cast("string").isin(list(dict.fromkeys(wanted))))
+
+
+def must_match(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """The inner join of ``rows`` with ``table``, which must have each of their keys; the error names the first that it lacks."""
+    met = rows.join(table.withColumn("_there", F.lit(True)), on, "left")
+    lost = F.raise_error(F.concat(F.lit(f"unknown {on} "), F.coalesce(F.col(on).cast("string"), F.lit("NULL"))))
+    return met.filter(F.coalesce("_there", lost.cast("boolean"))).drop("_there")
+
+
 def pass_table(samples: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     counts = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), F.sum(F.col("passed").cast("long")).alias("n_correct"))
     return counts.select(*by, "n_total", "n_correct", *[pass_at_k(F.col("n_total"), F.col("n_correct"), k).alias(f"pass_at_{k}") for k in ks])

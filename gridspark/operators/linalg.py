@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,18 +46,22 @@ def from_tiles(tiles: DataFrame, cols: int, size: int) -> DataFrame:
     return flat.select((F.col("ti") * size + F.floor(F.col("p") / F.col("w"))).cast("long").alias("i"), (F.col("tj") * size + F.col("p") % F.col("w")).cast("int").alias("j"), "v")
 
 
-#: Result tiles that a task adds up before it sends them on.
-HELD_TILES = 256
+#: Result tiles that a task adds up before it sends them on, and tasks whose sums of one tile are added at once.
+HELD_TILES, FAN = 256, 32
 
 
-def multiply_tiles(a: DataFrame, b: DataFrame, inner: int, size: int) -> DataFrame:
+def multiply_tiles(a: DataFrame, b: DataFrame, inner: int, size: int, fan: int = FAN) -> DataFrame:
     """A x B over tiles: tiles meet on the inner index and are multiplied there; each task adds up its products of a result
-    tile, so that no more than one tile a task goes to where the sums are completed."""
+    tile. The sums of ``fan`` tasks are added, then those of ``fan`` such groups, and so on, so that what a task holds of a result
+    tile does not grow with the number of tasks."""
+    if fan < 2:
+        raise ValueError("sums of at least two tasks are added at once")
     right = b.select(F.col("ti").alias("k"), F.col("tj").alias("jj"), F.col("data").alias("other"))
     pairs = a.withColumnRenamed("tj", "k").join(right, "k")
 
     def sent(sums: dict) -> pd.DataFrame:
-        return pd.DataFrame([(ti, tj, z.ravel()) for (ti, tj), z in sums.items()], columns=["ti", "tj", "data"])
+        part = TaskContext.get().partitionId()
+        return pd.DataFrame([(ti, tj, z.ravel(), part) for (ti, tj), z in sums.items()], columns=["ti", "tj", "data", "part"])
 
     def products(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -73,9 +78,25 @@ def multiply_tiles(a: DataFrame, b: DataFrame, inner: int, size: int) -> DataFra
             yield sent(sums)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"ti": pdf["ti"][:1], "tj": pdf["tj"][:1], "data": [np.sum(np.stack(pdf["data"]), axis=0)]})
+        total = np.array(pdf["data"].iloc[0], float)
+        for more in pdf["data"].iloc[1:]:
+            total += more
+        return pd.DataFrame({"ti": pdf["ti"][:1], "tj": pdf["tj"][:1], "data": [total], "part": pdf["part"][:1]})
 
-    return pairs.mapInPandas(products, TILE).groupBy("ti", "tj").applyInPandas(add, TILE)
+    tiles, parts = pairs.mapInPandas(products, f"{TILE}, part int"), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        parts = -(-parts // fan)
+        group = F.floor(F.col("part") / fan).cast("int") if parts > 1 else F.lit(0)  # the last level takes all that is left
+        tiles = tiles.withColumn("part", group).groupBy("ti", "tj", "part").applyInPandas(add, f"{TILE}, part int")
+        if parts <= 1:
+            return tiles.drop("part")
+
+
+def placed(tiles: DataFrame, owners: int) -> DataFrame:
+    """``tiles`` with ``place``, their owner's number from 0, each in the partition of that number: later steps by place find
+    a place's tiles together and need no exchange."""
+    place = (tile_owner(F.col("ti"), F.col("tj"), owners) - 1).cast("int")
+    return tiles.withColumn("place", place).repartitionById(owners, "place")
 
 
 def spd_ones(spark: SparkSession, n: int) -> DataFrame:
@@ -103,7 +124,7 @@ def tile_owner(ti: Column, tj: Column, owners: int) -> Column:
 
 def cholesky_tiles(a: DataFrame, n: int, size: int) -> DataFrame:
     """Lower tiles L with L L' = A: per step one tile is factorised, its column solved, the rest updated.
-    A step is one shuffle of the tiles that are left, and is checkpointed."""
+    A step joins the tiles that are left with the solved column twice, by row and by column, and is checkpointed."""
     nb = -(-n // size)
     rest = a.filter("ti >= tj")
     out = None

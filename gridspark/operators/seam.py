@@ -1,7 +1,8 @@
 """Content-aware image resizing: gradient energy, row-recurrent dynamic programming, back-tracking, removal.
 
 The recurrence runs in bands of rows: within a band, blocks of columns with a margin twice as wide as the band is
-high are independent, so a band costs one shuffle and no task holds more than band x (block + 4 band) cells.
+high are independent, so a band costs one shuffle and no task holds more than band x (block + 4 band) cells. The energy
+of an image of several bands is written once, by band, so that each band reads its own files and no more.
 All schedules of the recurrence that an engine may choose give this one result.
 """
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.stencil import CROSS, stencil
 from gridspark.plans.iterate import cut
+from gridspark.sources.scratch import scratch
 
-BAND, BLOCK = 256, 1024
+BAND, BLOCK = 512, 2048
 
 
 def energy(image: DataFrame, height: int, width: int) -> DataFrame:
@@ -48,13 +50,24 @@ def _climb(b: np.ndarray, x: np.ndarray, left: int) -> np.ndarray:
     return x
 
 
+def _by_band(e: DataFrame, height: int, band: int) -> DataFrame:
+    """``e`` with its ``band``, as a table that a filter by band prunes."""
+    banded = e.select("y", "x", F.col("v").cast("double").alias("v"), F.floor(F.col("y") / band).cast("int").alias("band"))
+    if height <= band:
+        return banded
+    at = scratch(e.sparkSession, "energy")
+    banded.write.partitionBy("band").parquet(at)
+    return e.sparkSession.read.schema(banded.schema).parquet(at)
+
+
 def cumulative_energy(e: DataFrame, height: int, width: int, band: int = BAND, block: int = BLOCK) -> DataFrame:
     """(y, x, m, b, up): least cost of a path from the top and where it comes from (-1, 0, 1); ties go left, then up.
     ``up``, in the last row of each band, is the path's column in the row above the band."""
     out, above = None, None
+    e = _by_band(e, height, band)
     for y0 in range(0, height, band):
         rows = min(band, height - y0)
-        now = e.filter(F.col("y").between(y0, y0 + rows - 1)).select("y", "x", F.col("v").cast("double").alias("v"))
+        now = e.filter(F.col("band") == y0 // band).select("y", "x", "v")
         if above is not None:
             now = now.unionByName(above)
         # A path climbs at most a column a row: with twice the rows as a margin its cells' costs and pointers are all right.

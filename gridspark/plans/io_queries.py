@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +87,13 @@ def benchmark_plate(spark, sf):
 
 
 def _tiles_sql(value: str) -> str:
-    n = "(SELECT 20 + count(*)::BIGINT AS n FROM nation)"
+    n = "(SELECT 20 + floor(sqrt(count(*)))::BIGINT AS n FROM part)"
     return f"""SELECT ti::INT AS ti, tj::INT AS tj, (1 + (ti + tj) % 3)::INT AS owner, round(sum(v), 6) AS total, count(*) AS cells FROM (
       SELECT i // 16 AS ti, j // 16 AS tj, {value} AS v FROM {n}, LATERAL (SELECT unnest(range(0, n)) AS i), LATERAL (SELECT unnest(range(0, n)) AS j)) GROUP BY 1, 2, 3"""
 
 
 def _tile_sums(spark, sf, kind: str) -> DataFrame:
-    tiles = generators.matrix_tiles(spark, 20 + fx.table(spark, sf, "nation").count(), 16, kind, owners=3)
+    tiles = generators.matrix_tiles(spark, 20 + math.isqrt(fx.table(spark, sf, "part").count()), 16, kind, owners=3)
     return tiles.select("ti", "tj", "owner", F.round(F.aggregate("data", F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.size("data").cast("long").alias("cells"))
 
 
@@ -316,12 +319,18 @@ def constant_extraction(spark, sf):
     return files.constant(items.select(name.alias("path"), source.alias("value")), "SOLUTION").select(F.col("path").alias("name"), "code")
 
 
-@query("directory_listing", "SELECT 1 AS position, 'documents.parquet' AS name UNION ALL SELECT 2, 'embeddings.parquet' UNION ALL SELECT 3, 'events.parquet'")
+_LISTED = ("documents", "embeddings", "events")
+
+
+@query("directory_listing", "SELECT row_number() OVER (ORDER BY name) AS position, name, n FROM (" + " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n FROM {t}" for t in _LISTED) + ")")
 def directory_listing(spark, sf):
-    """The tables whose names begin with d or e, in order: files, or folders of parts."""
-    found = files.listing(spark, sf, ".parquet").select(F.regexp_extract("path", r"/([a-z]+\.parquet)(/|$)", 1).alias("name")).distinct()
-    rows = found.filter(F.col("name").rlike("^[de]"))
-    return order.ranked(rows, ["name"]).select(F.col("rank").cast("int").alias("position"), "name")
+    """The tables whose names begin with d or e, in order, with their rows; a table is a file, or a folder of parts. Each listed
+    path is read, so the listing must have found them all."""
+    found = files.listing(spark, sf, ".parquet").filter(F.regexp_extract("path", r"/([^/]+\.parquet)(/[^/]+)?$", 1).rlike("^[de]"))
+    paths = found.groupBy(F.regexp_extract("path", r"/([^/]+\.parquet)(/[^/]+)?$", 1).alias("name")).agg(F.collect_list("path").alias("paths")).collect()  # a dozen names
+    count = lambda r: spark.read.parquet(*r.paths).agg(F.count(F.lit(1)).alias("n")).select(F.lit(r.name).alias("name"), "n")
+    tables = reduce(DataFrame.unionAll, map(count, paths))
+    return order.ranked(tables, ["name"]).select(F.col("rank").alias("position"), "name", "n")
 
 
 # --- ordered results, filters, frames ----------------------------------------------------------------------
@@ -396,16 +405,15 @@ def frame_limits(spark, sf):
     return rounded(frames.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count_distinct("step").alias("frames")), "low", "high")
 
 
-_EVENTS = "SELECT event_id AS seq, (event_id % 5)::BIGINT AS worker, event_type AS category, CASE WHEN row_number() OVER (PARTITION BY event_id % 5, event_type ORDER BY event_id) % 2 = 1 THEN 'start' ELSE 'finish' END AS edge, event_id * 1000 AS ns FROM events"
+_SPANS = "SELECT event_id // 2 AS span, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'finish' END AS edge, event_type, epoch_us(ts) * 1000 AS ns FROM events"
 
 
-@query("span_pairs", f"""SELECT category, count(*) AS n_spans, round(sum(b - ns) / 1e9, 9) AS seconds FROM (
-  SELECT *, lead(ns) OVER (PARTITION BY worker, category ORDER BY seq) AS b FROM ({_EVENTS})) WHERE edge = 'start' AND b IS NOT NULL GROUP BY 1""")
+@query("span_pairs", f"""SELECT category, count(*) AS n_spans, round(sum(b - a) / 1e9, 6) AS seconds FROM (
+  SELECT span, max(event_type) FILTER (edge = 'start') AS category, max(ns) FILTER (edge = 'start') AS a, max(ns) FILTER (edge = 'finish') AS b FROM ({_SPANS}) GROUP BY span) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""")
 def span_pairs(spark, sf):
-    """Starts with the finish that follows on the same worker; a start without one counts for nothing."""
-    from pyspark.sql import Window
-
-    rows = fx.table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("worker"), F.col("event_type").alias("category"), (F.col("event_id") * 1000).alias("at"))
-    nth = F.row_number().over(Window.partitionBy("worker", "category").orderBy("seq"))
-    edges = rows.withColumn("edge", F.when(nth % 2 == 1, "start").otherwise("finish")).withColumn("span", F.floor((nth - 1) / 2))
-    return ss.span_totals(edges, ["worker", "category", "span"], "category").select("category", "n_spans", F.round("seconds", 9).alias("seconds"))
+    """Starts and finishes that name one span; a start without a finish counts for nothing."""
+    rows = fx.table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 2).alias("span"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("finish").alias("edge"), "event_type", (F.unix_micros(F.to_timestamp("ts")) * 1000).alias("at")
+    )
+    starts = rows.filter("edge = 'start'").select("span", F.col("event_type").alias("category"))
+    return ss.span_totals(rows.join(starts, "span"), ["category", "span"], "category").select("category", "n_spans", F.round("seconds", 6).alias("seconds"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridspark.functions import stats as ss
@@ -11,7 +13,7 @@ from gridspark.plans.iterate import cut
 from gridspark.sources import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
-N, SIZE, DIM = 64, 16, 64
+SIZE, DIM = 16, 64
 
 
 def query(name: str, sql: str | None = None):
@@ -45,6 +47,16 @@ def gemm_tiled(spark, sf):
     return got.select("i", "j", F.round("v", 4).alias("v"))
 
 
+@query("tiles_placed", f"""SELECT (CASE WHEN ti % 2 = 0 THEN 0 ELSE 1 END + 2 * (tj % 2))::INT AS place, (CASE WHEN ti % 2 = 0 THEN 0 ELSE 1 END + 2 * (tj % 2))::INT AS partition, count(DISTINCT (ti, tj)) AS tiles, round(sum(v), 4) AS total
+FROM (SELECT i // 16 AS ti, j // 16 AS tj, v FROM ({MATRIX})) GROUP BY 1, 2""")
+def tiles_placed(spark, sf):
+    """The whole table as tiles, each in the partition of its owner; their sums are taken there, without a further exchange."""
+    a = fx.matrix(spark, sf)
+    tiles = la.placed(la.to_tiles(a, fx.table(spark, sf, "embeddings").count(), DIM, 16), 4)
+    sums = tiles.select("place", F.spark_partition_id().alias("partition"), F.aggregate("data", F.lit(0.0), lambda t, x: t + x).alias("v"))
+    return sums.groupBy("place").agg(F.max("partition").alias("partition"), F.count(F.lit(1)).alias("tiles"), F.round(F.sum("v"), 4).alias("total"))
+
+
 @query("gemm_sampled_check", f"""WITH a AS ({MATRIX}), spots AS (SELECT t, 97 * t % {DIM} AS i, 53 * t % {DIM} AS j FROM (SELECT unnest(range(0, 8)) AS t))
 SELECT t, round(sum(p.v * q.v), 4) AS v FROM spots s JOIN a p ON p.j = s.i JOIN a q ON q.j = s.j AND q.i = p.i GROUP BY t""")
 def gemm_sampled_check(spark, sf):
@@ -80,17 +92,23 @@ def independent_sums(spark, sf):
     return fx.matrix(spark, sf).groupBy((F.col("i") % 4).alias("array_id")).agg(F.round(F.sum("v"), 4).alias("total"))
 
 
-_SPD = f"SELECT i, j::INT AS j, CASE WHEN i = j THEN {N}.0 ELSE 1.0 END::DOUBLE AS v FROM (SELECT unnest(range(0, {N})) AS i), (SELECT unnest(range(0, {N})) AS j)"
+#: The side of a matrix that grows with the tables, all ones but for its side on the diagonal.
+_SIDE = "n AS (SELECT 20 + floor(sqrt(count(*)))::BIGINT AS n FROM part)"
+_SPD = f"WITH {_SIDE} SELECT i, j::INT AS j, CASE WHEN i = j THEN n ELSE 1.0 END::DOUBLE AS v FROM n, LATERAL (SELECT unnest(range(0, n)) AS i), LATERAL (SELECT unnest(range(0, n)) AS j)"
 #: Column by column: s is the sum of squares of a row's entries so far, equal for all rows below the diagonal.
-_CHOL = f"""WITH RECURSIVE c AS (
-  SELECT 0 AS j, 0.0::DOUBLE AS s, sqrt({N}.0::DOUBLE) AS d, 1.0 / sqrt({N}.0::DOUBLE) AS o
-  UNION ALL SELECT j + 1, s + o * o, sqrt({N} - (s + o * o)), (1 - (s + o * o)) / sqrt({N} - (s + o * o)) FROM c WHERE j < {N - 1})
-SELECT i::BIGINT AS i, j::INT AS j, round(CASE WHEN i = j THEN d ELSE o END, 6) AS v FROM c, (SELECT unnest(range(0, {N})) AS i) WHERE i >= j"""
+_CHOL = f"""WITH RECURSIVE {_SIDE}, c AS (
+  SELECT n, 0 AS j, 0.0::DOUBLE AS s, sqrt(n::DOUBLE) AS d, 1.0 / sqrt(n::DOUBLE) AS o FROM n
+  UNION ALL SELECT n, j + 1, s + o * o, sqrt(n - (s + o * o)), (1 - (s + o * o)) / sqrt(n - (s + o * o)) FROM c WHERE j < n - 1)
+SELECT i::BIGINT AS i, j::INT AS j, round(CASE WHEN i = j THEN d ELSE o END, 6) AS v FROM c, LATERAL (SELECT unnest(range(0, n)) AS i) WHERE i >= j"""
+
+
+def _side(spark, sf) -> int:
+    return 20 + math.isqrt(fx.table(spark, sf, "part").count())
 
 
 @query("spd_matrix", _SPD)
 def spd_matrix(spark, sf):
-    return la.spd_ones(spark, N)
+    return la.spd_ones(spark, _side(spark, sf))
 
 
 @query("diagonal_boost", f"{_SQUARE} SELECT i, j::INT AS j, round(sum(v), 6) AS v FROM (SELECT i, j, v FROM a UNION ALL SELECT DISTINCT i, i, 64.0::DOUBLE FROM a) GROUP BY 1, 2")
@@ -102,22 +120,24 @@ def diagonal_boost(spark, sf):
 @query("cholesky_closed_form", _CHOL)
 def cholesky_closed_form(spark, sf):
     """The factor of ones + (n - 1) I from its recurrence, folded in the engine."""
+    n = _side(spark, sf)
     first = F.struct(F.lit(0.0).alias("s"), F.expr("cast(array() as array<struct<d: double, o: double>>)").alias("out"))
 
     def column(acc, _):
-        d = F.sqrt(N - acc["s"])
+        d = F.sqrt(n - acc["s"])
         o = (1 - acc["s"]) / d
         return F.struct((acc["s"] + o * o).alias("s"), F.concat(acc["out"], F.array(F.struct(d.alias("d"), o.alias("o")))).alias("out"))
 
-    cols = spark.range(1).select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(N)), first, column, lambda a: a["out"])).alias("j", "c"))
-    grid = cols.select("j", "c", F.explode(F.sequence(F.col("j"), F.lit(N - 1))).alias("i"))
+    cols = spark.range(1).select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(n)), first, column, lambda a: a["out"])).alias("j", "c"))
+    grid = cols.select("j", "c", F.explode(F.sequence(F.col("j"), F.lit(n - 1))).alias("i"))
     return grid.select(F.col("i").cast("long").alias("i"), "j", F.round(F.when(F.col("i") == F.col("j"), F.col("c.d")).otherwise(F.col("c.o")), 6).alias("v"))
 
 
 @query("cholesky_tiled", _CHOL)
 def cholesky_tiled(spark, sf):
-    tiles = la.cholesky_tiles(la.to_tiles(la.spd_ones(spark, N), N, N, SIZE), N, SIZE)
-    return la.from_tiles(tiles, N, SIZE).filter("i >= j").select("i", "j", F.round("v", 6).alias("v"))
+    n = _side(spark, sf)
+    tiles = la.cholesky_tiles(la.to_tiles(la.spd_ones(spark, n), n, n, 2 * SIZE), n, 2 * SIZE)
+    return la.from_tiles(tiles, n, 2 * SIZE).filter("i >= j").select("i", "j", F.round("v", 6).alias("v"))
 
 
 _SPD_DATA = f"WITH a AS ({MATRIX}), n AS (SELECT count(*)::DOUBLE AS n FROM embeddings) SELECT p.j::BIGINT AS i, q.j::INT AS j, round(sum(p.v * q.v) / max(n) + CASE WHEN p.j = q.j THEN 1.0 ELSE 0 END, 6) AS v FROM a p JOIN a q ON p.i = q.i, n GROUP BY p.j, q.j"

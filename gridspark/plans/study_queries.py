@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import passk as pk
 from gridspark.functions import stats as ss
 from gridspark.functions import text as tx
+from gridspark.functions.options import Option, resolved
 from gridspark.functions.quantiles import quantiles
 from gridspark.sources import fixtures as fx
 
@@ -101,16 +102,45 @@ def samples_cross(spark, sf):
     return pairs.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
 
 
-@query("task_lookup", f"""SELECT t.task, t.framework, length(t.task)::INT AS level, upper(t.framework) AS runtime_name
-FROM (SELECT DISTINCT task, framework FROM ({SAMPLES})) t WHERE t.framework <> 'tasks'""")
+@query("task_lookup", """SELECT e.task, e.framework, t.level, upper(e.framework) AS runtime_name FROM (SELECT DISTINCT event_type AS task, (['arrays', 'kernels', 'tasks'])[(event_id % 3) + 1] AS framework FROM events) e
+JOIN (SELECT ['click', 'view', 'purchase', 'error', 'signup'][(n_nationkey % 5)::INT + 1] AS task, count(*) AS level FROM nation GROUP BY 1) t ON t.task = e.task WHERE e.framework <> 'tasks'""")
 def task_lookup(spark, sf):
-    """A manifest against shared tasks, which must all be there, and runtime contexts, which need not."""
+    """A manifest made of one table against tasks made of another, which must all be there, and runtime contexts, which need not."""
     manifest = fx.samples(spark, sf).select("task", "framework").distinct()
-    tasks = manifest.select("task", F.length("task").alias("level")).distinct()
+    names = F.array(*[F.lit(x) for x in ("click", "view", "purchase", "error", "signup")])
+    tasks = fx.table(spark, sf, "nation").groupBy(F.get(names, (F.col("n_nationkey") % 5).cast("int")).alias("task")).agg(F.count(F.lit(1)).alias("level"))
     contexts = manifest.filter("framework <> 'tasks'").select("framework", F.upper("framework").alias("runtime_name")).distinct()
-    found = manifest.join(tasks, "task", "left").join(contexts, "framework")
-    known = F.when(F.col("level").isNotNull(), F.col("level")).otherwise(F.raise_error(F.concat(F.lit("unknown task "), F.col("task"))).cast("int"))
-    return found.select("task", "framework", known.alias("level"), "runtime_name")
+    return pk.must_match(manifest, tasks, "task").join(contexts, "framework").select("task", "framework", "level", "runtime_name")
+
+
+@query("choose_many", f"SELECT task, framework, count(*) AS n FROM ({SAMPLES}) WHERE framework IN ('arrays', 'tasks') GROUP BY 1, 2")
+def choose_many(spark, sf):
+    """Rows of a validated list of variants."""
+    s = fx.samples(spark, sf)
+    return pk.choose_any(s, "framework", ["tasks", "arrays", "tasks"]).groupBy("task", "framework").agg(F.count(F.lit(1)).alias("n"))
+
+
+RUN_OPTIONS = [
+    Option("size", "int", 512, env="RUN_SIZE"), Option("sizes", "ints", [1, 2]), Option("scale", "double", 1.5, env="RUN_SCALE"), Option("check", "flag", False),
+    Option("variant", "text", "serial", env="RUN_VARIANT", choices=("serial", "tiled", "click", "view")),
+]
+
+
+@query("run_options", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN k WHEN event_id % 3 = 0 THEN k + 1000 ELSE 512 END AS size, CASE WHEN event_id % 4 = 1 THEN list_sum([k, k + 1]) ELSE 3 END::BIGINT AS sizes,
+  CASE WHEN event_id % 5 = 0 THEN k / 4 ELSE 1.5 END AS scale, event_id % 7 = 0 AS check, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'serial' END AS variant
+FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)""")
+def run_options(spark, sf):
+    """Each event's properties as the command line and the environment of a run."""
+    e = fx.table(spark, sf, "events")
+    k, id_ = F.get_json_object("props", "$.k"), F.col("event_id")
+    some = lambda when, *xs: F.when(when, F.array(*xs)).otherwise(F.array().cast("array<string>"))
+    args = F.concat(
+        some(id_ % 2 == 0, F.lit("--size"), F.lit("7"), F.concat(F.lit("--size="), k)), some(id_ % 4 == 1, F.concat(F.lit("--sizes="), k, F.lit(", "), (k.cast("int") + 1).cast("string"))),
+        some(id_ % 7 == 0, F.lit("--check")), F.array(F.lit("--no-such"), F.lit("x"), F.lit("stray")), some(F.col("event_type").isin("click", "view"), F.concat(F.lit("--variant="), "event_type")),
+    )
+    env = F.map_filter(F.create_map(F.lit("RUN_SIZE"), F.when(id_ % 3 == 0, (k.cast("int") + 1000).cast("string")), F.lit("RUN_SCALE"), F.when(id_ % 5 == 0, (k.cast("int") / 4).cast("string"))), lambda _, v: v.isNotNull())
+    got = resolved(e.select("event_id", args.alias("args"), env.alias("env")), RUN_OPTIONS, env="env")
+    return got.withColumn("sizes", F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x))
 
 
 @query("anti_unknown", f"SELECT DISTINCT task FROM ({SAMPLES}) EXCEPT SELECT * FROM (VALUES ('click'), ('view'))")
@@ -126,13 +156,17 @@ def distinct_values(spark, sf):
     return fx.samples(spark, sf).select(pairs.alias("p")).select("p.*").distinct()
 
 
-@query("distinct_scenarios", "SELECT 'strong' AS scenario, 0 AS place UNION ALL SELECT 'weak', 1")
+_ASKED = "SELECT n_nationkey AS id, unnest(['Strong', ' both ', n_name, 'weak', 'WEAK']) AS x, generate_subscripts([1, 2, 3, 4, 5], 1) AS i FROM nation"
+
+
+@query("distinct_scenarios", f"""SELECT id, scenario, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS place FROM (SELECT id, scenario, min(10 * i + j) AS first FROM (
+  SELECT id, i, unnest(CASE WHEN lower(trim(x)) = 'both' THEN ['strong', 'weak'] ELSE [lower(trim(x))] END) AS scenario, unnest([1, 2]) AS j FROM ({_ASKED})) WHERE scenario IS NOT NULL GROUP BY ALL)""")
 def distinct_scenarios(spark, sf):
     """'both' stands for strong and weak; the first of equal names stays, in order."""
-    asked = spark.createDataFrame([("Strong, both ,weak",)], "names string")
+    asked = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat_ws(",", F.lit("Strong"), F.lit(" both "), "n_name", F.lit("weak"), F.lit("WEAK")).alias("names"))
     names = F.transform(F.split("names", ","), lambda x: F.lower(F.trim(x)))
     wide = F.flatten(F.transform(names, lambda x: F.when(x == "both", F.array(F.lit("strong"), F.lit("weak"))).otherwise(F.array(x))))
-    return asked.select(F.posexplode(F.array_distinct(wide)).alias("place", "scenario")).select("scenario", "place")
+    return asked.select("id", F.posexplode(F.array_distinct(wide)).alias("place", "scenario")).select("id", "scenario", F.col("place").cast("long").alias("place"))
 
 
 @query("union_missing", f"""SELECT task, framework, mean_elapsed_sec, n_passed, reference_passed FROM (
@@ -260,26 +294,29 @@ def csv_format(spark, sf):
     return t.select(F.format_string("%s,%d,%.9f,%.4f", "variant", "threads", "mean", "most").alias("line"))
 
 
-@query("weak_dims", "SELECT t AS threads, greatest(1, round_even(512 * sqrt(t), 0))::BIGINT AS root, greatest(1, round_even(512.0 * t, 0))::BIGINT AS linear, greatest(1, round_even(5 * 0.5, 0))::BIGINT AS half FROM (VALUES (1), (2), (3), (4), (8), (52)) v(t)")
+@query("weak_dims", "SELECT DISTINCT p_size AS threads, greatest(1, round_even(512 * sqrt(p_size), 0))::BIGINT AS root, greatest(1, round_even(512.0 * p_size, 0))::BIGINT AS linear, greatest(1, round_even(5 * 0.5, 0))::BIGINT AS half FROM part")
 def weak_dims(spark, sf):
-    t = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 8, 52)], "threads int")
+    t = fx.table(spark, sf, "part").select(F.col("p_size").alias("threads")).distinct()
     size = lambda s, how: ss.weak_size(F.lit(s), F.col("threads"), how)
     return t.select("threads", size(512, "sqrt").alias("root"), size(512, "linear").alias("linear"), size(5, "0.5").alias("half"))
 
 
-@query("fault_aggregate", "SELECT n, (7.0 * n)::DOUBLE AS total FROM (VALUES (10), (100)) v(n)")
+@query("fault_aggregate", "SELECT l_returnflag, count(*) AS n, round(sum(CASE WHEN l_orderkey % 5 = 3 THEN 0 ELSE l_quantity END), 4) AS total FROM lineitem GROUP BY 1")
 def fault_aggregate(spark, sf):
-    """Eight shares of n, one of which is not a number and counts as nothing."""
-    shares = spark.createDataFrame([(10,), (100,)], "n int").select("n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    share = F.when(F.col("i") == 3, F.lit(float("nan"))).otherwise(F.col("n").cast("double"))
-    return shares.groupBy("n").agg(F.sum(ss.finite_or_zero(share)).alias("total"))
+    """Shares of a sum, some of which are not a number, or infinite, and count as nothing."""
+    key = F.col("l_orderkey") % 10
+    share = F.when(key == 3, F.lit(float("nan"))).when(key == 8, F.lit(float("-inf"))).otherwise(F.col("l_quantity").cast("double"))
+    rows = fx.table(spark, sf, "lineitem")
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(ss.finite_or_zero(share)), 4).alias("total"))
 
 
-@query("lcg_stream", f"""WITH RECURSIVE g AS (SELECT 0 AS k, 42::BIGINT AS s UNION ALL SELECT k + 1, ({ss.LCG_A}::BIGINT * s + {ss.LCG_C}) % {ss.LCG_M} FROM g WHERE k < 200)
-SELECT k - 1 AS k, round((s & 16777215) / 16777216.0, 9) AS value FROM g WHERE k > 0""")
+@query("lcg_stream", f"""WITH RECURSIVE g AS (SELECT s_suppkey AS id, 0 AS k, (s_suppkey % 1000)::BIGINT AS s FROM supplier UNION ALL SELECT id, k + 1, ({ss.LCG_A}::BIGINT * s + {ss.LCG_C}) % {ss.LCG_M} FROM g WHERE k < 20)
+SELECT id, k - 1 AS k, round((s & 16777215) / 16777216.0, 9) AS value FROM g WHERE k > 0""")
 def lcg_stream(spark, sf):
-    got = spark.range(1).select(F.posexplode(ss.lcg(F.lit(200), F.lit(42))).alias("k", "value"))
-    return got.select("k", F.round("value", 9).alias("value"))
+    """Twenty numbers for each supplier, whose key is the seed."""
+    s = fx.table(spark, sf, "supplier")
+    got = s.select(F.col("s_suppkey").alias("id"), F.posexplode(ss.lcg(F.lit(20), F.col("s_suppkey") % 1000)).alias("k", "value"))
+    return got.select("id", "k", F.round("value", 9).alias("value"))
 
 
 @query("close_check", f"SELECT sample_id, abs(elapsed_sec - 20) < 1e-2 * greatest(abs(elapsed_sec), 20, 1) AS close FROM ({SAMPLES})")
@@ -426,7 +463,9 @@ def normalise_option(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", F.lower(F.trim(F.concat(F.lit("  "), F.upper(e), F.lit(" ")))).alias("option"), F.replace(F.concat(F.lit("org/"), e), F.lit("/"), F.lit("_")).alias("path"))
 
 
-@query("binomial_table", "SELECT 30 AS n, k::INT AS k, round(coalesce(list_product(list_transform(range(1, k + 1), lambda i: (30 - k + i)::DOUBLE / i)), 1.0), 2) AS ways FROM (SELECT unnest(range(0, 31)) AS k)")
+@query("binomial_table", "SELECT DISTINCT p_size AS n, k::INT AS k, round(coalesce(list_product(list_transform(range(1, k + 1), lambda i: (p_size - k + i)::DOUBLE / i)), 1.0), 2) AS ways FROM (SELECT DISTINCT p_size FROM part), (SELECT unnest(range(0, 4)) AS k) WHERE k <= p_size")
 def binomial_table(spark, sf):
-    k = spark.range(31).select(F.lit(30).alias("n"), F.col("id").cast("int").alias("k"))
+    """Ways to choose up to three of each number of things that parts come in."""
+    n = fx.table(spark, sf, "part").select(F.col("p_size").alias("n")).distinct()
+    k = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).filter("k <= n")
     return k.select("n", "k", F.round(pk.binomial(F.col("n"), F.col("k")), 2).alias("ways"))

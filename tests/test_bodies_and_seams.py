@@ -172,11 +172,30 @@ def test_seams_over_bands_and_blocks(spark, band, block):
     assert (got == carved(image, 2)).all()
 
 
-def test_products_of_tiles(spark):
+def test_bands_read_their_own_energy(spark):
+    image = spark.range(600).selectExpr("cast(id div 10 as int) y", "cast(id % 10 as int) x", "id * 7919 % 31 as v")
+    e = seam._by_band(seam.energy(image, 60, 10), 60, 16)
+    plan = e.filter("band = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(band" in plan and e.filter("band = 2").agg(F.min("y"), F.max("y")).first() == (32, 47)
+
+
+def test_tiles_at_their_place(spark):
+    entries = spark.range(64 * 32).selectExpr("id div 32 as i", "cast(id % 32 as int) as j", "cast(id as double) as v")
+    tiles = linalg.placed(linalg.to_tiles(entries, 64, 32, 8), 4)
+    got = tiles.select("ti", "tj", "place", F.spark_partition_id().alias("p")).collect()
+    assert len(got) == 32 and all(r.p == r.place == r.ti % 2 + 2 * (r.tj % 2) for r in got)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(tiles.groupBy("place").count()) == exchanges(tiles) and len(tiles.groupBy("place").count().collect()) == 4
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_products_of_tiles(spark, fan):
+    with pytest.raises(ValueError):
+        linalg.multiply_tiles(None, None, 1, 1, fan=1)
     r = np.random.default_rng(4)
     a, b = r.normal(size=(7, 11)), r.normal(size=(11, 5))
     entries = lambda m: spark.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j int, v double")
-    tiles = linalg.multiply_tiles(linalg.to_tiles(entries(a), 7, 11, 3), linalg.to_tiles(entries(b), 11, 5, 3), 11, 3)
+    tiles = linalg.multiply_tiles(linalg.to_tiles(entries(a), 7, 11, 3), linalg.to_tiles(entries(b), 11, 5, 3), 11, 3, fan)
     got = np.zeros((7, 5))
     for c in linalg.from_tiles(tiles, 5, 3).collect():
         got[c.i, c.j] = c.v
