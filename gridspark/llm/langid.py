@@ -21,6 +21,7 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,7 +237,7 @@ def _spans(langs: list[str], spans: int, span_words: int):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400, spans: int = 2, span_words: int = 32, rounds: int = 40, seed: int = 7) -> Model | None:
-    """A model of the labelled ``docs``; None if there is none. Spans collected: at most spans x train_docs x languages."""
+    """A model of the labelled ``docs``; None if there is none. One task learns from at most spans x train_docs x languages spans."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("doc_id is not null and lang is not null and text is not null")
     rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
     known = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a number a language
@@ -248,8 +249,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     few = rows.filter(F.pmod(F.col("draw"), F.lit(1 << 40)) < F.element_at(shares, F.col("lang"))).withColumn("rank", F.pmod(F.col("draw"), F.lit(1 << 40)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "draw", "doc_id"))
     sample = few.withColumn("nth", nth).filter(F.col("nth") <= train_docs).select("lang", "text", "draw")
-    found = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(_spans(langs, spans, span_words), "lang int, span binary").collect())
-    return _train(langs, found, rounds, seed) if found else None
+    found = sample.mapInArrow(_spans(langs, spans, span_words), "lang int, span binary")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = sorted((r["lang"], r["span"]) for b in batches for r in b.to_pylist())
+        if some:
+            m = _train(langs, some, rounds, seed)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.langs, m.weights, m.lexicon, m.trans, m.start))], pa.binary())], ["model"])
+
+    # In one task, as the sample is bounded; the driver gets the model alone.
+    (model,) = found.repartition(1).mapInArrow(trained, "model binary").collect() or [None]
+    return Model(*pickle.loads(bytes(model[0]))) if model else None
 
 
 def _train(langs: list[str], spans: list[tuple[int, bytes]], rounds: int, seed: int) -> Model:

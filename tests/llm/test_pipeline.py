@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridspark.llm import langid, mixing, packing, storage
-from test_operators import classes, odd_rows, repeated_words, slow_pack, words
+from test_operators import best_of, classes, odd_rows, repeated_words, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies int, clean string, changed boolean, _again int, again int, text_hash string, rest string, rid long, removed string, id long, `a.b` string"
 
@@ -87,8 +87,8 @@ def test_mixing_stage(spark, table, labels):
 def test_packing_stage(spark, table):
     got = corpus_pipeline.pack_sequences(spark, table, "").collect()
     rows = sorted((r.doc_id, len([w for w in re.split("[ \n\t\r]", r.text or "") if w])) for r in table.collect() if r.doc_id is not None)
-    _, want = slow_pack([n for _, n in rows], packing.LENGTHS, packing.sequence_cost)
-    assert sorted((r.doc_id, r.piece, r.n_tokens, r.sequence_id, r.capacity) for r in got) == sorted((rows[item][0], piece, n, b, c) for item, piece, n, b, c in want)
+    _, want = best_of([n for _, n in rows], packing.LENGTHS, packing.sequence_cost)
+    assert sorted((r.doc_id, r.piece, r.n_tokens, r.sequence_id, r.capacity, r.opened) for r in got) == sorted((rows[item][0], piece, n, b, c, o) for item, piece, n, b, c, o in want)
 
 
 @pytest.mark.parametrize("n", range(5))
