@@ -1,6 +1,6 @@
-"""Exact order statistics of groups of any size, without a buffer of a group's values anywhere.
+"""Exact order statistics of groups of any size, without a buffer of a large group's values anywhere.
 
-A rank is narrowed by counted histograms. The first counts rows by sign and power of two. Of the bucket that holds the
+Groups are counted first. Those of at most FITS rows are aggregated, as a buffer holds them. In the others a rank is narrowed by counted histograms. The first counts rows by sign and power of two. Of the bucket that holds the
 rank its count, least and greatest value are known; the next histogram cuts what lies between these two into WIDTH equal
 steps. As the values of a bucket are within a factor of two, a few passes leave one value, or at most FITS rows, which
 are sorted. A pass reads two columns and shuffles counts, at most WIDTH a rank and task.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridspark.plans.iterate import cut
 
 #: Steps of a histogram, rows that one task sorts, and ranks that are sent to all tasks.
-WIDTH, FITS, FEW = 4096, 10_000, 100_000
+WIDTH, FITS, FEW = 4096, 1 << 15, 100_000
 
 
 def _magnitude(x: Column) -> Column:
@@ -77,8 +77,25 @@ def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, floa
         raise ValueError("a quantile is between 0 and 1")
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     data = rows.select(group.alias("group"), F.col(value).cast("double").alias("x"))
-    x = data.filter("x is not null")
     sizes = cut(data.groupBy("group").agg(F.count("x").alias("total")))
+    x = data.filter("x is not null")
+    small, large = sizes.agg(F.count_if(F.col("total") <= FITS), F.count_if(F.col("total") > FITS)).first()
+    if large == 0:
+        return _aggregated(x, sizes, by, wanted)
+    if small:
+        some = sizes.filter(F.col("total") > FITS)
+        split = F.broadcast(some.select("group")) if large <= FEW else some.select("group")
+        parts = _aggregated(x.join(split, "group", "left_anti"), sizes.filter(F.col("total") <= FITS), by, wanted)
+        return parts.unionByName(_selected(x.join(split, "group", "left_semi"), some, by, wanted))
+    return _selected(x, sizes, by, wanted)
+
+
+def _aggregated(x: DataFrame, sizes: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    found = x.groupBy("group").agg(*[F.percentile("x", q).alias(name) for name, q in wanted.items()])
+    return sizes.join(found, "group", "left").select(*[F.col("group").getField(b).alias(b) for b in by], *wanted)
+
+
+def _selected(x: DataFrame, sizes: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
     ends = []
     for k, q in enumerate(wanted.values()):
         place = F.lit(q) * (F.col("total") - 1)

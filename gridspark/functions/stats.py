@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.quantiles import quantiles
+from gridspark.plans.iterate import cut
 
 
 def summary(rows: DataFrame, by: list[str], value: str, population: bool = True) -> DataFrame:
@@ -64,6 +65,7 @@ def drop_first(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 def run_stats(runs: DataFrame, optional: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Lines, mean and median of each run; ``optional`` maps columns to the names of their means, which leave out NaN."""
     key = [*(by or []), "run", "nthreads"]
+    runs = cut(runs.select(*key, "total_s", *(optional or {})))  # read three times, and costly where runs have just been numbered
     more = [mean_skipping_nan(c).alias(name) for c, name in (optional or {}).items()]
     sums = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("total_s").alias("mean_total"), *more)
     names = [*key, "n", "mean_total", "median_total", *(optional or {}).values()]

@@ -446,7 +446,7 @@ def json_encode(spark, sf):
 
 @query("json_decode", "SELECT event_id, coalesce((props->>'$.k')::BIGINT, -1) AS k, coalesce(props->>'$.framework', 'arrays') AS framework FROM events")
 def json_decode(spark, sf):
-    read = F.from_json("props", "k long, framework string")
+    read = F.from_json("props", "k long, framework string", {"mode": "FAILFAST"})  # a malformed row is an error
     return fx.table(spark, sf, "events").select("event_id", read.alias("r")).select("event_id", F.coalesce("r.k", F.lit(-1)).alias("k"), F.coalesce("r.framework", F.lit("arrays")).alias("framework"))
 
 
