@@ -201,3 +201,17 @@ def test_products_of_tiles(spark, fan):
         got[c.i, c.j] = c.v
     assert np.allclose(got, a @ b)
     assert np.allclose(linalg.multiply(entries(a), entries(b)).agg(F.sum("v")).first()[0], (a @ b).sum())
+
+
+def test_cholesky_of_many_steps(spark):
+    """The estimated size of the plan must not grow with the number of steps."""
+    r = np.random.default_rng(9)
+    m = r.normal(size=(13, 13))
+    a = m @ m.T + 13 * np.eye(13)
+    tiles = linalg.to_tiles(spark.createDataFrame([(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(a)], "i long, j int, v double"), 13, 13, 2)
+    out = linalg.cholesky_tiles(tiles, 13, 2)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**60
+    got = np.zeros((13, 13))
+    for c in linalg.from_tiles(out, 13, 2).collect():
+        got[c.i, c.j] = c.v
+    assert np.allclose(got, np.linalg.cholesky(a))
