@@ -1,12 +1,14 @@
 """Gravity among particles (id, x, y, z, vx, vy, vz, mass): direct sums, Morton order, a median-split tree.
 
-Direct sums are taken over blocks: each block of particles meets each block of sources as one row with arrays,
-whose pairs are summed in one pass of array operations. Trees are in tree.py; those of all segments are built and
+Direct sums are taken over blocks: every two blocks of particles meet once, as rows with arrays, tile by tile, and what each
+pulls of the other is summed in the same pass. Trees are in tree.py; those of all segments are built and
 walked together.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,49 +45,77 @@ def segments(particles: DataFrame, parts: int) -> DataFrame:
     return ranked(coded, ["code", "id"]).withColumn("seg", (seg + 1).cast("int")).drop("rank")
 
 
-def source_blocks(particles: DataFrame, size: int = 512) -> DataFrame:
-    """(block, id, x, y, z, mass), each an array over about ``size`` particles."""
-    n = max(1, -(-particles.count() // size))
-    each = particles.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", *AXES, "mass")).alias("src"))
-    return each.select("block", *[F.col(f"src.{c}").alias(c) for c in ("id", *AXES, "mass")])
-
-
-def _met(particles: DataFrame, block: int) -> DataFrame:
-    """Every block with every block: the sources' columns begin with s."""
-    blocks = cut(source_blocks(particles, block))
-    names = ("block", "id", *AXES, "mass")
-    return blocks.crossJoin(blocks.select([F.col(c).alias(f"s{c}") for c in names]))
-
-
-def _apart(row, eps2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(3, targets, sources) differences, squared distances of at least ``eps2``, and the products' masks of other bodies."""
-    d = np.stack([np.asarray(getattr(row, f"s{a}"))[None, :] - np.asarray(getattr(row, a))[:, None] for a in AXES])
-    return d, np.maximum((d * d).sum(axis=0), eps2), np.asarray(row.id)[:, None] - np.asarray(row.sid)[None, :]
-
-
-def accelerations(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int = 512) -> DataFrame:
-    """(id, ax, ay, az): the sum over all others of g m r / d**3 with d**2 at least eps2."""
-    def pull(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                d, d2, other = _apart(row, eps2)
-                w = np.where(other == 0, 0.0, g * np.asarray(row.smass)[None, :] / d2 / np.sqrt(d2))
-                yield pd.DataFrame({"id": row.id, **{f"a{a}": (w * d[k]).sum(axis=1) for k, a in enumerate(AXES)}})
-
-    parts = _met(particles, block).mapInPandas(pull, "id long, ax double, ay double, az double")
+#: Most particles of a block, blocks of a small table and least particles of these, most tasks.
+BLOCK, FEW, SMALL, TASKS = 16_384, 8, 512, 2_000
+
+
+def block_pairs(particles: DataFrame, block: int | None = None) -> DataFrame:
+    """(part, pair, block, id, x, y, z, mass), the last five arrays: every two blocks, once, and every block with itself. A pair is
+    one or two rows in the partition ``part``; pairs are dealt out evenly, however small the blocks are as bytes. Equal ids share
+    a block; rows without id meet nothing."""
+    particles = particles.filter("id is not null")
+    n = particles.count()
+    blocks = max(1, -(-n // block)) if block else max(1, -(-n // BLOCK), min(FEW, -(-n // SMALL)))
+    pairs = blocks * (blocks + 1) // 2
+    each = particles.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", *AXES, "mass")).alias("src"))
+    met = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    high, low = F.greatest("block", F.col("other").cast("long")), F.least("block", F.col("other").cast("long"))
+    met = met.select((F.floor(high * (high + 1) / 2) + low).alias("pair"), "block", *[F.col(f"src.{c}").alias(c) for c in ("id", *AXES, "mass")])
+    tasks = min(pairs, TASKS)
+    return met.withColumn("part", (F.col("pair") % tasks).cast("int")).repartitionById(tasks, "part")
+
+
+def _both(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, (3, n) places, masses) of the blocks of a pair; a block with itself, or with an empty one, is one row."""
+    rows = [(np.asarray(r.id), np.stack([np.asarray(getattr(r, a), float) for a in AXES]), np.asarray(r.mass, float)) for r in pdf.sort_values("block").itertuples()]
+    return [rows[0], rows[-1]]
+
+
+def accelerations(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int | None = None) -> DataFrame:
+    """(id, ax, ay, az): the sum over all others of g m r / d**3 with d**2 at least eps2. Two blocks meet once, for both sides."""
+    def pull(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (ids, at, mass), (oid, oat, omass) = _both(pdf)
+        one = len(pdf) == 1
+        if one and not _alone(key[1]):
+            return pd.DataFrame({"id": ids[:0], **{f"a{a}": at[0][:0] for a in AXES}})
+        mine, theirs = np.zeros_like(at), np.zeros_like(oat)
+        for i, j, d, d2, spare in trees.tiles(at, oat, eps2):
+            np.multiply(np.sqrt(d2, out=spare), d2, out=spare)
+            np.divide(g, spare, out=spare)
+            if one:
+                spare[ids[i][:, None] == oid[j][None, :]] = 0.0
+            d *= spare
+            mine[:, i] += d @ omass[j]
+            if not one:
+                theirs[:, j] -= mass[i] @ d
+        sides = [(ids, mine)] if one else [(ids, mine), (oid, theirs)]
+        return pd.concat([pd.DataFrame({"id": k, **{f"a{a}": v[n] for n, a in enumerate(AXES)}}) for k, v in sides])
+
+    parts = block_pairs(particles, block).groupBy("part", "pair").applyInPandas(pull, "id long, ax double, ay double, az double")
     return parts.groupBy("id").agg(*[F.sum(f"a{a}").alias(f"a{a}") for a in AXES])
 
 
-def potential(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int = 512) -> DataFrame:
+def potential(particles: DataFrame, eps2: float = EPS2, g: float = 1.0, block: int | None = None) -> DataFrame:
     """One row ``potential``: the sum over pairs of -g m m' / d."""
-    def sums(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                _, d2, other = _apart(row, eps2)
-                w = np.where(other < 0, -g * np.asarray(row.mass)[:, None] * np.asarray(row.smass)[None, :] / np.sqrt(d2), 0.0)
-                yield pd.DataFrame({"potential": [w.sum()]})
-
-    return _met(particles, block).mapInPandas(sums, "potential double").agg(F.sum("potential").alias("potential"))
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (ids, at, mass), (oid, oat, omass) = _both(pdf)
+        one, total = len(pdf) == 1, 0.0
+        if one and not _alone(key[1]):
+            return pd.DataFrame({"potential": [total]})
+        for i, j, _, d2, spare in trees.tiles(at, oat, eps2):
+            np.divide(-g, np.sqrt(d2, out=spare), out=spare)
+            if one:
+                spare[ids[i][:, None] >= oid[j][None, :]] = 0.0
+            total += float(mass[i] @ (spare @ omass[j]))
+        return pd.DataFrame({"potential": [total]})
+
+    return block_pairs(particles, block).groupBy("part", "pair").applyInPandas(sums, "potential double").agg(F.sum("potential").alias("potential"))
+
+
+def _alone(pair: int) -> bool:
+    """Whether ``pair`` is that of a block with itself: such numbers are h * (h + 3) / 2."""
+    h = (math.isqrt(8 * int(pair) + 9) - 3) // 2
+    return h * (h + 3) // 2 == pair
 
 
 def kinetic(particles: DataFrame) -> DataFrame:

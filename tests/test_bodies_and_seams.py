@@ -215,3 +215,24 @@ def test_cholesky_of_many_steps(spark):
     for c in linalg.from_tiles(out, 13, 2).collect():
         got[c.i, c.j] = c.v
     assert np.allclose(got, np.linalg.cholesky(a))
+
+
+def scattered(spark, n, seed):
+    r = np.random.default_rng(seed)
+    at, mass = r.random((n, 3)), r.integers(1, 5, n).astype(float)
+    rows = [(k, *map(float, p), 0.0, 0.0, 0.0, float(m)) for k, (p, m) in enumerate(zip(at, mass, strict=True))]
+    d = at[None] - at[:, None]
+    d2 = np.maximum((d**2).sum(axis=2), EPS2)
+    np.fill_diagonal(d2, np.inf)
+    return spark.createDataFrame(rows, "id long, x double, y double, z double, vx double, vy double, vz double, mass double"), at, mass, d, d2
+
+
+def test_direct_sums_are_dealt_to_many_tasks(spark):
+    """However few bytes the blocks have; every pair of blocks is met once."""
+    df, _, mass, d, d2 = scattered(spark, 1500, 11)
+    met = nbody.block_pairs(df).select("part", "pair", "block", F.spark_partition_id().alias("p")).collect()
+    assert {r.pair for r in met} == set(range(6)) and len(met) == 9 and all(r.part == r.p for r in met) and len({r.p for r in met}) == 6
+    want = ((mass[None] / d2 / np.sqrt(d2))[..., None] * d).sum(axis=1)
+    got = nbody.accelerations(df.unionByName(df.limit(1).withColumn("id", F.lit(None).cast("long")))).collect()
+    assert len(got) == 1500 and all(np.allclose((r.ax, r.ay, r.az), want[r.id], rtol=1e-9) for r in got)
+    assert nbody.accelerations(df.limit(0)).count() == 0
