@@ -236,3 +236,12 @@ def test_direct_sums_are_dealt_to_many_tasks(spark):
     got = nbody.accelerations(df.unionByName(df.limit(1).withColumn("id", F.lit(None).cast("long")))).collect()
     assert len(got) == 1500 and all(np.allclose((r.ax, r.ay, r.az), want[r.id], rtol=1e-9) for r in got)
     assert nbody.accelerations(df.limit(0)).count() == 0
+
+
+def test_step_over_many_blocks(spark):
+    df, at, mass, d, d2 = scattered(spark, 1200, 12)
+    pull = ((mass[None] / d2 / np.sqrt(d2))[..., None] * d).sum(axis=1)
+    got = {r.id: r for r in nbody.step(df, nbody.accelerations(df), 0.01).collect()}
+    assert all(np.allclose([got[k].vx, got[k].vy, got[k].vz], pull[k] * 0.01) and np.allclose([got[k].x, got[k].y, got[k].z], at[k] + pull[k] * 1e-4) for k in range(1200))
+    stages = nbody.accelerations(df, block=150).rdd.toDebugString().decode()
+    assert nbody.block_pairs(df, 150).rdd.getNumPartitions() == 36 and "Cartesian" not in stages
