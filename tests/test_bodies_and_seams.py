@@ -245,3 +245,12 @@ def test_step_over_many_blocks(spark):
     assert all(np.allclose([got[k].vx, got[k].vy, got[k].vz], pull[k] * 0.01) and np.allclose([got[k].x, got[k].y, got[k].z], at[k] + pull[k] * 1e-4) for k in range(1200))
     stages = nbody.accelerations(df, block=150).rdd.toDebugString().decode()
     assert nbody.block_pairs(df, 150).rdd.getNumPartitions() == 36 and "Cartesian" not in stages
+
+
+def test_potential_over_many_blocks(spark):
+    """Each pair counts once, within a block and across two, in as many tasks as there are pairs of blocks."""
+    df, _, mass, _, d2 = scattered(spark, 1300, 13)
+    want = -(mass[None] * mass[:, None] / np.sqrt(d2)).sum() / 2
+    for block in (None, 100, 5000):
+        assert math.isclose(nbody.potential(df, block=block).first().potential, want, rel_tol=1e-11)
+    assert nbody.block_pairs(df, 100).rdd.getNumPartitions() == 91 and nbody.potential(df.limit(0)).first().potential is None
