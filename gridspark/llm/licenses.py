@@ -18,7 +18,7 @@ templates are literals, at most 1000.
 
 Cases: null and blank texts match nothing; rows without id are left out; a template under five words is
 one shingle, matched where its words follow each other; one without words matches nothing; without templates
-the result is empty; several places of one notice in a text are one row; of rows that share an id, equal or not, the
+the result is empty; several places of one notice in a text are one row with the number of its windows, which repeated rows add to; of rows that share an id, equal or not, the
 greatest containment and the first place count; a very long text is scanned whole; an empty table gives an empty table; other input columns, whatever their names, are not
 read.
 """
@@ -133,12 +133,14 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.struct(k.alias("k"), source(k)["v"].alias("v"), source(k)["s"].alias("s")))
 
 
-FOUND = "license string, containment double, n_shingles long, first_word long"
+FOUND = "license string, containment double, n_shingles long, first_word long, n_windows long, first_window long"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
-    """(doc_id, license, containment, n_shingles, first_word): every notice found, with the share and the number of its shingles that
-    the text holds, and the place of the first of these in the text, in words from 0."""
+    """(doc_id, license, containment, n_shingles, first_word, n_windows, first_window): every notice found, with the share and the
+    number of its shingles that the text holds, and the place of the first of these in the text, in words from 0. Of the windows of
+    m + m // 4 - 1 words, one every m // 4, ``n_windows`` hold the notice by themselves, the first at ``first_window``; a notice in
+    far parts may have none."""
     templates = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if template_words(t)}
     if len(templates) > 1000:
         raise ValueError("templates are literals of the plan: at most 1000")
@@ -163,7 +165,7 @@ def _short_found(rows: DataFrame, name: str, phrase: str) -> DataFrame:
     ws = phrase.split(" ")
     here = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, len(ws)), " ") == phrase)
     at = rows.select("doc_id", F.explode(here).alias("start"))
-    return at.groupBy("doc_id").agg(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), F.lit(1).cast("long").alias("n_shingles"), F.min("start").cast("long").alias("first_word"))
+    return at.groupBy("doc_id").agg(F.lit(name).alias("license"), F.lit(1.0).alias("containment"), F.lit(1).cast("long").alias("n_shingles"), F.min("start").cast("long").alias("first_word"), F.count(F.lit(1)).alias("n_windows"), F.min("start").cast("long").alias("first_window"))
 
 
 def _long_found(rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
@@ -188,10 +190,15 @@ def _long_found(rows: DataFrame, templates: dict[str, str], threshold: float) ->
     rows = rows.select("doc_id", _shingles(F.col("w")).alias("s"))
     met = F.filter(F.array(*[F.when(agrees(r), F.lit(j)) for j, r in enumerate(known)]), lambda j: j.isNotNull())
     met = F.when(F.exists("s", lambda x: x.isin(every)), met)  # as a filter it would go below and make every word again for every shingle
-    all_ = F.array(*[F.struct(F.lit(r["license"]).alias("license"), shingles_of(r).alias("t")) for r in known])
+    all_ = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["m"]).alias("m"), shingles_of(r).alias("t")) for r in known])
     each = rows.select("doc_id", "s", F.explode(met).alias("j")).select("doc_id", "s", F.get(all_, F.col("j")).alias("x"))
-    held = each.select("doc_id", "s", "x.license", F.size("x.t").alias("k"), F.array_intersect("x.t", "s").alias("held")).filter(F.size("held") / F.col("k") >= threshold)
+    held = each.select("doc_id", "s", "x.license", "x.m", F.size("x.t").alias("k"), F.array_intersect("x.t", "s").alias("held")).filter(F.size("held") / F.col("k") >= threshold)
     first = F.array_min(F.transform("held", lambda x: F.array_position("s", x))) - 1
+    step = F.greatest(F.lit(1), F.floor(F.col("m") / 4).cast("int"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), step)
+    within = lambda i: F.size(F.array_intersect("held", F.slice("s", i + 1, F.col("m") + step - WORDS))) / F.col("k") >= threshold
+    held = held.withColumn("windows", F.filter(starts, within))
     return held.groupBy("doc_id", "license").agg(
-        F.round(F.max(F.size("held") / F.col("k")), 6).alias("containment"), F.max(F.size("held")).cast("long").alias("n_shingles"), F.min(first).cast("long").alias("first_word")
+        F.round(F.max(F.size("held") / F.col("k")), 6).alias("containment"), F.max(F.size("held")).cast("long").alias("n_shingles"), F.min(first).cast("long").alias("first_word"),
+        F.sum(F.size("windows")).cast("long").alias("n_windows"), F.min(F.array_min("windows")).cast("long").alias("first_window"),
     )

@@ -113,16 +113,26 @@ _T = {k: template_words(t) for k, t in TEMPLATES.items() if len(template_words(t
 _ROWS = ", ".join("('" + k + "', '" + " ".join(w) + "')" for k, w in _T.items())
 OP10 = f"""
 WITH ts AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM (SELECT license, string_split(ws, ' ') AS w FROM (VALUES {_ROWS}) v(license, ws))
+  SELECT license, len(w) AS m, greatest(1, len(w) // 4) AS step, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM (SELECT license, string_split(ws, ' ') AS w FROM (VALUES {_ROWS}) v(license, ws))
 ), d AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
-  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+  FROM documents WHERE text IS NOT NULL
 ), sh AS (
   SELECT doc_id, r, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM d WHERE len(w) >= 5
+), hit AS (
+  SELECT doc_id, r, license, m, step, len(s) AS k, p, sh.g FROM sh JOIN (SELECT *, unnest(s) AS g FROM ts) ts ON sh.g = ts.g
 ), held AS (
-  SELECT doc_id, r, license, len(s) AS k, count(DISTINCT sh.g) AS n, min(p) AS p FROM sh JOIN (SELECT *, unnest(s) AS g FROM ts) ts ON sh.g = ts.g GROUP BY ALL
+  SELECT doc_id, r, license, k, count(DISTINCT g) AS n, min(p) AS p FROM hit GROUP BY ALL
+), win AS (
+  SELECT r, license, k, g, unnest(range(greatest(0, ((p - (m + step - 6) + step - 1) // step)) * step, p + 1, step)) AS start, p, m, step FROM hit
+), wins AS (
+  SELECT r, license, start, count(DISTINCT g) / max(k) AS c FROM win WHERE p >= start AND p <= start + m + step - 6 GROUP BY ALL
+), w AS (
+  SELECT r, license, count(*) AS n_windows, min(start) AS first_window FROM wins WHERE c >= 0.75 GROUP BY ALL
 )
-SELECT doc_id, license, round(max(n / k), 6) AS containment, max(n) AS n_shingles, min(p)::BIGINT AS first_word FROM held WHERE n / k >= 0.75 GROUP BY doc_id, license
+SELECT doc_id, license, round(max(n / k), 6) AS containment, max(n) AS n_shingles, min(p)::BIGINT AS first_word,
+  coalesce(sum(n_windows), 0)::BIGINT AS n_windows, min(first_window)::BIGINT AS first_window
+FROM held LEFT JOIN w USING (r, license) WHERE n / k >= 0.75 GROUP BY doc_id, license
 """
 
 OP11 = """

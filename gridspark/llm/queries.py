@@ -54,7 +54,9 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_documents(spark, sf_dir))
+    """Rows without id too, which the operator by itself leaves out."""
+    docs = _documents(spark, sf_dir).select(F.struct("doc_id").alias("row"), "text")
+    return licenses.scan(docs, id_col="row").withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
