@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import langid, minhash, mixing, packing, suffixes
-from gridspark.llm.storage import discard, mark, materialize, release
+from gridspark.llm.storage import discard, mark, materialize, release, settle
 
 #: Texts whose expected share of words in the predicted language is lower are rejected, as are those without a letter.
 LEAST_SHARE = 0.4
@@ -38,6 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and a clear language. The model learns from the labelled documents of the stage's input; without
     labels, or a column ``lang``, every text is undetermined and goes. A null text goes. Each row is judged by its own text, so repeated rows
     stay or go together."""
+    settle(spark)
     h = _fresh(docs, "text_hash")
     rows = docs.filter("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias(h)).alias("doc_id"), "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
     found = langid.predict(rows, langid.fit(rows))
@@ -48,6 +49,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least id. An id names one document: of several rows of
     it one of those with the least text hash stays. Null and blank texts are near to nothing and stay."""
+    settle(spark)
     h = _fresh(docs, "text_hash")
     kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
     first = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias(h)).join(kept, "doc_id")
@@ -57,6 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; ``n_chars`` follows the text. A text that loses
     every word goes; null, blank and short texts stay as they are. Rows equal in id and text stay or lose together."""
+    settle(spark)
     cut = suffixes.deduplicate(docs, with_rest=True)
     changed = F.size("removed") > 0
 
@@ -72,6 +75,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, which comes from its own text; null and blank texts have no tokens and stay
     as they are. Rows equal in id and text have the same rate."""
+    settle(spark)
     h, copies, again = _fresh(docs, "text_hash"), _fresh(docs, "copies"), _fresh(docs, "again")
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     mixed = mixing.mix(docs, labels).filter("copies > 0 and doc_id is not null")

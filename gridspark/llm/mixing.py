@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, materialize, settle
 
 BUCKETS, TRAIN_ROWS = 16_384, 20_000
 #: The weight of the penalty on absolute coefficients, and passes over the training documents.
@@ -81,6 +81,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], train
         index = F.array_position(F.array(*[F.lit(d) for d in there]), F.col("domain")) - 1
         model = LogisticRegression(labelCol="label", regParam=PENALTY, elasticNetParam=1.0, maxIter=PASSES, family="multinomial", standardization=False).fit(sample.select(index.cast("double").alias("label"), "features"))
     discard(chosen, sample)
+    settle(docs.sparkSession)  # what the passes left
     return Classifier(domains, there, model, buckets)
 
 
