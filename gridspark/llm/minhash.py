@@ -137,9 +137,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _tagged(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``label`` (id, component) brought up to date with further ``links``; itself if there are none."""
+    if label is None:
+        return materialize(connected_components(links), "component")
+    if links.isEmpty():
+        return label
+    stars = label.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return materialize(connected_components(stars.union(links)), "component")
+
+
+def _tagged(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of those buckets that hold more than one component, with each row's component."""
-    label = connected_components(links)
     rows = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "c", "component")
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     return materialize(rows.join(mixed, "key"), "tagged")
@@ -205,24 +214,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Every class with the pivot of each of its buckets.
     links = _verified(_ordered(buckets.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), sets, percent)
+    first = _joined(None, links)
     # Large buckets with several components: each class with the pivot of each size class that it may reach,
     # the one with the fewest shingles of its own.
-    tagged = _tagged(buckets, links)
+    tagged = _tagged(buckets, first)
     own = materialize(_own(sets, tagged.filter(F.col("c") > small).select("id").distinct()), "own")
     able = _probes(tagged.filter(F.col("c") > small).join(own, "id", "left").fillna(0, ["u"]), percent)
     central = able.groupBy("key", "class").agg(F.min(F.struct("u", "id", "component")).alias("p"))
     second = able.join(central.select("key", F.col("class").alias("target"), "p"), ["key", "target"]).filter("component <> p.component").select(F.col("id").alias("a"), F.col("p.id").alias("b"))
-    links = links.union(_verified(_ordered(second), sets, percent))
+    label = _joined(first, _verified(_ordered(second), sets, percent))
     # What is still apart, across components: all of small buckets, what is able in large ones.
-    tagged = _tagged(buckets, links)
+    tagged = tagged if label is first else _tagged(buckets, label)
     x = tagged.filter(F.col("c") <= small).select("key", F.col("id").alias("a"), "n", "component")
     y = x.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     near = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
     third = x.join(y, "key").filter((F.col("component") < F.col("other")) & near).select("a", "b")
     fourth = _close_pairs(_probes(tagged.filter(F.col("c") > small).join(own, "id", "left").fillna(0, ["u"]), percent), sets, percent)
-    links = links.union(_verified(_ordered(third.union(fourth)), sets, percent))
 
-    component = connected_components(links)
+    component = _joined(label, _verified(_ordered(third.union(fourth)), sets, percent))
     member = classes.join(component, "id", "left").select("fp", "rep", F.coalesce("component", "id").alias("component"))
     if shared:  # a component may begin with a number of no document
         member = member.join(member.groupBy("component").agg(F.min("rep").alias("least")), "component").select("fp", F.col("least").alias("component"))

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm import flac, langid, licenses, lines, merkle, minhash, mixing, packing, shards, suffixes
+from gridspark.llm import components, flac, langid, licenses, lines, merkle, minhash, mixing, packing, shards, storage, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id long, rep string, spans string"
 
@@ -87,6 +87,33 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert got == sorted((i, len(s), m, i == m) for (i, s), m in zip(sets, least, strict=True))
 
 
+def test_components_take_no_more_rounds_than_they_need(spark, monkeypatch):
+    """The driver keeps a record of every task, so rounds that change nothing cost its memory: tables written, one and one a round."""
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or storage.materialize(df, name))
+    r = random.Random(8)
+    stars, chain = [(k, k % 5) for k in range(5, 60)], [(k, k + 1) for k in range(100, 140)]
+    mixed = [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    for edges, most in (([*stars, (7, 7), (90, 90), (None, 3), (5, 0)], 1), (chain, 7), (mixed, 7), ([], 1)):
+        least = {v: v for e in edges if None not in e for v in e}
+        for _ in least:
+            for a, b in edges:
+                if a is not None:
+                    least[a] = least[b] = min(least[a], least[b])
+        written.clear()
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((x.id, x.component) for x in got) == sorted(least.items())
+        assert len(written) <= most
+
+
+def test_components_are_brought_up_to_date(spark):
+    edges = lambda *some: spark.createDataFrame(list(some), "a long, b long")
+    label = minhash._joined(None, edges((2, 1), (4, 3), (6, 5)))
+    assert minhash._joined(label, edges()) is label
+    got = minhash._joined(label, edges((6, 4), (9, 8))).collect()
+    assert sorted((x.id, x.component) for x in got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 3), (8, 8), (9, 8)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
