@@ -60,12 +60,6 @@ def discard(*tables: DataFrame) -> None:
             _written[:] = [x for x in _written if x is not df]
 
 
-def settle(spark: SparkSession) -> None:
-    """Collect the driver's garbage: Spark frees broadcasts, shuffles and cached blocks only when the driver's handles of them
-    are collected, which an idle heap puts off."""
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Most keys that are sent to every executor; with more, both sides are shuffled.
 BROADCAST_KEYS = 100_000
 
